@@ -182,7 +182,7 @@ def _search(rows: DataFrame, index, shard_bytes: int) -> DataFrame:
                         batch.column(0)[first:end],
                         pa.array(np.diff(bounds)),
                         pa.array([sorted(places.get(t, ())) for t in texts], pa.list_(pa.int32())),
-                        pa.array([[test.names[i] for i in items.get(t, ())] for t in texts], pa.list_(pa.string())),
+                        pa.array([[test.names[i] for i in items.get(t, ()) if test.names[i] is not None] for t in texts], pa.list_(pa.string())),
                         pa.array([best[t][0] if t in best else 0 for t in texts], pa.int64()),
                         pa.array([best[t][1] if t in best else None for t in texts], pa.int64()),
                         pa.array([test.names[best[t][2]] if t in best else None for t in texts], pa.string()),

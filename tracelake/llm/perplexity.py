@@ -258,8 +258,10 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     model = written(kneser_ney(written(ngram_counts(rows), "ngrams")), "model")
     if model.count() <= broadcast_ngrams:
         table = model.orderBy("lang", "gram").toArrow()
-        langs, grams, logp = np.array(table.column("lang").to_pylist(), dtype=object), table.column("gram").to_numpy(), table.column("logp").to_numpy()
-        arrays = {x: HashArrays(grams[langs == x], logp[langs == x]) for x in dict.fromkeys(langs)}
+        langs, grams, logp = (table.column(c).to_numpy() for c in ("lang", "gram", "logp"))
+        first = {x: k for k, x in reversed(list(enumerate(langs)))}  # the rows of a language follow each other
+        ends = sorted([*first.values(), len(langs)])
+        arrays = {x: HashArrays(grams[a:b], logp[a:b]) for x, a in first.items() for b in [ends[ends.index(a) + 1]]}
         scored = _score(rows, docs.sparkSession.sparkContext.broadcast(arrays))
     else:
         rows = written(rows, "rows")
