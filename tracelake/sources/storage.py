@@ -64,7 +64,7 @@ def read_trace(spark: SparkSession, path: str, trace_id: str | None = None, t0:
 def import_export(spark: SparkSession, path: str, source: str, fmt: str, **options) -> tuple[DataFrame, DataFrame]:
     """(events, bad rows) from a tool's decoded export as JSON, CSV or Parquet.
 
-    A row that does not parse is a bad row with its text; Parquet has none.
+    A row that does not parse is a bad row, whose text is in ``_corrupt_record``; Parquet has none.
     """
     wanted = schema.RAW[source]
     if fmt == "parquet":
@@ -73,8 +73,7 @@ def import_export(spark: SparkSession, path: str, source: str, fmt: str, **optio
     else:
         reader = spark.read.schema(wanted + ", _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
         raw = getattr(reader, fmt)(path, **({"header": True, "escape": '"'} if fmt == "csv" else {}))
-        # the corrupt column alone cannot be read, so a wanted one goes with it
-        bad = raw.where("_corrupt_record is not null").select("_corrupt_record", raw.columns[0]).drop(raw.columns[0])
+        bad = raw.where("_corrupt_record is not null")  # with its other columns: Spark does not read the corrupt one alone
         raw = raw.where("_corrupt_record is null").drop("_corrupt_record")
     return normalize(raw, source, **options), bad
 
