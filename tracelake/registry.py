@@ -211,9 +211,9 @@ def _counts_sql(a, b, w, more=""):
     return _COUNTS.format(a=a, b=b, bw=timeline.pixel_width(a, b, w), more=more)
 
 
-@query(_counts_sql(T0 + 2 * DAY, T0 + 9 * DAY, 100, "AND pid = 3"), "fx_events")
+@query(_counts_sql(T0 + 2 * DAY, T0 + 9 * DAY, 100, "AND pid = 1"), "fx_events")
 def linked_timeline(spark, sf_dir):
-    panes = _WEEK.process(3).apply({"events": fx.events(spark, sf_dir)})
+    panes = _WEEK.process(1).apply({"events": fx.events(spark, sf_dir)})
     return timeline.timeline_counts(panes["events"], _WEEK.t0, _WEEK.t1, 100, ["kind"])
 
 
