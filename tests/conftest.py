@@ -1,10 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+REPO = str(Path(__file__).resolve().parents[1])
+sys.path.insert(0, REPO)
+os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, os.environ.get("PYTHONPATH")) if x)  # for Python workers
 
 DATA = "/root/testdata"
 

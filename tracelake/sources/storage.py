@@ -6,7 +6,7 @@ import json
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -92,8 +92,13 @@ def to_arrow(df: DataFrame, max_rows: int) -> pa.Table:
 
 
 def dedupe_events(events: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """One event for each value of the keys: the first by ``order`` (by default all columns that sort, the id first)."""
-    sortable = [c for c, kind in events.dtypes if not kind.startswith("map") and c not in keys]
+    """One event for each value of the keys: the first by ``order`` (by default all columns that sort, the id first).
+
+    An aggregation, so copies meet on the map side and a key with very many of
+    them is no burden; nulls are a key like any other.
+    """
+    rest = [c for c in events.columns if c not in keys]
+    sortable = [c for c, kind in events.dtypes if c in rest and not kind.startswith("map")]
     order = order or [*[c for c in ("event_id",) if c in sortable], *[c for c in sortable if c != "event_id"]]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return events.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")
+    return events.groupBy(*keys).agg(first).select(*keys, "__first.*").select(*events.columns)
