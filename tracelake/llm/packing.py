@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encoder
 
-#: Pieces ranked in one group, about.
-GROUP = 50_000
+#: Pieces ranked in one group, about, and groups of one length at most.
+GROUP, MOST_GROUPS = 1_000, 100_000
 
 
 def token_pieces(
@@ -106,14 +106,15 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     """Add sequence_id and offset to pieces with a length from 1 to ``size``.
 
     Read more than once, so give it a written table.  Ranks are counted in
-    groups of about ``GROUP`` pieces that a hash deals out, so neither a length
-    nor a document that many pieces share meets in one task.
+    groups that a hash deals out, more of them for a length with more pieces, so
+    neither a length nor a document that many pieces share meets in one task.
     """
     key = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    groups = max(1, pieces.count() // GROUP)
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups)))
-    counted = dealt.groupBy("length", "group").agg(F.count("*").alias("n")).cache()
-    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
+    groups = [(length, min(MOST_GROUPS, -(-n // GROUP))) for length, n in counts.items()]
+    groups = F.broadcast(pieces.sparkSession.createDataFrame(groups, "length long, groups long"))
+    dealt = pieces.join(groups, "length").withColumn("group", F.pmod(F.xxhash64(*key), "groups")).drop("groups")
+    counted = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
     base = counted.select("length", "group", F.coalesce(before, F.lit(0)).alias("base"))
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "group").orderBy(*key)) - 1).join(base, ["length", "group"])
