@@ -18,8 +18,7 @@ def attach_module(frames: DataFrame, modules: DataFrame, shift: int = MODULE_BIT
     Loads of a process may reuse addresses at other times, so candidates are
     found by address and kept by load interval.
     """
-    points = frames.withColumn("__id", F.struct(*frames.columns))
-    distinct = points.select("trace_id", "pid", "ts_ns", "addr").distinct()
+    distinct = frames.select("trace_id", "pid", "ts_ns", "addr").distinct()
     limits = modules.select("trace_id", "pid", "module", "base", "limit_addr", "load_ns", "unload_ns")
     pairs = point_in_range(distinct, limits, keys=["trace_id", "pid"], point=ordered(F.col("addr")), lo=ordered(F.col("base")), hi=ordered(F.col("limit_addr") - 1), shift=shift, how="inner")
     live = pairs.where((F.col("ts_ns") >= F.col("load_ns")) & (F.col("ts_ns") < F.col("unload_ns"))).select("trace_id", "pid", "ts_ns", "addr", "module")
