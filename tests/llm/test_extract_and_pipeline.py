@@ -22,6 +22,8 @@ PAGES = {
     "comment": ("<body><article><!-- <p>no</p> --><p>yes</p><style>p{}</style></article>", "yes"),
     "plain": ("just text &eacute; 1 < 2", "just text é 1 < 2"),
     "table": (page("<article><table><tr><td>a<td>b<tr><td>c</table><p>d</article>"), "a b c d"),
+    "compound": (page('<div class="topnav">a</div><div class="wrap has-sidebar"><article class="post comments-open"><header><h1>H</h1></header><p>Text of it.</p></article><ol class="commentlist"><li>no</ol><article class="comment"><p>no</p></article></div>'), "H Text of it."),
+    "notice": (page('<div id="cookie-notice"><p>We use cookies and a lot of words to say so, more than the text</p></div><div class="text"><p>Short text.</p></div>'), "Short text."),
     "empty": ("", ""),
 }
 

@@ -32,6 +32,11 @@ _FURNITURE = set("nav footer aside form head script style noscript template ifra
 _NAMES = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: The same within compound parts, such as "topnav" or "commentlist".
+_COMPOUND = re.compile("^(comment|sidebar|footer|cookie|advert|newsletter|breadcrumb)|(sidebar|footer|menu|nav|banner|notice|comments)$")
+#: A class name that begins so says what its element has or lacks, not what it is.
+_MODIFIERS = {"has", "with", "without", "no", "is"}
+_HEADERS = {"header", "masthead"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "dialog", "alert", "form"}
 #: A start tag of the key ends an open element of the values, unless one of the third stands between.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -81,8 +86,11 @@ class Page:
 
     def _start(self, tag: str, attributes: str) -> None:
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-        names = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}")) if found else set()
-        marked = bool(names & _NAMES) or found.get("role") in _ROLES
+        shown = found.get("class", "").split()
+        parts = [re.findall("[a-z]+", name) for name in [*shown, found.get("id", "")]] if found else []
+        names = {x for p in parts if p and p[0] not in _MODIFIERS for x in p}
+        named = {x for x in names if x in _NAMES or _COMPOUND.search(x)}
+        marked = bool(named) or found.get("role") in _ROLES
         if tag in _INLINE and not marked:
             self._in_link += tag == "a"
             return
@@ -102,8 +110,12 @@ class Page:
         above = self._open[-1]
         inside = any(self.tag[x] in _HOMES for x in self._open)
         home = tag in _HOMES or tag in ("html", "body") or found.get("itemprop") == "articlebody"
-        furniture = tag in _FURNITURE or tag == "header" and not inside or marked and not home
-        shape = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in found.get("class", "").split())])
+        if home:  # a class of a main element counts only if it is a name of furniture as a whole
+            marked = tag in _HOMES and bool(set(shown) & (_NAMES - _HEADERS))
+        elif inside and named and named <= _HEADERS:
+            marked = False
+        furniture = tag in _FURNITURE or tag == "header" and not inside or marked
+        shape = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in shown)])
         self.parent.append(above)
         self.tag.append(tag)
         self.path.append(f"{self.path[above]}>{shape}")
