@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .arrays import chunks, per_text, runs, word_hashes
 
 #: Labelled documents that the model is fitted on: those with the least hashes of their ids.
-SAMPLE = 6000
+SAMPLE = 4000
 BUCKETS = 1 << 17
 DIMENSION, EPOCHS, RATE = 8, 6, 4.0
 #: Scores from here on count as good.
@@ -64,7 +64,7 @@ def _train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
             own = np.concatenate([b[x[k] : y[k]] for b, x, y in families])
             if len(own):
                 bucket, n = np.unique(own, return_counts=True)
-                examples.append((bucket, (n / len(own)).astype(np.float32), labels[first + k]))
+                examples.append((bucket.astype(np.int32), (n / len(own)).astype(np.float32), labels[first + k]))
     rng = np.random.default_rng(7)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     layer, bias = np.zeros((DIMENSION, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
