@@ -65,27 +65,51 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, wide: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long), and for ``wide`` fp2 from a second hash and n_shingles (distinct).
+def _majorities(hashes: np.ndarray, longs: int) -> bytes:
+    """``longs`` fingerprints behind each other: of the hashes themselves, then of further hashes made from them."""
+    if not len(hashes):
+        return bytes(8 * longs)
+    with np.errstate(over="ignore"):
+        odd = np.arange(longs, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        on = np.zeros(64 * longs, dtype=np.int64)
+        for start in range(0, len(hashes), 255):  # so many bits add up within a byte
+            part = hashes[start : start + 255]
+            many = mix(part[:, None] + odd)
+            many[:, 0] = part
+            bits = np.unpackbits(np.ascontiguousarray(many, dtype="<u8").view(np.uint8), axis=1, bitorder="little")
+            on += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * on > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """doc_id and fp (64 bits as a signed long).
 
     A null text has no words; no words give zero.  Every row gives one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
         for batch in batches:
-            one, two, sizes = [], [], []
+            made = np.array([_majority(_shingle_hashes(t, words)) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+
+    return rows.mapInArrow(make, "doc_id long, fp long")
+
+
+def wide_fingerprints(docs: DataFrame, key: str, *, text_col: str = "text", words: int = 5, longs: int = 2) -> DataFrame:
+    """The key, bits (``longs`` fingerprints of different hashes behind each other) and n_shingles (distinct)."""
+    rows = docs.select(key, F.col(text_col).alias("text"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, sizes = [], []
             for text in batch.column(1).to_pylist():
                 hashes = _shingle_hashes(text, words)
-                one.append(_majority(hashes))
-                if wide:
-                    two.append(_majority(mix(hashes)))
-                    sizes.append(len(np.unique(hashes)))
-            columns = {"doc_id": batch.column(0), "fp": signed(one)}
-            yield pa.RecordBatch.from_pydict(columns | ({"fp2": signed(two), "n_shingles": pa.array(sizes, pa.int64())} if wide else {}))
+                bits.append(_majorities(hashes, longs))
+                sizes.append(len(np.unique(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(sizes, pa.int64())], names=[key, "bits", "n_shingles"])
 
-    return rows.mapInArrow(make, "doc_id long, fp long" + ", fp2 long, n_shingles long" * wide)
+    return rows.mapInArrow(make, f"{key} long, bits binary, n_shingles long")
 
 
 # ------------------------------------------------------------ vantage-point trees
@@ -146,23 +170,33 @@ class VantageTree:
         return cat(leaf, np.int64), cat(index, np.int64), cat(home, bool)
 
 
-def _near(own: np.ndarray, asks: np.ndarray, size_own, size_asks, radius: int, ratio: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (index in own, index in asks) within ``radius`` bits, in bounded blocks; of ``same`` arrays each pair once."""
-    step = 1024
+def _near(own: np.ndarray, asks: np.ndarray, size_own, size_asks, limits: list[tuple[int, int]], ratio: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (index in own, index in asks), in bounded blocks; of ``same`` arrays each pair once.
+
+    ``limits`` has (longs, bits): a pair differs in that many bits of the first
+    longs at most.  The first limit is tried on all pairs, others on what is left.
+    """
+    step, (longs, most) = 1024, limits[0]
     for a in range(0, len(own), step):
         for b in range(a if same else 0, len(asks), step):
-            apart = sum(np.bitwise_count(own[a : a + step, None, w] ^ asks[None, b : b + step, w]) for w in range(own.shape[1]))
-            x, y = np.nonzero(apart <= radius)
+            apart = sum(np.bitwise_count(own[a : a + step, None, w] ^ asks[None, b : b + step, w]) for w in range(longs))
+            x, y = np.nonzero(apart <= most)
             x, y = x + a, y + b
             ok = x < y if same else np.ones(len(x), dtype=bool)
             if size_own is not None and len(x):
                 m, n = size_own[x], size_asks[y]
                 ok &= np.minimum(m, n) >= ratio * np.maximum(m, n)
-            if ok.any():
-                yield x[ok], y[ok]
+            x, y = x[ok], y[ok]
+            for more, bits in limits[1:]:
+                found = np.zeros(len(x), dtype=np.int64)
+                for w in range(more):
+                    found += np.bitwise_count(own[x, w] ^ asks[y, w])
+                x, y = x[found <= bits], y[found <= bits]
+            if len(x):
+                yield x, y
 
 
-def _stars(fps: np.ndarray, sizes, nodes: np.ndarray, home: np.ndarray, radius: int, ratio: float, within: bool = True) -> pd.DataFrame:
+def _stars(fps: np.ndarray, sizes, nodes: np.ndarray, home: np.ndarray, limits: list[tuple[int, int]], ratio: float = 0.0, within: bool = True) -> pd.DataFrame:
     """Links of one shard, as (member, least member of its class here); ``within``: those at home are compared with each other too."""
     label = np.arange(len(fps))
 
@@ -176,7 +210,7 @@ def _stars(fps: np.ndarray, sizes, nodes: np.ndarray, home: np.ndarray, radius:
     own, asks = np.flatnonzero(home), np.flatnonzero(~home)
     of = lambda i: None if sizes is None else sizes[i]
     for left, right, same in ((own, own, True), (own, asks, False))[0 if within else 1 :]:
-        for x, y in _near(fps[left], fps[right], of(left), of(right), radius, ratio, same):
+        for x, y in _near(fps[left], fps[right], of(left), of(right), limits, ratio, same):
             a, b = left[x], right[y]
             while True:
                 ra, rb = root(a), root(b)
@@ -208,16 +242,16 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         fps = rows["fp"].to_numpy()
-        return _stars(fps.view(np.uint64)[:, None], None, fps, rows["home"].to_numpy(), radius, 0.0)
+        return _stars(fps.view(np.uint64)[:, None], None, fps, rows["home"].to_numpy(), [(1, radius)])
 
     shards = prints.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
     return shards.groupBy("shard").applyInPandas(links, "a long, b long")
 
 
-def shell_links(prints: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Links between nodes at most ``radius`` of 128 bits apart whose shingle counts allow the similarity.
+def shell_links(prints: DataFrame, limits: list[tuple[int, int]], similarity: float) -> DataFrame:
+    """Links between nodes within the limits (longs, bits) whose shingle counts allow the similarity.
 
-    ``prints`` has node, fp, fp2 and n_shingles.  A shell's rows are dealt to
+    ``prints`` has node, bits and n_shingles.  A shell's rows are dealt to
     chunks of bounded size by hash; a chunk meets itself, the later chunks of
     its shell and those of the next shell, each pair of chunks in a task of its
     own.
@@ -242,12 +276,12 @@ def shell_links(prints: DataFrame, radius: int, similarity: float) -> DataFrame:
                     yield part.assign(shell=shell - 1, own=k, other=m, above=True, home=False)
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        fps = rows[["fp", "fp2"]].to_numpy().view(np.uint64)
+        fps = np.frombuffer(b"".join(rows["bits"]), dtype="<u8").reshape(len(rows), -1)
         within = bool(((rows["own"] == rows["other"]) & ~rows["above"]).iloc[0])
-        return _stars(fps, rows["n_shingles"].to_numpy(), rows["node"].to_numpy(), rows["home"].to_numpy(), radius, similarity, within)
+        return _stars(fps, rows["n_shingles"].to_numpy(), rows["node"].to_numpy(), rows["home"].to_numpy(), limits, similarity, within)
 
-    kinds = "node long, fp long, fp2 long, n_shingles long, shell int"
-    dealt = shelled.select("node", "fp", "fp2", "n_shingles", "shell").mapInPandas(deal, kinds + ", own long, other long, above boolean, home boolean")
+    kinds = "node long, bits binary, n_shingles long, shell int"
+    dealt = shelled.select("node", "bits", "n_shingles", "shell").mapInPandas(deal, kinds + ", own long, other long, above boolean, home boolean")
     return dealt.groupBy("shell", "own", "other", "above").applyInPandas(links, "a long, b long")
 
 
@@ -296,23 +330,29 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of 128 bits: texts with a similarity of 0.8 differ in about 19, unrelated ones in 64.
-WIDE_RADIUS = 24
+#: (longs, bits) that linked texts differ in at most.  Texts with a similarity
+#: of 0.8 differ in about 19 of 128 bits and in 155 of 1024, unrelated ones in
+#: half.  The short fingerprint finds candidates, the long one settles them.
+COARSE, FINE = (2, 28), (16, 168)
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, coarse: tuple[int, int] = COARSE, fine: tuple[int, int] = FINE) -> DataFrame:
     """``docs`` with one row left of each group of near duplicates: that with the least id.
 
-    Texts are linked if their 128-bit fingerprints over ``words``-word shingles
-    differ in at most ``radius`` bits and their numbers of distinct shingles
-    allow the similarity.  A null id comes last, of repeated rows one stays, and
-    texts without words, nulls among them, are copies of each other.
+    Texts are linked if their fingerprints over ``words``-word shingles are
+    within both limits and their numbers of distinct shingles allow the
+    similarity.  A null id comes last, of repeated rows one stays, and texts
+    without words, nulls among them, are copies of each other.
     """
     kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = fingerprints(kept, id_col="__row", text_col=text_col, words=words, wide=True).withColumnRenamed("doc_id", "__row")
-    prints = written(prints.withColumn("node", F.xxhash64("fp", "fp2", "n_shingles")), "prints")
-    nodes = written(prints.groupBy("node").agg(*(F.min(c).alias(c) for c in ("fp", "fp2", "n_shingles"))), "nodes")
-    found = written(components(shell_links(nodes, radius, similarity)), "components")
+    prints = wide_fingerprints(kept, "__row", text_col=text_col, words=words, longs=fine[0])
+    prints = written(prints.withColumn("node", F.xxhash64("bits", "n_shingles")), "prints")
+    nodes = written(prints.groupBy("node").agg(F.min("bits").alias("bits"), F.min("n_shingles").alias("n_shingles")), "nodes")
+    short = nodes.withColumn("bits", F.substring("bits", 1, 8 * coarse[0]))
+    links = written(shell_links(short, [coarse], similarity), "candidates")
+    some = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    finer = written(nodes.join(some, "node", "left_semi"), "finer")
+    found = written(components(shell_links(finer, [coarse, fine], similarity)), "components")
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     rows = prints.select("__row", "node").join(kept.select("__row", id_col), "__row")
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
