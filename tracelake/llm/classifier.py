@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             weights, bias = _train([t for _, t, _ in all_rows], [label for _, _, label in all_rows])
             yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
-    made = rows.select("id", "text", "label").coalesce(1).mapInArrow(train, "weights binary, bias double").collect()
+    made = rows.select("id", "text", "label").repartition(1).mapInArrow(train, "weights binary, bias double").collect()
     if not made:
         return np.zeros(BUCKETS, dtype=np.float32), 0.0
     return np.frombuffer(made[0]["weights"], dtype=np.float32), made[0]["bias"]
