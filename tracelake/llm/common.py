@@ -51,3 +51,8 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows: the default of 10,000 whole texts takes too much of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import classifier, decontam, extract, linededup, packing, perplexity, simhash, sstable, tokencount, urlfilter
+from .common import small_batches
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -15,6 +16,7 @@ LISTED_SITES = r"(^|[.])(cheap-pills|free-bets|adult-x|spam-farm)[.]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
