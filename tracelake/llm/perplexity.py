@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import chunks, mix
-from .common import written
+from .common import small, written
 
 ORDER = 4
 #: Quartile distances below the first and above the third quartile that a document may lie.
@@ -31,6 +31,8 @@ BAND = 3.0
 LEAST_DOCS = 20
 #: N-grams that may be broadcast (12 bytes each); a larger model is joined by n-gram.
 BROADCAST_NGRAMS = 8_000_000
+#: Languages up to which tables with a row for each are broadcast.
+MOST_LANGUAGES = 10_000
 #: N-grams a task holds before it hands its counts on.
 HELD = 2_000_000
 #: The unit before a text, three times; a text's own is counted like it.
@@ -148,32 +150,32 @@ def _suffix(gram: Column, units: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 16 * units) - 1))
 
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
+def kneser_ney(counts: DataFrame, languages: int) -> DataFrame:
     """lang, gram and logp (natural logarithm) of every n-gram that was counted.
 
     The highest order has its counts, each lower one the number of distinct
-    units that stand before it.
+    units that stand before it.  Each order is written before the next uses it.
     """
-    below = None
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         longer = orders[k + 1]
-        orders[k] = longer.groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))
-    symbols = orders[1].groupBy("lang").agg(F.count("*").alias("symbols"))
+        orders[k] = written(longer.groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+    below = None
     for k in range(1, ORDER + 1):
-        table = orders[k].join(F.broadcast(_discounts(orders[k])), "lang")  # a row for each language
+        table = orders[k].join(small(_discounts(orders[k]), languages, MOST_LANGUAGES), "lang")
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         table = table.withColumn("context", F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")).withColumn("d", discount)
         context = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        table = table.join(context, ["lang", "context"])
         own, weight = (F.col("n") - F.col("d")) / F.col("total"), F.col("left") / F.col("total")
         if below is None:
-            table = table.join(F.broadcast(symbols), "lang").withColumn("p", own + weight / F.col("symbols"))
+            symbols = orders[1].groupBy("lang").agg(F.count("*").alias("symbols"))
+            stats = small(context.join(symbols, "lang").drop("context"), languages, MOST_LANGUAGES)
+            table = table.join(stats, "lang").withColumn("p", own + weight / F.col("symbols"))
         else:
             lower = below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below"))
-            table = table.withColumn("shorter", _suffix(F.col("gram"), k - 1)).join(lower, ["lang", "shorter"])
+            table = table.join(context, ["lang", "context"]).withColumn("shorter", _suffix(F.col("gram"), k - 1)).join(lower, ["lang", "shorter"])
             table = table.withColumn("p", own + weight * F.col("below"))
-        below = table.select("lang", "gram", "p")
+        below = written(table.select("lang", "gram", "p"), "model")
     return below.select("lang", "gram", F.log("p").alias("logp"))
 
 
@@ -255,13 +257,14 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     set by the rows that pass the base rules.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.col(text_col).alias("text"))
-    model = written(kneser_ney(written(ngram_counts(rows), "ngrams")), "model")
-    if model.count() <= broadcast_ngrams:
-        table = model.orderBy("lang", "gram").toArrow()
-        langs, grams, logp = (table.column(c).to_numpy() for c in ("lang", "gram", "logp"))
-        first = {x: k for k, x in reversed(list(enumerate(langs)))}  # the rows of a language follow each other
-        ends = sorted([*first.values(), len(langs)])
-        arrays = {x: HashArrays(grams[a:b], logp[a:b]) for x, a in first.items() for b in [ends[ends.index(a) + 1]]}
+    counts = written(ngram_counts(rows), "ngrams")
+    languages = counts.groupBy("lang").agg(F.count("*").alias("n")).count()
+    model = kneser_ney(counts, languages)
+    if counts.count() <= broadcast_ngrams and languages <= MOST_LANGUAGES:
+        table = model.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        code, grams, logp = langs.indices.to_numpy(), table.column("gram").to_numpy(), table.column("logp").to_numpy()
+        arrays = {x: HashArrays(grams[code == k], logp[code == k]) for k, x in enumerate(langs.dictionary.to_pylist())}
         scored = _score(rows, docs.sparkSession.sparkContext.broadcast(arrays))
     else:
         rows = written(rows, "rows")
@@ -272,6 +275,6 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"), F.count("*").alias("docs"))
     q1, q3 = F.col("q")[0], F.col("q")[1]
     bands = quartiles.where(F.col("docs") >= LEAST_DOCS).select("lang", (q1 - band * (q3 - q1)).alias("low"), (q3 + band * (q3 - q1)).alias("high"))
-    judged = scored.join(bands, "lang", "left")
+    judged = scored.join(small(bands, languages, MOST_LANGUAGES), "lang", "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high")
