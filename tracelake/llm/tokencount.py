@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the broadcast table and of the sketch behind it, and of a worker's cache.
-FREQUENT, TRACKED, CACHE = 20_000, 65_536, 500_000
+FREQUENT, TRACKED, CACHE = 20_000, 32_768, 500_000
 
 #: The first group goes to the library whole: characters beyond Latin letters,
 #: some that the libraries class differently, and the start of a special string.
@@ -60,9 +60,18 @@ class _Counter(dict):
 
 
 def frequent_words(docs: DataFrame, text_col: str, n: int = FREQUENT) -> list[str]:
-    """About the ``n`` most frequent runs of letters over all texts, from mergeable sketches."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word"))
-    top = words.where("word <> ''").select(F.expr(f"approx_top_k(word, {n}, {max(n, TRACKED)})").alias("top")).first()["top"]
+    """About the ``n`` most frequent runs of letters over all texts, from mergeable sketches.
+
+    The sketches of the tasks are merged in three steps, so that no task reads
+    those of all others.
+    """
+    tracked = max(n, TRACKED)
+    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    words = words.union(docs.sparkSession.range(1).select(F.lit("a")))  # so that there is a sketch of an empty table too
+    merged = words.groupBy(F.expr("pmod(spark_partition_id(), 4096)").alias("part")).agg(F.expr(f"approx_top_k_accumulate(word, {tracked})").alias("sketch"))
+    merged = merged.groupBy(F.pmod("part", F.lit(64)).alias("part")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    merged = merged.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    top = merged.select(F.expr(f"approx_top_k_estimate(sketch, {n})").alias("top")).first()["top"]
     return [x["item"] for x in top or []]
 
 
