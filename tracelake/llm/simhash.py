@@ -12,7 +12,8 @@ pairs of it and gives them back as stars, never as all pairs of a group.
   needs only that smaller radius.
 * A wide radius uses the empty text as vantage point: the number of distinct
   shingles is a text's distance from it, and texts of the wanted similarity
-  are in the same or in neighbouring shells.
+  are in the same or in neighbouring shells.  There fingerprints find
+  candidates only, and the sets of shingles settle them.
 
 Equal fingerprints are joined first and count as one.  Stars meet in rounds of
 least labels with pointer jumping over written tables.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mix
-from .common import remove_path, fresh_path, written
+from .common import remove_path, fresh_path, small, written
 
 SEED = 42
 #: Fingerprints that trees are fitted on, by the least hashes; all are indexed.
@@ -39,6 +40,12 @@ SAMPLE = 20_000
 SHARD = 2_000
 #: The same for shells of a wide radius.
 CHUNK = 8_192
+#: Texts and shingles of a chunk in which sets of shingles are compared.
+EXACT, WEIGHT = 2_048, 1 << 20
+#: Columns of an incidence matrix at a time.
+COLUMNS = 4_096
+#: Candidates that are broadcast to meet their texts, and bits of the filter that goes before.
+BROADCAST_ROWS, FILTER_BITS = 500_000, 1 << 26
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -97,19 +104,26 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def wide_fingerprints(docs: DataFrame, key: str, *, text_col: str = "text", words: int = 5, longs: int = 2) -> DataFrame:
-    """The key, bits (``longs`` fingerprints of different hashes behind each other) and n_shingles (distinct)."""
+    """The key, node (a hash of the set of shingles), bits (``longs`` fingerprints of different hashes behind each other) and n_shingles.
+
+    All are of the distinct shingles, as the similarity is.
+    """
     rows = docs.select(key, F.col(text_col).alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as h
+
         for batch in batches:
-            bits, sizes = [], []
+            nodes, bits, sizes = [], [], []
             for text in batch.column(1).to_pylist():
-                hashes = _shingle_hashes(text, words)
+                hashes = np.unique(_shingle_hashes(text, words))
+                nodes.append(h(hashes.astype("<u8").tobytes(), SEED))
                 bits.append(_majorities(hashes, longs))
-                sizes.append(len(np.unique(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(sizes, pa.int64())], names=[key, "bits", "n_shingles"])
+                sizes.append(len(hashes))
+            nodes = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(bits, pa.binary()), pa.array(sizes, pa.int64())], names=[key, "node", "bits", "n_shingles"])
 
-    return rows.mapInArrow(make, f"{key} long, bits binary, n_shingles long")
+    return rows.mapInArrow(make, f"{key} long, node long, bits binary, n_shingles long")
 
 
 # ------------------------------------------------------------ vantage-point trees
@@ -185,7 +199,7 @@ def _near(own: np.ndarray, asks: np.ndarray, size_own, size_asks, limits: list[t
             ok = x < y if same else np.ones(len(x), dtype=bool)
             if size_own is not None and len(x):
                 m, n = size_own[x], size_asks[y]
-                ok &= np.minimum(m, n) >= ratio * np.maximum(m, n)
+                ok &= np.minimum(m, n) >= ratio * np.maximum(m, n) - 1e-6
             x, y = x[ok], y[ok]
             for more, bits in limits[1:]:
                 found = np.zeros(len(x), dtype=np.int64)
@@ -196,31 +210,37 @@ def _near(own: np.ndarray, asks: np.ndarray, size_own, size_asks, limits: list[t
                 yield x, y
 
 
+def _root(label: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        y = label[x]
+        if (y == x).all():
+            return x
+        x = y
+
+
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    while True:
+        ra, rb = _root(label, a), _root(label, b)
+        if not (open_ := ra != rb).any():
+            return
+        np.minimum.at(label, np.maximum(ra, rb)[open_], np.minimum(ra, rb)[open_])
+
+
+def _linked(label: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
+    top = _root(label, np.arange(len(label)))
+    linked = np.flatnonzero(top != np.arange(len(label)))
+    return pd.DataFrame({"a": nodes[linked], "b": nodes[top[linked]]})
+
+
 def _stars(fps: np.ndarray, sizes, nodes: np.ndarray, home: np.ndarray, limits: list[tuple[int, int]], ratio: float = 0.0, within: bool = True) -> pd.DataFrame:
     """Links of one shard, as (member, least member of its class here); ``within``: those at home are compared with each other too."""
     label = np.arange(len(fps))
-
-    def root(x: np.ndarray) -> np.ndarray:
-        while True:
-            y = label[x]
-            if (y == x).all():
-                return x
-            x = y
-
     own, asks = np.flatnonzero(home), np.flatnonzero(~home)
     of = lambda i: None if sizes is None else sizes[i]
     for left, right, same in ((own, own, True), (own, asks, False))[0 if within else 1 :]:
         for x, y in _near(fps[left], fps[right], of(left), of(right), limits, ratio, same):
-            a, b = left[x], right[y]
-            while True:
-                ra, rb = root(a), root(b)
-                if (open_ := ra != rb).any():
-                    np.minimum.at(label, np.maximum(ra, rb)[open_], np.minimum(ra, rb)[open_])
-                else:
-                    break
-    top = root(np.arange(len(fps)))
-    linked = np.flatnonzero(top != np.arange(len(fps)))
-    return pd.DataFrame({"a": nodes[linked], "b": nodes[top[linked]]})
+            _unite(label, left[x], right[y])
+    return _linked(label, nodes)
 
 
 def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -285,6 +305,113 @@ def shell_links(prints: DataFrame, limits: list[tuple[int, int]], similarity: fl
     return dealt.groupBy("shell", "own", "other", "above").applyInPandas(links, "a long, b long")
 
 
+# ---------------------------------------------------------------- sets of shingles
+
+
+def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (index in left, index in right) of sets with that Jaccard similarity; without ``right`` each pair within ``left``, once.
+
+    Shared members are counted by products of incidence matrices, whose
+    columns are the members that both sides have.
+    """
+    same, right = right is None, left if right is None else right
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    known, column = np.unique(np.concatenate(left if same else left + right), return_inverse=True)
+    n = int(sizes[0].sum())
+    columns = column[:n], column[:n] if same else column[n:]
+    counts = [np.bincount(c, minlength=len(known)) for c in columns]
+    both = counts[0] > 1 if same else (counts[0] > 0) & (counts[1] > 0)
+    number = np.where(both, np.cumsum(both) - 1, -1)
+    entries = []
+    for c, m in zip(columns, sizes):
+        at, row = number[c], np.repeat(np.arange(len(m)), m)
+        order = np.argsort(at, kind="stable")
+        entries.append((at[order], row[order]))
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for start in range(0, int(both.sum()), COLUMNS):
+        parts = []
+        for (at, row), m in zip(entries, sizes):
+            part = slice(*np.searchsorted(at, (start, start + COLUMNS)))
+            parts.append(np.zeros((len(m), min(COLUMNS, int(both.sum()) - start)), dtype=np.float32))
+            parts[-1][row[part], at[part] - start] = 1
+        shared += parts[0] @ parts[1].T
+    x, y = np.nonzero(shared * (1 + similarity) >= similarity * (sizes[0][:, None] + sizes[1]) - 1e-3)
+    ok = x < y if same else np.ones(len(x), dtype=bool)
+    return x[ok], y[ok]
+
+
+def _texts_of(kept: DataFrame, some: DataFrame, n: int, text_col: str, words: int) -> DataFrame:
+    """``some`` with the column hashes (the sorted distinct shingles) of the text in row ``__row`` of ``kept``.
+
+    A filter of bits leaves about those rows before texts are hashed; the join
+    takes the right ones.
+    """
+    size = min(FILTER_BITS, max(64, 1 << (16 * max(1, n)).bit_length()))
+    place = lambda: F.xxhash64("__row").bitwiseAND(F.lit(size - 1))
+    found = some.select(place().alias("place")).selectExpr("shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    filled = np.zeros(size // 64, dtype=np.uint64)
+    filled[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    filled = kept.sparkSession.sparkContext.broadcast(filled)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array(filled.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1))
+            made = [np.unique(_shingle_hashes(t, words)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["__row", "hashes"])
+
+    hashed = kept.select("__row", place().alias("place"), F.col(text_col).alias("text")).mapInArrow(make, "__row long, hashes binary")
+    return hashed.join(small(some, n, BROADCAST_ROWS), "__row")
+
+
+def exact_links(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """Links between the nodes of a component whose sets of shingles have the similarity, as stars.
+
+    ``sets`` has node, component and hashes; ``sizes`` has component and
+    n_shingles.  Small components share a task; a large one is dealt to chunks
+    of bounded size, each pair of chunks in a task of its own.
+    """
+    total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(1, -(-total // WEIGHT))
+    per = sizes.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    chunks = {r["component"]: max(-(-r["n"] // EXACT), -(-r["weight"] // WEIGHT)) for r in per.where((F.col("n") > EXACT) | (F.col("weight") > WEIGHT)).collect()}  # total / WEIGHT at most, or nodes / EXACT
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            component = rows["component"].to_numpy()
+            large = np.isin(component, list(chunks))
+            bucket = (mix(component.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            yield rows[~large].assign(task=bucket[~large], own=-1, other=-1, home=True)
+            for c in np.unique(component[large]):
+                mine = (mix(rows["node"].to_numpy().view(np.uint64)) % np.uint64(chunks[c])).astype(np.int64)
+                for m in np.unique(mine[component == c]):
+                    part = rows[(component == c) & (mine == m)].assign(task=c)
+                    for j in range(m, chunks[c]):
+                        yield part.assign(own=m, other=j, home=True)
+                    for k in range(m):
+                        yield part.assign(own=k, other=m, home=False)
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("component", kind="stable")
+        sets = [np.frombuffer(x, dtype="<u8") for x in rows["hashes"]]
+        label, home = np.arange(len(rows)), rows["home"].to_numpy()
+        if home.all():
+            edges = np.flatnonzero(np.diff(rows["component"].to_numpy())) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)]):
+                x, y = _similar(sets[a:b], None, similarity)
+                _unite(label, x + a, y + a)
+        else:
+            own, asks = np.flatnonzero(home), np.flatnonzero(~home)
+            if len(own):
+                x, y = _similar([sets[k] for k in own], [sets[k] for k in asks], similarity)
+                _unite(label, own[x], asks[y])
+        return _linked(label, rows["node"].to_numpy())
+
+    kinds = "node long, component long, hashes binary, task long, own long, other long, home boolean"
+    dealt = sets.select("node", "component", "hashes").mapInPandas(deal, kinds)
+    return dealt.groupBy("task", "own", "other").applyInPandas(links, "a long, b long")
+
+
 # ------------------------------------------------------------------- components
 
 
@@ -330,29 +457,26 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: (longs, bits) that linked texts differ in at most.  Texts with a similarity
-#: of 0.8 differ in about 19 of 128 bits and in 155 of 1024, unrelated ones in
-#: half.  The short fingerprint finds candidates, the long one settles them.
-COARSE, FINE = (2, 28), (16, 168)
+#: (longs, bits) that candidates differ in at most.
+CANDIDATES = [(2, 28)]
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, coarse: tuple[int, int] = COARSE, fine: tuple[int, int] = FINE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, limits: list[tuple[int, int]] | None = None) -> DataFrame:
     """``docs`` with one row left of each group of near duplicates: that with the least id.
 
-    Texts are linked if their fingerprints over ``words``-word shingles are
-    within both limits and their numbers of distinct shingles allow the
-    similarity.  A null id comes last, of repeated rows one stays, and texts
-    without words, nulls among them, are copies of each other.
+    Texts are linked if the Jaccard similarity of their distinct
+    ``words``-word shingles is ``similarity`` at least.  Fingerprints within
+    the limits are candidates.  A null id comes last, of repeated rows one
+    stays, and texts without words, nulls among them, are copies of each other.
     """
+    limits = limits or CANDIDATES
     kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = wide_fingerprints(kept, "__row", text_col=text_col, words=words, longs=fine[0])
-    prints = written(prints.withColumn("node", F.xxhash64("bits", "n_shingles")), "prints")
-    nodes = written(prints.groupBy("node").agg(F.min("bits").alias("bits"), F.min("n_shingles").alias("n_shingles")), "nodes")
-    short = nodes.withColumn("bits", F.substring("bits", 1, 8 * coarse[0]))
-    links = written(shell_links(short, [coarse], similarity), "candidates")
-    some = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    finer = written(nodes.join(some, "node", "left_semi"), "finer")
-    found = written(components(shell_links(finer, [coarse, fine], similarity)), "components")
+    prints = written(wide_fingerprints(kept, "__row", text_col=text_col, words=words, longs=max(n for n, _ in limits)), "prints")
+    nodes = written(prints.groupBy("node").agg(F.min("bits").alias("bits"), F.min("n_shingles").alias("n_shingles"), F.min("__row").alias("__row")), "nodes")
+    near = components(shell_links(nodes.select("node", "bits", "n_shingles"), limits, similarity))
+    some = written(near.join(nodes.select("node", "n_shingles", "__row"), "node"), "candidates")
+    sets = _texts_of(kept, some.select("__row", "node", "component"), some.count(), text_col, words)
+    found = written(components(exact_links(sets, some.select("component", "n_shingles"), similarity)), "components")
     order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
     rows = prints.select("__row", "node").join(kept.select("__row", id_col), "__row")
     rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
