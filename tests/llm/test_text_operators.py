@@ -435,6 +435,21 @@ def test_repeated_lines_do_not_decide_near_duplicates(spark):
     assert kept == {0, 1, 2}  # similarity 0.08 and 0.92
 
 
+def test_no_pair_at_the_similarity_is_missed_and_none_below_is_linked(spark):
+    words = lambda k, n: [f"w{k}x{j}" for j in range(n)]
+    texts, kept = [], set()
+    for k in range(200):
+        kept.add(len(texts))  # 4 of 5 shingles
+        texts += [" ".join(words(k, 8)), " ".join(words(k, 9))]
+    for k in range(200, 260):
+        base = words(k, 304)  # 300 shingles: 34 changed give 266 / 334 = 0.796, 33 give 267 / 333 = 0.802
+        kept |= {len(texts), len(texts) + 1}
+        texts += [" ".join(base), " ".join(["new"] + base[1:271] + [f"n{k}x{j}" for j in range(33)])]
+        kept.add(len(texts))
+        texts += [" ".join(words(f"{k}y", 304)), " ".join(["new"] + words(f"{k}y", 304)[1:272] + [f"n{k}x{j}" for j in range(32)])]
+    assert {r.doc_id for r in simhash.drop_near_duplicates(table(spark, texts)).collect()} == kept
+
+
 def test_exact_links_are_those_of_brute_force(spark, monkeypatch):
     import numpy as np
 
