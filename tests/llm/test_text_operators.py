@@ -190,6 +190,22 @@ def test_classifier_edges(spark):
     assert classifier.quality_scores(empty(spark), labels).count() == 0 == classifier.drop_low_quality(empty(spark), labels).count()
 
 
+def test_many_rows_of_one_id_leave_the_other_labels_in(spark):
+    good, bad = "plain words of a calm text " * 3, "$$$ !!! ### spam " * 3
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2][:40]
+    rows = [(ids[0], good + str(k)) for k in range(300)] + [(i, bad if k % 2 else good) for k, i in enumerate(ids) if k]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k % 2 == 0), 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = classifier.quality_scores(docs, labels, sample=40).collect()
+    assert {r.predicted for r in got if r.doc_id in ids[0::2]} == {1} and {r.predicted for r in got if r.doc_id in ids[1::2]} == {0}
+
+
+def test_no_model_drops_no_row(spark):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(0)):
+        assert classifier.drop_low_quality(odd(spark), known).count() == odd(spark).count()
+
+
 # ------------------------------------------------------------------ line dedup
 
 

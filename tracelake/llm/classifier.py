@@ -90,27 +90,28 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
     """Learn from labelled rows outside the held-out fold.
 
     Null ids, texts and labels do not count; of an id with several labels the
-    least counts, of one with several rows each.  Without labels of both kinds
-    every score is even.
+    least counts, of one with several texts that with the least hash.  Without
+    labels of both kinds there is no model.
     """
     known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "id")
+    rows = rows.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("label").alias("label"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=str)[: 4 * sample]
+        all_rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=str)
         if len({label for _, _, label in all_rows}) == 2:
             weights, bias = _train([t for _, t, _ in all_rows], [label for _, _, label in all_rows])
             yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
     made = rows.select("id", "text", "label").repartition(1).mapInArrow(train, "weights binary, bias double").collect()
     if not made:
-        return np.zeros(BUCKETS, dtype=np.float32), 0.0
+        return None
     return np.frombuffer(made[0]["weights"], dtype=np.float32), made[0]["bias"]
 
 
@@ -130,10 +131,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """doc_id, held_out, score and predicted of every row.
 
     Texts without features, nulls among them, have the score of the bias alone.
-    A null id is not held out, repeated rows each give one.
+    Without a model every score is even.  A null id is not held out, repeated rows each give one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **options))
+    fitted = fit(docs, labels, id_col=id_col, text_col=text_col, **options) or (np.zeros(BUCKETS, dtype=np.float32), 0.0)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +146,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``docs`` without the rows whose score is below the threshold; all columns stay."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, **options))
+    """``docs`` without the rows whose score is below the threshold; all columns stay, and all rows without a model."""
+    fitted = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
+    if fitted is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
