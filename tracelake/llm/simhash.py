@@ -42,8 +42,10 @@ SHARD = 2_000
 CHUNK = 8_192
 #: Texts and shingles of a chunk in which sets of shingles are compared.
 EXACT, WEIGHT = 2_048, 1 << 20
+#: Shingles of the small components that share a task, about.
+BUCKET = 1 << 18
 #: Columns of an incidence matrix at a time.
-COLUMNS = 4_096
+COLUMNS = 1_024
 #: Candidates that are broadcast to meet their texts, and bits of the filter that goes before.
 BROADCAST_ROWS, FILTER_BITS = 500_000, 1 << 26
 
@@ -335,7 +337,8 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity:
             parts.append(np.zeros((len(m), min(COLUMNS, int(both.sum()) - start)), dtype=np.float32))
             parts[-1][row[part], at[part] - start] = 1
         shared += parts[0] @ parts[1].T
-    x, y = np.nonzero(shared * (1 + similarity) >= similarity * (sizes[0][:, None] + sizes[1]) - 1e-3)
+    found = [np.nonzero(shared[k : k + 256] * (1 + similarity) >= similarity * (sizes[0][k : k + 256, None] + sizes[1]) - 1e-3) for k in range(0, len(left), 256)]
+    x, y = np.concatenate([f[0] + 256 * k for k, f in enumerate(found)]), np.concatenate([f[1] for f in found])
     ok = x < y if same else np.ones(len(x), dtype=bool)
     return x[ok], y[ok]
 
@@ -372,24 +375,15 @@ def exact_links(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFra
     of bounded size, each pair of chunks in a task of its own.
     """
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, -(-total // WEIGHT))
+    buckets = max(1, -(-total // BUCKET))
     per = sizes.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    chunks = {r["component"]: max(-(-r["n"] // EXACT), -(-r["weight"] // WEIGHT)) for r in per.where((F.col("n") > EXACT) | (F.col("weight") > WEIGHT)).collect()}  # total / WEIGHT at most, or nodes / EXACT
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            component = rows["component"].to_numpy()
-            large = np.isin(component, list(chunks))
-            bucket = (mix(component.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            yield rows[~large].assign(task=bucket[~large], own=-1, other=-1, home=True)
-            for c in np.unique(component[large]):
-                mine = (mix(rows["node"].to_numpy().view(np.uint64)) % np.uint64(chunks[c])).astype(np.int64)
-                for m in np.unique(mine[component == c]):
-                    part = rows[(component == c) & (mine == m)].assign(task=c)
-                    for j in range(m, chunks[c]):
-                        yield part.assign(own=m, other=j, home=True)
-                    for k in range(m):
-                        yield part.assign(own=k, other=m, home=False)
+    large = per.where((F.col("n") > EXACT) | (F.col("weight") > WEIGHT))  # total / WEIGHT rows at most, or nodes / EXACT
+    large = large.select("component", F.greatest(F.ceil(F.col("n") / EXACT), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("chunks"))
+    dealt = sets.select("node", "component", "hashes").join(F.broadcast(large), "component", "left")
+    dealt = dealt.withColumn("task", F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
+    mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda k: F.struct(F.least(k, mine).alias("own"), F.greatest(k, mine).alias("other"), (k >= mine).alias("home")))
+    dealt = dealt.select("node", "component", "hashes", "task", F.explode(pairs).alias("pair")).select("node", "component", "hashes", "task", "pair.*")
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("component", kind="stable")
@@ -407,8 +401,6 @@ def exact_links(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFra
                 _unite(label, own[x], asks[y])
         return _linked(label, rows["node"].to_numpy())
 
-    kinds = "node long, component long, hashes binary, task long, own long, other long, home boolean"
-    dealt = sets.select("node", "component", "hashes").mapInPandas(deal, kinds)
     return dealt.groupBy("task", "own", "other").applyInPandas(links, "a long, b long")
 
 
