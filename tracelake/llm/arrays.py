@@ -78,3 +78,33 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between neighbouring bounds, zero for an empty range."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)))
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_VISIBLE = np.ones(256, dtype=bool)
+_VISIBLE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of ``n`` words, with A-Z as a-z; fewer words are one run, none give none."""
+    out = []
+    for first, end, units, bounds in chunks([(t or "").encode() for t in texts], b"\0"):
+        low, visible = _FOLD[units], _VISIBLE[units]
+        visible[bounds[1:] - 1] = False
+        starts, ends = runs(visible)
+        words = word_hashes(low, visible, starts, ends)
+        run = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                run = mix(run + words[k : len(words) - n + 1 + k])
+            at = per_text(starts, bounds)
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                if b - a >= n:
+                    out.append(np.unique(run[a : b - n + 1]))
+                else:
+                    short = np.zeros(min(1, b - a), dtype=np.uint64)
+                    for k in range(a, b):
+                        short = mix(short + words[k])
+                    out.append(short)
+    return out

@@ -41,6 +41,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables written for one run of an operator, which removes them when it no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(fresh_path(self.spark, label))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def remove(self) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+        self.paths = []
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours through Hadoop's file system, wherever it is."""
     jvm = spark.sparkContext._jvm

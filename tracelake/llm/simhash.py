@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .arrays import mix
@@ -415,20 +415,20 @@ def components(links: DataFrame) -> DataFrame:
     one round at most.
     """
     spark = links.sparkSession
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    path = fresh_path(spark, "labels")
-    both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"), F.lit(True).alias("moved")).write.parquet(path)
-    schema = "node long, label long, moved boolean"
+    both = written(links.select("a", "b").where("a <> b").union(links.select("b", "a").where("a <> b")).distinct(), "links")
+    path, moved = fresh_path(spark, "labels"), 1
+    both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).write.parquet(path)
     while True:
-        labels = spark.read.schema(schema).parquet(path)
-        if not labels.where("moved").limit(1).count():
+        labels = spark.read.schema("node long, label long").parquet(path)
+        if not moved:
             return labels.select("node", F.col("label").alias("component"))
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least"))
         now = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
         now = now.join(above, "label", "left").select("node", F.coalesce(F.least("top", "label"), "label").alias("label"), "old")
-        after = fresh_path(spark, "labels")
-        now.select("node", "label", (F.col("label") != F.col("old")).alias("moved")).write.parquet(after)
+        after, seen = fresh_path(spark, "labels"), Observation()
+        now.observe(seen, F.sum(F.when(F.col("label") != F.col("old"), 1).otherwise(0)).alias("moved")).select("node", "label").write.parquet(after)
+        moved = seen.get["moved"]
         remove_path(spark, path)
         path = after
 
