@@ -413,82 +413,3 @@ def test_shards_lose_no_link(spark, monkeypatch):
         for f, c in classes_by_hand(set(fps), 2).items():
             classes[c].append(f)
         assert got == {f: min(m) for m in classes.values() if len(m) > 1 for f in m}
-
-
-def test_drop_near_duplicates(spark, monkeypatch):
-    import random
-
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    rows, copies = [], set()
-    for k in range(60):
-        text = [word() for _ in range(rng.choice((40, 150, 600)))]
-        rows.append((10 * k, " ".join(text)))
-        if k % 3 == 0:
-            rows.append((10 * k + 1, "\n".join(text).upper()))
-            copies.add(10 * k + 1)
-        if k % 4 == 0 and len(text) > 100:
-            for j in range(0, len(text), 120):
-                text[j] = word()
-            rows.append((10 * k + 2, " ".join(text)))
-            copies.add(10 * k + 2)
-    rows += [(5000, ""), (5001, None), (None, rows[0][1]), rows[7]]
-    for chunk in (simhash.CHUNK, 7):
-        monkeypatch.setattr(simhash, "CHUNK", chunk)
-        docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, node long, component long")
-        got = simhash.drop_near_duplicates(docs)
-        assert got.columns == docs.columns
-        assert sorted(r.doc_id for r in got.collect()) == sorted({i for i, _ in rows if i is not None} - copies - {5001})
-    assert simhash.drop_near_duplicates(empty(spark)).count() == 0
-
-
-def test_repeated_lines_do_not_decide_near_duplicates(spark):
-    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
-    line = "\n".join([words("line", 10)] * 10)
-    body = words("c", 100)
-    texts = [words("a", 60) + "\n" + line, words("b", 60) + "\n" + line, body + "\nlast\n", body + "\n" + "\n".join([words("last", 3)] * 30)]
-    kept = {r.doc_id for r in simhash.drop_near_duplicates(table(spark, texts)).collect()}
-    assert kept == {0, 1, 2}  # similarity 0.08 and 0.92
-
-
-def test_no_pair_at_the_similarity_is_missed_and_none_below_is_linked(spark):
-    words = lambda k, n: [f"w{k}x{j}" for j in range(n)]
-    texts, kept = [], set()
-    for k in range(200):
-        kept.add(len(texts))  # 4 of 5 shingles
-        texts += [" ".join(words(k, 8)), " ".join(words(k, 9))]
-    for k in range(200, 260):
-        base = words(k, 304)  # 300 shingles: 34 changed give 266 / 334 = 0.796, 33 give 267 / 333 = 0.802
-        kept |= {len(texts), len(texts) + 1}
-        texts += [" ".join(base), " ".join(["new"] + base[1:271] + [f"n{k}x{j}" for j in range(33)])]
-        kept.add(len(texts))
-        texts += [" ".join(words(f"{k}y", 304)), " ".join(["new"] + words(f"{k}y", 304)[1:272] + [f"n{k}x{j}" for j in range(32)])]
-    assert {r.doc_id for r in simhash.drop_near_duplicates(table(spark, texts)).collect()} == kept
-
-
-def test_exact_links_are_those_of_brute_force(spark, monkeypatch):
-    import numpy as np
-
-    rng, rows = np.random.default_rng(8), []
-    for k in range(30):
-        base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
-        for j in range(2 + 20 * (k == 0)):
-            own = base.copy()
-            n = int(rng.integers(0, 10))
-            own[rng.permutation(40)[:n]] = rng.integers(0, 1 << 63, n).astype(np.uint64)
-            rows.append((100 * k + j, k, np.unique(own)))
-    parent = {n: {n} for n, _, _ in rows}
-    for n, c, x in rows:
-        for m, d, y in rows:
-            i = len(set(x.tolist()) & set(y.tolist()))
-            if n < m and c == d and 10 * i >= 8 * (len(x) + len(y) - i) and parent[n] is not parent[m]:
-                parent[n] |= parent[m]
-                for z in parent[m]:
-                    parent[z] = parent[n]
-    expected = {n: min(g) for n, g in parent.items() if len(g) > 1}
-    sets = spark.createDataFrame([(n, c, bytearray(x.tobytes()), len(x)) for n, c, x in rows], "node long, component long, hashes binary, n_shingles long")
-    for exact, columns in ((simhash.EXACT, simhash.COLUMNS), (5, 16)):
-        monkeypatch.setattr(simhash, "EXACT", exact)
-        monkeypatch.setattr(simhash, "COLUMNS", columns)
-        found = simhash.components(simhash.exact_links(sets, sets.select("component", "n_shingles"), 0.8)).collect()
-        assert {r.node: r.component for r in found} == expected

@@ -7,13 +7,9 @@ also goes to the other side, as a query, since the triangle inequality admits
 partners there and nowhere else.  A leaf is a shard: one task finds the exact
 pairs of it and gives them back as stars, never as all pairs of a group.
 
-* A small radius uses two trees, each over one half of the bits: two
-  fingerprints within r bits are within r // 2 in one of the halves, so a tree
-  needs only that smaller radius.
-* A wide radius uses the empty text as vantage point: the number of distinct
-  shingles is a text's distance from it, and texts of the wanted similarity
-  are in the same or in neighbouring shells.  There fingerprints find
-  candidates only, and the sets of shingles settle them.
+Two trees are used, each over one half of the bits: two fingerprints within r
+bits are within r // 2 in one of the halves, so a tree needs only that smaller
+radius.
 
 Equal fingerprints are joined first and count as one.  Stars meet in rounds of
 least labels with pointer jumping over written tables.
@@ -21,7 +17,6 @@ least labels with pointer jumping over written tables.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,23 +26,13 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .arrays import mix
-from .common import remove_path, fresh_path, small, written
+from .common import fresh_path, remove_path, written
 
 SEED = 42
 #: Fingerprints that trees are fitted on, by the least hashes; all are indexed.
 SAMPLE = 20_000
 #: Fingerprints of a shard, about.
 SHARD = 2_000
-#: The same for shells of a wide radius.
-CHUNK = 8_192
-#: Texts and shingles of a chunk in which sets of shingles are compared.
-EXACT, WEIGHT = 2_048, 1 << 20
-#: Shingles of the small components that share a task, about.
-BUCKET = 1 << 18
-#: Columns of an incidence matrix at a time.
-COLUMNS = 1_024
-#: Candidates that are broadcast to meet their texts, and bits of the filter that goes before.
-BROADCAST_ROWS, FILTER_BITS = 500_000, 1 << 26
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -105,29 +90,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(make, "doc_id long, fp long")
 
 
-def wide_fingerprints(docs: DataFrame, key: str, *, text_col: str = "text", words: int = 5, longs: int = 2) -> DataFrame:
-    """The key, node (a hash of the set of shingles), bits (``longs`` fingerprints of different hashes behind each other) and n_shingles.
-
-    All are of the distinct shingles, as the similarity is.
-    """
-    rows = docs.select(key, F.col(text_col).alias("text"))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as h
-
-        for batch in batches:
-            nodes, bits, sizes = [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = np.unique(_shingle_hashes(text, words))
-                nodes.append(h(hashes.astype("<u8").tobytes(), SEED))
-                bits.append(_majorities(hashes, longs))
-                sizes.append(len(hashes))
-            nodes = pa.array(np.array(nodes, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, pa.array(bits, pa.binary()), pa.array(sizes, pa.int64())], names=[key, "node", "bits", "n_shingles"])
-
-    return rows.mapInArrow(make, f"{key} long, node long, bits binary, n_shingles long")
-
-
 # ------------------------------------------------------------ vantage-point trees
 
 
@@ -270,140 +232,6 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return shards.groupBy("shard").applyInPandas(links, "a long, b long")
 
 
-def shell_links(prints: DataFrame, limits: list[tuple[int, int]], similarity: float) -> DataFrame:
-    """Links between nodes within the limits (longs, bits) whose shingle counts allow the similarity.
-
-    ``prints`` has node, bits and n_shingles.  A shell's rows are dealt to
-    chunks of bounded size by hash; a chunk meets itself, the later chunks of
-    its shell and those of the next shell, each pair of chunks in a task of its
-    own.
-    """
-    width = math.log(1 / similarity)
-    shelled = prints.withColumn("shell", F.floor(F.log(F.greatest("n_shingles", F.lit(1)).cast("double")) / F.lit(width) + F.lit(1e-9)).cast("int"))
-    chunks = {r["shell"]: -(-r["count"] // CHUNK) for r in shelled.groupBy("shell").count().collect()}  # a few dozen rows
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            there = rows["shell"].map(chunks).to_numpy().astype(np.uint64)
-            mine = (mix(rows["node"].to_numpy().view(np.uint64)) % there).astype(np.int64)
-            for shell, m in set(zip(rows["shell"].tolist(), mine.tolist())):
-                part = rows[((rows["shell"] == shell) & (mine == m)).to_numpy()]
-                for j in range(m, chunks[shell]):
-                    yield part.assign(own=m, other=j, above=False, home=True)
-                for j in range(chunks.get(shell + 1, 0)):
-                    yield part.assign(own=m, other=j, above=True, home=True)
-                for k in range(m):
-                    yield part.assign(own=k, other=m, above=False, home=False)
-                for k in range(chunks.get(shell - 1, 0)):
-                    yield part.assign(shell=shell - 1, own=k, other=m, above=True, home=False)
-
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        fps = np.frombuffer(b"".join(rows["bits"]), dtype="<u8").reshape(len(rows), -1)
-        within = bool(((rows["own"] == rows["other"]) & ~rows["above"]).iloc[0])
-        return _stars(fps, rows["n_shingles"].to_numpy(), rows["node"].to_numpy(), rows["home"].to_numpy(), limits, similarity, within)
-
-    kinds = "node long, bits binary, n_shingles long, shell int"
-    dealt = shelled.select("node", "bits", "n_shingles", "shell").mapInPandas(deal, kinds + ", own long, other long, above boolean, home boolean")
-    return dealt.groupBy("shell", "own", "other", "above").applyInPandas(links, "a long, b long")
-
-
-# ---------------------------------------------------------------- sets of shingles
-
-
-def _similar(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (index in left, index in right) of sets with that Jaccard similarity; without ``right`` each pair within ``left``, once.
-
-    Shared members are counted by products of incidence matrices, whose
-    columns are the members that both sides have.
-    """
-    same, right = right is None, left if right is None else right
-    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
-    known, column = np.unique(np.concatenate(left if same else left + right), return_inverse=True)
-    n = int(sizes[0].sum())
-    columns = column[:n], column[:n] if same else column[n:]
-    counts = [np.bincount(c, minlength=len(known)) for c in columns]
-    both = counts[0] > 1 if same else (counts[0] > 0) & (counts[1] > 0)
-    number = np.where(both, np.cumsum(both) - 1, -1)
-    entries = []
-    for c, m in zip(columns, sizes):
-        at, row = number[c], np.repeat(np.arange(len(m)), m)
-        order = np.argsort(at, kind="stable")
-        entries.append((at[order], row[order]))
-    shared = np.zeros((len(left), len(right)), dtype=np.float32)
-    for start in range(0, int(both.sum()), COLUMNS):
-        parts = []
-        for (at, row), m in zip(entries, sizes):
-            part = slice(*np.searchsorted(at, (start, start + COLUMNS)))
-            parts.append(np.zeros((len(m), min(COLUMNS, int(both.sum()) - start)), dtype=np.float32))
-            parts[-1][row[part], at[part] - start] = 1
-        shared += parts[0] @ parts[1].T
-    found = [np.nonzero(shared[k : k + 256] * (1 + similarity) >= similarity * (sizes[0][k : k + 256, None] + sizes[1]) - 1e-3) for k in range(0, len(left), 256)]
-    x, y = np.concatenate([f[0] + 256 * k for k, f in enumerate(found)]), np.concatenate([f[1] for f in found])
-    ok = x < y if same else np.ones(len(x), dtype=bool)
-    return x[ok], y[ok]
-
-
-def _texts_of(kept: DataFrame, some: DataFrame, n: int, text_col: str, words: int) -> DataFrame:
-    """``some`` with the column hashes (the sorted distinct shingles) of the text in row ``__row`` of ``kept``.
-
-    A filter of bits leaves about those rows before texts are hashed; the join
-    takes the right ones.
-    """
-    size = min(FILTER_BITS, max(64, 1 << (16 * max(1, n)).bit_length()))
-    place = lambda: F.xxhash64("__row").bitwiseAND(F.lit(size - 1))
-    found = some.select(place().alias("place")).selectExpr("shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    filled = np.zeros(size // 64, dtype=np.uint64)
-    filled[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
-    filled = kept.sparkSession.sparkContext.broadcast(filled)
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array(filled.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1))
-            made = [np.unique(_shingle_hashes(t, words)).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["__row", "hashes"])
-
-    hashed = kept.select("__row", place().alias("place"), F.col(text_col).alias("text")).mapInArrow(make, "__row long, hashes binary")
-    return hashed.join(small(some, n, BROADCAST_ROWS), "__row")
-
-
-def exact_links(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """Links between the nodes of a component whose sets of shingles have the similarity, as stars.
-
-    ``sets`` has node, component and hashes; ``sizes`` has component and
-    n_shingles.  Small components share a task; a large one is dealt to chunks
-    of bounded size, each pair of chunks in a task of its own.
-    """
-    total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET))
-    per = sizes.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
-    large = per.where((F.col("n") > EXACT) | (F.col("weight") > WEIGHT))  # total / WEIGHT rows at most, or nodes / EXACT
-    large = large.select("component", F.greatest(F.ceil(F.col("n") / EXACT), F.ceil(F.col("weight") / WEIGHT)).cast("int").alias("chunks"))
-    dealt = sets.select("node", "component", "hashes").join(F.broadcast(large), "component", "left")
-    dealt = dealt.withColumn("task", F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(F.col("component")))
-    mine = F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda k: F.struct(F.least(k, mine).alias("own"), F.greatest(k, mine).alias("other"), (k >= mine).alias("home")))
-    dealt = dealt.select("node", "component", "hashes", "task", F.explode(pairs).alias("pair")).select("node", "component", "hashes", "task", "pair.*")
-
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("component", kind="stable")
-        sets = [np.frombuffer(x, dtype="<u8") for x in rows["hashes"]]
-        label, home = np.arange(len(rows)), rows["home"].to_numpy()
-        if home.all():
-            edges = np.flatnonzero(np.diff(rows["component"].to_numpy())) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)]):
-                x, y = _similar(sets[a:b], None, similarity)
-                _unite(label, x + a, y + a)
-        else:
-            own, asks = np.flatnonzero(home), np.flatnonzero(~home)
-            if len(own):
-                x, y = _similar([sets[k] for k in own], [sets[k] for k in asks], similarity)
-                _unite(label, own[x], asks[y])
-        return _linked(label, rows["node"].to_numpy())
-
-    return dealt.groupBy("task", "own", "other").applyInPandas(links, "a long, b long")
-
-
 # ------------------------------------------------------------------- components
 
 
@@ -447,33 +275,3 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: (longs, bits) that candidates differ in at most.  A bit differs with a
-#: probability of 0.1875 at most between texts of similarity 0.8 or more, which
-#: four and five shingles reach (0.161 from six on): both limits together miss
-#: such a pair with a probability of 8e-7, one of 105 shingles with 4e-10.
-CANDIDATES = [(2, 48), (4, 80)]
-
-
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, limits: list[tuple[int, int]] | None = None) -> DataFrame:
-    """``docs`` with one row left of each group of near duplicates: that with the least id.
-
-    Texts are linked if the Jaccard similarity of their distinct
-    ``words``-word shingles is ``similarity`` at least.  Fingerprints within
-    the limits are candidates.  A null id comes last, of repeated rows one
-    stays, and texts without words, nulls among them, are copies of each other.
-    """
-    limits = limits or CANDIDATES
-    kept = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = written(wide_fingerprints(kept, "__row", text_col=text_col, words=words, longs=max(n for n, _ in limits)), "prints")
-    nodes = written(prints.groupBy("node").agg(F.min("bits").alias("bits"), F.min("n_shingles").alias("n_shingles"), F.min("__row").alias("__row")), "nodes")
-    near = components(shell_links(nodes.select("node", "bits", "n_shingles"), limits, similarity))
-    some = written(near.join(nodes.select("node", "n_shingles", "__row"), "node"), "candidates")
-    sets = _texts_of(kept, some.select("__row", "node", "component"), some.count(), text_col, words)
-    found = written(components(exact_links(sets, some.select("component", "n_shingles"), similarity)), "components")
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    rows = prints.select("__row", "node").join(kept.select("__row", id_col), "__row")
-    rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    chosen = rows.groupBy("component").agg(F.min(order)["row"].alias("__row")).select("__row")
-    return kept.join(chosen, "__row", "left_semi").drop("__row")
