@@ -1,5 +1,6 @@
 """Each operator against brute force on whole small tables, and its edge cases."""
 
+import bisect
 import math
 import re
 import zlib
@@ -305,21 +306,73 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 1024
-    assert len(by) <= -(-sum(p[3] for p in pieces) // 1024) * 1.02 + 1
+    assert len(by) <= -(-sum(p[3] for p in pieces) // 1024) * 1.01 + 1
     assert packing.pack_documents(empty(spark), BYTES).count() == 0
 
 
-@pytest.mark.parametrize("counts", [{}, {1: 5}, {600: 3, 424: 2, 512: 5}, {1024: 2, 1: 2000}, {k: k % 7 for k in range(1, 1025)}])
-def test_sweep_places_every_piece_once(counts):
-    places, room, seen = sorted(packing.sweep(counts, 1024)), Counter(), Counter()
-    for k, (length, rank, first, offset) in enumerate(places):
-        end = places[k + 1][1] if k + 1 < len(places) and places[k + 1][0] == length else counts[length]
-        seen[length] += end - rank
-        for s in range(first, first + end - rank):
-            room[s] += length
-    assert seen == Counter({k: n for k, n in counts.items() if n}) and max(room.values(), default=0) <= 1024
-    total = sum(k * n for k, n in counts.items())
-    assert sum(room.values()) == total and len(room) <= -(-total // 1024) * 1.35 + 1
+def best_fit(lengths, size=1024):
+    """Number of sequences of best fit in falling order, one piece after the other."""
+    rooms, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, x)
+        if k == len(rooms):
+            room, n = size, n + 1
+        else:
+            room = rooms.pop(k)
+        bisect.insort(rooms, room - x)
+    return n
+
+
+CASES = {
+    "none": [],
+    "few": [600] * 3 + [424] * 2 + [512] * 5,
+    "whole and least": [1024] * 2 + [1] * 2000,
+    "each length": [k for k in range(1, 1025) for _ in range(k % 3)],
+    "one length": [342] * 700,
+    "short ones into few gaps": [1 + k * k % 19 for k in range(3000)] + [500 + k % 524 for k in range(60)],
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_packing_is_like_best_fit(spark, name):
+    lengths = CASES[name]
+    pieces = spark.createDataFrame([(n,) for n in lengths], "length long")
+    by = defaultdict(list)
+    for r in packing.pack(pieces, 1024).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 1024
+    assert Counter(n for parts in by.values() for _, n in parts) == Counter(lengths)
+    assert len(by) <= best_fit(lengths) * 1.01 + 1
+
+
+def test_a_sweep_matches_like_brackets(spark):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(3):
+        gaps, pieces = [(k, rng.randint(1, 40)) for k in range(150)], [(k, rng.randint(1, 40)) for k in range(170)]
+        items = spark.createDataFrame([(0, k, 0, n) for k, n in gaps] + [(1, k, 0, n) for k, n in pieces], "kind int, id long, part int, size long")
+        room, open_, expected = dict(gaps), [], []
+        for n, kind in sorted([(n, 0) for _, n in gaps] + [(n, 1) for _, n in pieces], key=lambda x: (-x[0], x[1])):
+            if kind == 0:
+                open_.append(n)
+            else:
+                expected.append((n, open_.pop() if open_ else None))
+        got = packing._sweep(items, 1024).where("kind = 1").collect()
+        assert Counter((r["size"], room.get(r.partner)) for r in got) == Counter(expected)
+        taken = [r.partner for r in got if r.partner is not None]
+        assert len(taken) == len(set(taken))
+
+
+def test_equal_rows_are_dealt_out(spark):
+    docs = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string")
+    got = packing.pack_documents(docs, BYTES, 1024).collect()
+    assert len(got) == 3000 and len({r.sequence_id for r in got}) == 3 and len({(r.sequence_id, r.offset) for r in got}) == 3000
 
 
 # ------------------------------------------------------------------------- URLs

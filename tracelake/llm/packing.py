@@ -1,33 +1,31 @@
 """Best-fit packing of token pieces into sequences of a fixed size.
 
-Bulk-synchronous best fit.  Lengths and gaps are whole numbers up to the
-sequence size, so documents and gaps sort into that many ranges at most, and
-pieces of one length differ only in their rank there.  Spark ranks the pieces
-and counts the ranges; a sweep then goes through the ranges from the longest
-piece on, gives each its successor (the smallest gap that holds it), settles
-by rank which pieces take the gaps when there are fewer gaps than pieces, puts
-the smaller gaps back, and repeats until all pieces have a place.  The sweeps
-exchange ranges of ranks, not pieces: their table has at most
-``2 * size * size`` rows however large the corpus.  Spark gives each piece its
-place from the ranges.
+Bulk-synchronous best fit.  Pieces and gaps are sorted into the ranges of
+their sizes, of which there are as many as a sequence has places.  In each
+round a distributed sweep gives all pieces their successors, the smallest gaps
+that hold them; where several pieces have the same successor, rank settles who
+takes it, and the others take the next larger gaps.  The gaps are updated and
+the sweep repeats until all pieces have a place.  The driver only learns
+counts, sums and extremes of what is left, and from these how many sequences
+must be opened; every piece and gap stays in tables.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables
 from .tokens import encoder
 
-#: Pieces ranked in one group, about, and groups of one length at most.
-GROUP, MOST_GROUPS = 1_000, 100_000
+#: Pieces or gaps of one size that are ranked in one group, about.
+GROUP = 128
 
 
 def token_pieces(
@@ -61,83 +59,109 @@ def token_pieces(
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
-def sweep(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
-    """Places for ranges of pieces: (length, first rank, first sequence, offset).
+def _sweep(items: DataFrame, size: int) -> DataFrame:
+    """``items`` with ``partner``: for a piece the gap that it takes, if any.
 
-    Piece number ``first rank + k`` of a length goes to sequence ``first
-    sequence + k``, up to the length's next range.
+    Items have kind (0 a gap, 1 a piece), id, part, size.  Read from the largest
+    size on, gaps before pieces of their size, a gap is an opening and a piece a
+    closing bracket: each piece takes the bracket that it closes, which is the
+    smallest gap not smaller than it that no piece before it takes.  Brackets
+    match within a level of nesting; the level follows from the counts of the
+    sizes before and the rank within the size, and holds at most one gap and one
+    piece of each size.
     """
-    places: list[tuple[int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by free room: (first sequence, how many)
-    rooms: list[int] = []  # those that gaps has, ascending
-    opened = 0
-
-    def put(room: int, first: int, n: int) -> None:
-        if room and n:
-            if room not in gaps:
-                gaps[room] = []
-                bisect.insort(rooms, room)
-            gaps[room].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(rooms, length)
-            if at == len(rooms):  # no gap holds it: open as many sequences as those left will fill
-                n = -(-left // (size // length))
-                places.append((length, rank, opened, 0))
-                put(size - length, opened, n)
-                opened += n
-            else:
-                room = rooms[at]
-                first, there = gaps[room].pop()
-                n = min(left, there)
-                if not gaps[room]:
-                    del gaps[room]
-                    rooms.pop(at)
-                put(room, first + n, there - n)
-                places.append((length, rank, first, size - room))
-                put(room - length, first, n)
-            rank, left = rank + n, left - n
-    return places
+    ranges = items.groupBy("size").agg(F.sum(1 - F.col("kind")).alias("gaps"), F.sum("kind").alias("pieces"))  # size rows at most
+    before = F.sum(F.col("gaps") - F.col("pieces")).over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))
+    dealt = items.join(F.broadcast(ranges), "size")
+    many = F.when(F.col("kind") == 0, F.col("gaps")).otherwise(F.col("pieces"))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("id", "part"), F.ceil(many / GROUP)))
+    counts = dealt.groupBy("size", "kind", "group").agg(F.count("*").alias("n"))
+    base = F.sum("n").over(Window.partitionBy("size", "kind").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("size", "kind", "group", F.coalesce(base, F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("size", "kind", "group").orderBy("id", "part"))
+    ranked = dealt.withColumn("rank", rank).join(counts, ["size", "kind", "group"]).withColumn("rank", F.col("rank") + F.col("base"))
+    level = F.col("before") + F.when(F.col("kind") == 0, F.col("rank")).otherwise(F.col("gaps") - F.col("rank") + 1)
+    nested = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
+    last = F.lag(F.struct("kind", "id")).over(nested)
+    partner = F.when((F.col("kind") == 1) & (last["kind"] == 0), last["id"])
+    return ranked.withColumn("level", level).select("kind", "id", "size", partner.alias("partner"))
+
+
+def _open(n_left: int, total: int, halves: int, size: int) -> int:
+    """Sequences that pieces without any gap need at least: by their sum, and one for each above the half."""
+    return max(1, -(-total // size), halves) if n_left else 0
+
+
+def places(pieces: DataFrame, size: int, tables: Tables) -> DataFrame:
+    """__row, sequence_id and offset of the pieces shorter than ``size``, from __row and length.
+
+    As many sequences are opened as the pieces need at least.  Then, in
+    each round, one sweep matches all pieces with all gaps; a gap that holds
+    several of the longest pieces left is offered in as many parts.  Gaps are
+    updated and the next round takes what is left; sequences are added only for
+    pieces that no gap holds.
+    """
+    spark = pieces.sparkSession
+    left = pieces.where(F.col("length") < size).select(F.col("__row").alias("id"), "length")
+
+    def measured(on: Column, length: Column) -> list[Column]:
+        some = F.when(on, length)
+        return [F.count(some).alias("n"), F.sum(some).alias("total"), F.min(some).alias("least"), F.max(some).alias("most"), F.count(F.when(some > size // 2, 1)).alias("halves")]
+
+    rest = left.agg(*measured(F.lit(True), F.col("length"))).first().asDict()
+    gaps, rooms, opened, swept = None, {"n": 0, "most": None}, 0, []
+    while rest["n"]:
+        new = 0
+        if gaps is None:
+            new = _open(rest["n"], rest["total"], rest["halves"], size)
+        elif (rooms["most"] or 0) < rest["most"]:
+            above = left.where(F.col("length") > (rooms["most"] or 0)).agg(*measured(F.lit(True), F.col("length"))).first()
+            new = _open(above["n"], above["total"], above["halves"], size)
+        if new:
+            added = spark.range(opened, opened + new).select(F.col("id").alias("gap"), F.lit(size).cast("long").alias("room"))
+            gaps = added if gaps is None else gaps.unionByName(added)
+            opened += new
+        most = -(-2 * rest["n"] // (rooms["n"] + new))  # parts beyond that would find no piece
+        parts = F.greatest(F.lit(1), F.least(F.expr(f"room div {rest['most']}"), F.lit(most))).cast("int")
+        offered = gaps.withColumn("parts", parts).select(F.lit(0).alias("kind"), F.col("gap").alias("id"), F.expr("room div parts").alias("size"), F.explode(F.sequence(F.lit(1), "parts")).alias("part"))
+        items = offered.unionByName(left.select(F.lit(1).alias("kind"), "id", F.col("length").alias("size"), F.lit(0).alias("part")))
+        seen = Observation()
+        without = (F.col("kind") == 1) & F.col("partner").isNull()
+        swept.append(tables.written(_sweep(items, size).observe(seen, *measured(without, F.col("size"))).where("kind = 1"), "swept"))
+        rest = seen.get
+        left = swept[-1].where("partner is null").select("id", F.col("size").alias("length"))
+        taken = swept[-1].where("partner is not null").groupBy(F.col("partner").alias("gap")).agg(F.sum("size").alias("taken"))
+        if rest["n"]:
+            seen = Observation()
+            gaps = gaps.join(taken, "gap", "left").select("gap", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")).where(F.col("room") >= rest["least"])
+            gaps = tables.written(gaps.observe(seen, F.count("*").alias("n"), F.max("room").alias("most")), "gaps")
+            rooms = seen.get
+    if not swept:
+        return spark.createDataFrame([], "__row long, sequence_id long, offset long")
+    placed = reduce(DataFrame.unionByName, swept).where("partner is not null").select(F.col("id").alias("__row"), F.col("partner").alias("sequence"), "size")
+    before = F.sum("size").over(Window.partitionBy("sequence").orderBy(F.desc("size"), "__row").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select("__row", (2 * F.col("sequence")).alias("sequence_id"), F.coalesce(before, F.lit(0)).alias("offset"))
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
     """Add sequence_id and offset to pieces with a length from 1 to ``size``.
 
-    Read more than once, so give it a written table.  Ranks are counted in
-    groups that a hash deals out, more of them for a length with more pieces, so
-    neither a length nor a document that many pieces share meets in one task.
+    A piece of the whole size is a sequence of its own, with an odd number.
+    Equal rows are told apart by a running number, so no number of them meets
+    in one task.
     """
-    key = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
-    groups = [(length, min(MOST_GROUPS, -(-n // GROUP))) for length, n in counts.items()]
-    groups = F.broadcast(pieces.sparkSession.createDataFrame(groups, "length long, groups long"))
-    dealt = pieces.join(groups, "length").withColumn("group", F.pmod(F.xxhash64(*key), "groups")).drop("groups")
-    counted = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
-    base = counted.select("length", "group", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("length", "group").orderBy(*key)) - 1).join(base, ["length", "group"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "group")
-
-    table = np.array(sorted(sweep(counts, size)), dtype=np.int64).reshape(-1, 4)
-    keys = table[:, 0] << 44 | table[:, 1]  # a length is followed by the rank: under 2**44 pieces of one length
-    names = [c for c in ranked.columns if c != "rank"]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            at = np.searchsorted(keys, length << 44 | rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(table[at, 2] + rank - table[at, 1]), pa.array(table[at, 3])], names=[*names, "sequence_id", "offset"]
-            )
-
-    kinds = dict(ranked.dtypes)
-    return ranked.mapInArrow(place, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", sequence_id long, offset long")
+    lasting, tables = Tables(pieces.sparkSession), Tables(pieces.sparkSession)
+    columns = pieces.columns
+    pieces = lasting.written(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    found = lasting.written(places(pieces, size, tables), "places")
+    tables.remove()
+    whole = pieces.where(F.col("length") == size).select(*columns, (2 * F.col("__row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return whole.unionByName(pieces.where(F.col("length") < size).join(found, "__row").select(*columns, "sequence_id", "offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, **options) -> DataFrame:
     """Encode, cut and pack documents into sequences of at most ``size`` ids."""
-    pieces = written(token_pieces(docs, vocabulary, size, **options), "pieces")
+    pieces = token_pieces(docs, vocabulary, size, **options)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return pack(pieces, size).select(*columns, *(["ids"] if options.get("keep_ids") else []))
