@@ -138,6 +138,61 @@ def hits_by_hand(docs, tests):
     return sorted(out, key=str)
 
 
+def matches_by_hand(docs, tests):
+    """Verbatim matches of a window or more, each as far to both sides as it goes."""
+    out = []
+    for doc, text in docs:
+        w, found = words_of(text), []
+        begins = defaultdict(list)
+        for k, x in enumerate(w):
+            begins[x].append(k)
+        for item, t in tests:
+            q = words_of(t)
+            size = min(10, len(q))
+            for j in range(len(q) - size + 1 if q else 0):
+                for p in begins[q[j]]:
+                    if w[p : p + size] != q[j : j + size] or p and j and w[p - 1] == q[j - 1] and len(q) > size:
+                        continue
+                    n = size
+                    while p + n < len(w) and j + n < len(q) and w[p + n] == q[j + n]:
+                        n += 1
+                    found.append((p, n, None if item is None else str(item), j))
+        out.append((doc, len(w), sorted(found, key=str)))
+    return sorted(out, key=str)
+
+
+def test_the_longest_match_is_over_all_items(spark):
+    a = [f"a{k}" for k in range(60)]
+    tests = spark.createDataFrame([("A", " ".join(a[:30] + ["x"])), ("B", " ".join(a)), ("C", " ".join(a[:12])), ("D", " ".join(a[20:50] * 2))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "z " + " ".join(a) + " z"), (2, " ".join(a[20:50] * 3)), (3, " ".join(a[:9]))], "doc_id long, text string")
+    for options in ({}, {"block_bytes": 200}):
+        got = {r.doc_id: [tuple(m) for m in r.matches] for r in decontam.overlaps(docs, tests, **options).collect()}
+        assert got[1][0] == (1, 60, "B", 0) and set(got[1][1:]) == {(1, 30, "A", 0), (1, 12, "C", 0), (21, 30, "D", 0), (21, 30, "D", 30)}
+        assert got[2][:2] == [(0, 60, "D", 0), (30, 60, "D", 0)] and got[3] == []
+
+
+def test_suffix_array_is_sorted():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, depth in ((0, 16), (1, 16), (400, 1), (400, 4), (400, 16)):
+        numbers, cuts = rng.integers(1, 4, n), sorted({*rng.integers(0, n + 1, 9).tolist(), n})
+        ends = np.array([next(c for c in cuts if c > k) for k in range(n)], dtype=np.int64)
+        order = decontam.suffix_array(numbers, ends, depth)
+        words = [tuple(numbers[k : min(k + depth, ends[k])].tolist()) for k in order]
+        assert sorted(order.tolist()) == list(range(n)) and words == sorted(words)
+
+
+def test_the_index_is_small():
+    import random
+
+    rng = random.Random(3)
+    items = [(str(k), " ".join(rng.choice(["alpha", "beta", "of", "gamma7"]) + str(rng.randint(0, 10**6)) for _ in range(200))) for k in range(500)]
+    index = decontam.TestIndex(items, 10)
+    size = index.words.nbytes + index.ends.nbytes + sum(x.nbytes for x in index.suffixes.values())
+    assert size < 3 * sum(len(t) for _, t in items)
+
+
 def test_overlaps_are_those_of_brute_force(spark):
     long_item = " ".join(f"q{k}" for k in range(30))
     docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
@@ -149,8 +204,9 @@ def test_overlaps_are_those_of_brute_force(spark):
     for options in ({}, {"block_bytes": 4000}, {"shard_bytes": 5000}):
         got = decontam.overlaps(d, t, **options).collect()
         assert sorted(((r.doc_id, r.n_words, r.places, r["items"]) for r in got), key=str) == expected
-    best = {r.doc_id: r for r in got if r.n_words > 30}[1000]
-    assert (best.longest, best.longest_at, best.longest_item) == (30, 1, "500")
+        assert sorted(((r.doc_id, r.n_words, sorted(map(tuple, r.matches), key=str)) for r in got), key=str) == matches_by_hand(docs, tests)
+    best = {r.doc_id: r for r in got if r.n_words > 30}[1000].matches[0]
+    assert tuple(best) == (1, 30, "500", 0)
     kept = decontam.drop_contaminated(d, t)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((x[0] for x in expected if not x[2]), key=str)
     assert decontam.drop_contaminated(d, t, block_bytes=4000).count() == kept.count() and kept.columns == d.columns

@@ -33,6 +33,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("places") > 0).alias("contaminated"),
+        F.coalesce(F.get("matches", F.lit(0))["length"], F.lit(0)).cast("long").alias("longest"),
+        F.get("matches", F.lit(0))["at"].cast("long").alias("longest_at"),
+        F.get("matches", F.lit(0))["item"].alias("longest_item"),
     )
 
 
@@ -87,10 +90,16 @@ dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes
 hits AS (SELECT doc_id, item_id, p, n FROM (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM dp) JOIN windows USING (n, k)),
 places AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY 1),
 items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
-          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1),
+starts AS (SELECT DISTINCT b.item_id, b.n, b.p AS q, array_to_string(b.w[b.p:b.p + b.n - 1], ' ') AS k FROM bp b),
+pairs AS (SELECT h.doc_id, h.p, h.n, s.item_id, s.q FROM (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS k FROM dp) h JOIN starts s USING (n, k)),
+lines AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS line FROM pairs),
+matches AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, min(p) - 1 AS longest_at, count(*) + any_value(n) - 1 AS longest FROM lines GROUP BY doc_id, item_id, p - q, line),
+best AS (SELECT doc_id, longest, longest_at, item AS longest_item FROM matches QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY longest DESC, longest_at, item) = 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest, 0) AS longest, longest_at, longest_item
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)
 """,
     "op4_line_dedup": rf"""
 WITH p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
