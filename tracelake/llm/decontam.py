@@ -27,6 +27,8 @@ from .common import Tables
 WINDOW = 10
 #: Bytes of test text that are broadcast at once.
 BLOCK_BYTES = 16 << 20
+#: Bytes of training text in a shard, whose suffix array takes about 15 times as much; a longer text is a shard alone.
+SHARD_BYTES = 1 << 20
 
 # Words are runs of a-z, digits and bytes from 128 on, after A-Z is lower-cased.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -206,7 +208,7 @@ class _Blocks:
         return self.tests.sparkSession.sparkContext.broadcast(TestIndex(sorted(((r["item"], r["text"]) for r in part), key=str), self.window))
 
 
-def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 1 << 22) -> DataFrame:
+def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_words, places (of words inside a test window), items (as strings, sorted) and matches.
 
     A window is ``window`` words of an item, or all of an item with fewer.
@@ -243,7 +245,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, *, id_col: str = "doc_id", text_
     return merged
 
 
-def drop_contaminated(docs: DataFrame, tests: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = 1 << 22) -> DataFrame:
+def drop_contaminated(docs: DataFrame, tests: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the rows that share a window with a test item; all columns stay.
 
     Each block of test items is a filter over the rows, so nothing is shuffled;

@@ -16,7 +16,7 @@ import struct
 
 #: Pieces and pre-tokens that one Python worker keeps; a full cache keeps what
 #: it has, and the rest is encoded each time.
-PIECES, PRE_TOKENS = 400_000, 400_000
+PIECES, PRE_TOKENS = 300_000, 100_000
 
 #: White space other than a space or a line feed, and control characters.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000]")
@@ -50,9 +50,11 @@ class _PreTokens(dict):
         model._resize_cache(0)  # new words only come here, so its own cache would not be hit
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
+    def make(self, word: str) -> bytes:
+        return _packed([x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+
     def __missing__(self, word: str) -> bytes:
-        found = self.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        made = _packed([x.id for x in found])
+        made = self.make(word)
         if len(self) < PRE_TOKENS:
             self[word] = made
         return made
@@ -67,9 +69,9 @@ class _Pieces(dict):
         if not piece.isascii() and _FAR.search(piece):
             made = _packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         elif piece[1:].isalpha() and piece[0] == " ":
-            made = self.words[piece]
+            made = self.words.make(piece)  # a piece and a pre-token: kept here alone
         elif (body := piece.rstrip(_MARKS))[1:].isalpha() and body[0] == " ":
-            made = self.words[body] + self.words[piece[len(body) :]]  # letters, then marks only
+            made = self[body] + self.words[piece[len(body) :]]  # letters, then marks only
         else:
             made = b"".join(map(self.words.__getitem__, _PRE_TOKEN.findall(piece)))
         if len(self) < PIECES:
