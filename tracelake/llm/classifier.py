@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
 from .arrays import chunks, per_text, runs, word_hashes
 
 #: Labelled documents that the model is fitted on: those with the least hashes of their ids.
@@ -104,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = rows.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("label").alias("label"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         all_rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=str)
         if len({label for _, _, label in all_rows}) == 2:
             weights, bias = _train([t for _, t, _ in all_rows], [label for _, _, label in all_rows])
@@ -138,6 +140,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         for batch in batches:
             found = score(batch.column(2).to_pylist(), *model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -153,6 +156,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array(score(texts, *model.value) >= threshold))

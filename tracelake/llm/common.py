@@ -71,5 +71,5 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 2,000 rows: the default of 10,000 whole texts takes too much of a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Arrow batches of 500 rows: the default of 10,000 whole texts takes too much of an executor's and a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

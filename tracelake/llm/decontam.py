@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
 from .arrays import chunks, per_text, runs, word_hashes
 from .common import Tables
 
@@ -162,6 +163,7 @@ def _search(rows: DataFrame, index, shard_bytes: int, hits_only: bool) -> DataFr
     match = pa.struct([("at", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_at", pa.int32())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.release()
         test: TestIndex = index.value
         starts = np.concatenate(([0], test.ends[:-1])) if len(test.ends) else np.zeros(1, np.int64)
         for batch in batches:
@@ -256,6 +258,7 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, *, text_col: str = "tex
         index = blocks.index(block)
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            memory.release()
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 keep = np.ones(len(texts), dtype=bool)

@@ -14,9 +14,11 @@ import os
 import re
 import struct
 
+from . import memory
+
 #: Pieces and pre-tokens that one Python worker keeps; a full cache keeps what
 #: it has, and the rest is encoded each time.
-PIECES, PRE_TOKENS = 300_000, 100_000
+PIECES, PRE_TOKENS = 250_000, 100_000
 
 #: White space other than a space or a line feed, and control characters.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000]")
@@ -29,7 +31,7 @@ _FAR = re.compile("[^\x00-\x7e\xa1-\u024f]|[\xb2\xb3\xb9\xbc-\xbe]|[\x1c-\x1f]")
 _PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_ENCODERS: dict[str, "PieceEncoder"] = {}
+_ENCODERS: dict[str, "PieceEncoder"] = memory.cache()
 
 
 def _byte_letters() -> dict[int, int]:
@@ -105,5 +107,6 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each file and Python worker."""
     if path not in _ENCODERS:
+        memory.release()
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
