@@ -319,6 +319,27 @@ def test_token_counts(spark):
     assert tokencount.token_counts(empty(spark), WORDS).count() == 0
 
 
+def test_only_odd_segments_go_to_the_library(monkeypatch):
+    import random
+
+    library, counter, asked = Tokenizer.from_file(WORDS), tokencount._Counter(WORDS, {}), []
+    monkeypatch.setattr(counter, "by_library", lambda text, f=counter.by_library: asked.append(text) or f(text))
+    texts = ["Ελληνικά κείμενο ΣΑΣ Ωμέγα και English words", "русский текст, ещё раз и English", "漢字かな交じり文 と words", "curly ‘quotes’ and “doubles” — dash… here", "नमस्ते दुनिया", "مرحبا بالعالم", "éa ́x Å", "a<|endoftext|>b <|startoftext|> c", "xy z  w　v"]
+    rng = random.Random(6)
+    parts = ["a", "B ", " ", "\n", "'s", "'S ", "1", "!", "é", "É ", "\t", "<|endoftext|>", "漢", "Σ", "ς ", "　", "x", "", "²", "", "’", "’s ", "İ", "ß", "ﬁ", "́", "🙂", "Ж"]
+    for text in texts + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + [t for t in ODD if t]:
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    asked.clear()
+    counter.clear()
+    counter.count("plain words here — and “more” of them " * 50)
+    assert sorted(asked) == sorted({"plain", "words", "here", "—", "and", "“more”", "of", "them"})  # no text goes whole
+
+
+def test_frequent_words_are_added_up_over_partitions(spark):
+    docs = spark.createDataFrame([(f"Alpha beta — gamma{k} " * (k % 3),) for k in range(60)] + [(None,), ("",)], "text string").repartition(6)
+    assert {"alpha", "beta", "—"} <= set(tokencount.frequent_words(docs, "text", 5)[:4]) and tokencount.frequent_words(docs.limit(0), "text") == []
+
+
 def test_token_table_round_trip(spark, tmp_path):
     docs = documents(spark).select("doc_id", "text").union(odd(spark).select("doc_id", "text")).repartition(3)
     path = f"file://{tmp_path}/table"

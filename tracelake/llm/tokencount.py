@@ -2,10 +2,15 @@
 
 The first tier is a table of frequent pre-tokens and their numbers of tokens,
 at most ``FREQUENT`` entries, that is broadcast.  Spark finds them with a
-frequent-items sketch over all texts: each task fills a sketch and only the
-sketches move, never the pre-tokens.  The second tier is a cache in each
-worker for the pre-tokens that the first one lacks.  Texts with characters for
-which the pre-token cut could differ from the library's go to it whole.
+frequent-items sketch over each partition's texts, all texts in sum; the
+sketches' items are then added up by word, so no task gets more than its share
+and no pre-token occurrence is shuffled.  The second tier is a cache in each
+worker for what the first one lacks.
+
+White space parts pre-tokens whatever stands around it.  So a text is cut at
+it where it has characters for which Python's classes might differ from the
+library's: the segments with such characters are counted by the library, and
+their counts are cached too; all others are cut into pre-tokens here.
 """
 
 from __future__ import annotations
@@ -18,21 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of the broadcast table and of the sketch behind it, and of a worker's cache.
+from . import memory
+
+#: Entries of the broadcast table and of the sketches behind it, and of a worker's cache.
 FREQUENT, TRACKED, CACHE = 20_000, 65_536, 500_000
+#: Characters of a segment that is cached at most.
+SEGMENT = 64
 
-#: The first group goes to the library whole: characters beyond Latin letters,
-#: some that the libraries class differently, and the start of a special string.
-_WHOLE = re.compile("[^\x00-\x7e\xa0-ɏ]|[\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\\|")
+#: A segment with one of these goes to the library: characters beyond Latin
+#: letters, some that the libraries class differently, and the start of a special string.
+_ODD = re.compile("[^\x00-\x7e\xa0-ɏ]|[\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]|<\\|")
+_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 
-# The file's pre-token pattern, for characters that _WHOLE lets through.
+# The file's pre-token pattern, for characters that _ODD lets through.
 _PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-_COUNTERS: dict[str, "_Counter"] = {}
+_COUNTERS: dict[str, "_Counter"] = memory.cache()
 
 
 class _Counter(dict):
-    """Tokens of a pre-token; what it lacks the library counts."""
+    """Tokens of a pre-token or odd segment; what it lacks the library counts."""
 
     def __init__(self, path: str, frequent: dict[str, int]):
         super().__init__(frequent)
@@ -41,29 +51,39 @@ class _Counter(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.model._resize_cache(0)  # our cache stands before it
+        self.most = len(self) + CACHE
 
-    def __missing__(self, word: str) -> int:
-        n = self.whole(word)
-        if len(self) < FREQUENT + CACHE:
-            self[word] = n
+    def __missing__(self, part: str) -> int:
+        n = self.by_library(part)
+        if len(self) < self.most and len(part) <= SEGMENT:
+            self[part] = n
         return n
 
-    def whole(self, text: str) -> int:
+    def by_library(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if _WHOLE.search(text):
-            return self.whole(text)
-        return sum(map(self.__getitem__, _PRE_TOKEN.findall(text.lower())))
+        if not _ODD.search(text):
+            return sum(map(self.__getitem__, _PRE_TOKEN.findall(text.lower())))
+        segments = _SPACE.split(text)
+        odd = [x for x in segments if _ODD.search(x)]
+        plain = " ".join([x for x in segments if not _ODD.search(x)])
+        return sum(map(self.__getitem__, odd)) + sum(map(self.__getitem__, _PRE_TOKEN.findall(plain.lower())))
 
 
 def frequent_words(docs: DataFrame, text_col: str, n: int = FREQUENT) -> list[str]:
-    """About the ``n`` most frequent runs of letters over all texts, from mergeable sketches."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word"))
-    top = words.where("word <> ''").select(F.expr(f"approx_top_k(word, {n}, {max(n, TRACKED)})").alias("top")).first()["top"]
-    return [x["item"] for x in top or []]
+    """About the ``n`` most frequent words over all texts, from a sketch of each partition.
+
+    Words are runs of letters, and segments with characters beyond Latin ones as they are.
+    """
+    segments = F.explode(F.split(F.col(text_col), "[ \t\n\x0b\x0c\r]+")).alias("segment")
+    plain = F.when(F.col("segment").rlike("[^\x00-\x7e\xa0-ɏ]"), F.array("segment")).otherwise(F.split(F.lower("segment"), r"[^\p{L}]+"))
+    words = docs.select(F.spark_partition_id().alias("part"), segments).select("part", F.explode(plain).alias("word")).where(f"word <> '' and length(word) <= {SEGMENT}")
+    tops = words.groupBy("part").agg(F.expr(f"approx_top_k(word, {n}, {max(n, TRACKED)})").alias("top"))
+    found = tops.select(F.explode("top").alias("x")).groupBy(F.col("x.item").alias("word")).agg(F.sum("x.count").alias("n"))
+    return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(n).collect()]  # n rows at most
 
 
 def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -74,11 +94,15 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counter = _Counter(vocabulary, {})
-    table = rows.sparkSession.sparkContext.broadcast({w: counter.whole(w) for w in frequent_words(rows, "text")})
+    words = frequent_words(rows, "text")
+    # a line for each word and two bytes for its tokens: some hundred kilobytes
+    table = rows.sparkSession.sparkContext.broadcast(("\n".join(words), b"".join(counter.by_library(w).to_bytes(2, "little") for w in words)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _COUNTERS:
-            _COUNTERS[vocabulary] = _Counter(vocabulary, table.value)
+            memory.release()
+            known, sizes = table.value
+            _COUNTERS[vocabulary] = _Counter(vocabulary, {w: int.from_bytes(sizes[2 * k : 2 * k + 2], "little") for k, w in enumerate(known.split("\n")) if w})
         counts = _COUNTERS[vocabulary]
         for batch in batches:
             texts = batch.column(1).to_pylist()
