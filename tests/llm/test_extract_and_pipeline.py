@@ -1,9 +1,12 @@
 """Extraction on written pages, and the pipeline on a whole small table."""
 
 import re
+import time
+import tracemalloc
 from html import unescape
 
 import corpus_pipeline
+import pytest
 from tracelake.llm import extract
 
 SF = "/root/testdata/sf0.001"
@@ -31,7 +34,45 @@ PAGES = {
 def test_pages_of_many_forms():
     for name, (html, text) in PAGES.items():
         assert extract.Page(html).text(None) == text, name
-    assert extract.Page(None).text(">html>body") == ""
+    assert extract.Page(None).text(7) == ""
+
+
+FORMS = {
+    "quote in a bare value": ("<article><p title=it's>Hello</p><p>It's more</p></article>", "Hello It's more"),
+    "two quotes in bare values": ("<article><p title=it's>Hello</p><p title=a\"b>x</p></article>", "Hello x"),
+    "bracket in a value": ('<article><p title="a>b" class=\'x>y\'>Hello</p></article>', "Hello"),
+    "quote that nothing closes": ('<article><p title="x>Hello</p><p>more</p></article>', "Hello more"),
+    "spaces about equals": ("<article><p title = 'a' hidden = b>Hello</p></article>", "Hello"),
+    "slashes": ("<article><br/><img src=a/b/><p/>Hello<br / >you</article>", "Hello you"),
+    "social science": ('<body><div class="social-science"><p>Long main text of the page.</p></div><div class="social-links"><p>Follow us now</p></div></body>', "Long main text of the page."),
+    "commentary": ('<body><div class="commentary"><p>Long main text of the page.</p></div><div class="commentlist"><p>no</p></div></body>', "Long main text of the page."),
+    "related work": ('<body><div class="related-work notice-of-award"><p>Long main text.</p></div><div id="site-footer"><p>no</p></div></body>', "Long main text."),
+    "number sign and comment": ("<body><article>1 < 2 <!-- x > y --> and 3 <4</article>", "1 < 2 and 3 <4"),
+}
+
+
+@pytest.mark.parametrize("name", FORMS)
+def test_forms_of_tags_and_names(name):
+    html, text = FORMS[name]
+    assert extract.Page(html).text(None) == text
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div class=a>", "<p>", "<li>", "<td>", "<span class=ad>", "</x>", "<a <a ", "<!", "<p title=\"", "<p title='", "<!-- ", "<p a = ", "<div><li>", "<article><p>", "x</div>"])
+def test_a_page_of_any_form_takes_linear_time_and_memory(part):
+    html = "<body>" + part * 40_000 + "<p>deep text" + "</div>" * 40_000
+
+    def read():
+        found = extract.Page(html)
+        found.text(found.path[-1])
+        found.scores()
+
+    began = time.process_time()
+    read()
+    assert time.process_time() - began < 2
+    tracemalloc.start()
+    read()
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
 
 
 def test_a_host_agrees_on_its_path(spark):

@@ -10,30 +10,40 @@ text; a page that has none of them gives its own best container.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .urlfilter import host_and_path
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# As HTML has it: a value without quotes may hold quotes, one in quotes may hold
+# ">".  A quote that nothing closes is part of a name, and a tag that nothing
+# closes takes what follows.  No part is read twice, so the time is linear.
+_ATTRIBUTES = r"""(?:[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+|[\s/=])*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|[^<]++|<", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+""")
+_READ = {"class", "id", "role", "itemprop"}
 
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noframes"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _FURNITURE = set("nav footer aside form head script style noscript template iframe select button svg dialog textarea menu object canvas title".split())
-#: Parts of class and id names that mark furniture.
+#: Names of furniture, and words that say where or in what it stands.
 _NAMES = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-#: The same within compound parts, such as "topnav" or "commentlist".
-_COMPOUND = re.compile("^(comment|sidebar|footer|cookie|advert|newsletter|breadcrumb)|(sidebar|footer|menu|nav|banner|notice|comments)$")
+_PLACES = set(
+    "aside area bar block bottom box button buttons column container content drop fixed foot form global group head holder icons inner item items left link links list main mega mobile outer overlay page panel primary right row secondary section side site slot sticky strip sub tools top unit user web widgets wrap wrapper".split()
+)
+#: Both in one word, such as "topnav" or "commentlist".
+_COMPOUND = re.compile(rf"(?:{'|'.join(sorted(_PLACES))})?(?:{'|'.join(sorted(x for x in _NAMES if len(x) > 2))})(?:{'|'.join(sorted(_PLACES))})?")
 #: A class name that begins so says what its element has or lacks, not what it is.
 _MODIFIERS = {"has", "with", "without", "no", "is"}
 _HEADERS = {"header", "masthead"}
@@ -43,16 +53,32 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _HOLDS = {"ul", "ol", "dl", "table", "select", "body"}
 _CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _HOMES = {"article": 4, "main": 3}
+#: Levels above a block that it counts for; its weight halves at each.
+_LEVELS = 60
+
+
+@functools.lru_cache(1 << 14)
+def furniture_names(name: str) -> set[str]:
+    """The words of furniture in a class or id name, if it is one's name: "cookie-notice", "share-buttons", but not "social-science"."""
+    parts = re.findall("[a-z]+", name)
+    if not parts or parts[0] in _MODIFIERS:
+        return set()
+    marks = {x for x in parts if x in _NAMES or _COMPOUND.fullmatch(x)}
+    return marks if parts[-1] in marks or all(x in marks or x in _PLACES for x in parts) else set()
 
 
 class Page:
-    """Elements as (parent, tag, path, furniture) and text blocks as (element, text, link characters) in page order."""
+    """Elements as (parent, tag, path, furniture) and text blocks as (element, text, link characters) in page order.
+
+    A path is a number: a hash of its parent's number and of the element's
+    generalised tag and classes, so deep nesting costs no more than flat.
+    """
 
     def __init__(self, html: str | None):
-        self.parent, self.tag, self.path, self.out = [-1], [""], [""], [False]
+        self.parent, self.tag, self.path, self.out = [-1], [""], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self._open, self._text, self._links, self._in_link = [0], [], 0, 0
-        self._inline: list[str] = []
+        self._count: dict[str, int] = {}  # open elements by tag
         html, at = html or "", 0
         while m := _TOKEN.match(html, at):
             at = m.end()
@@ -62,13 +88,15 @@ class Page:
                     self._text.append(m[0])
                     self._links += len(m[0]) * (self._in_link > 0)
                 continue
+            if html[at - 1] != ">":  # the page ends within the tag
+                break
             tag = tag.lower()
             if m[1]:
                 self._end(tag)
             else:
                 self._start(tag, m[3])
                 if tag in _RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at)
                     at = end.end() if end else len(html)
                     self._end(tag)
         self._flush()
@@ -82,14 +110,17 @@ class Page:
 
     def _pop_to(self, depth: int) -> None:
         self._flush()
+        for x in self._open[depth:]:
+            self._count[self.tag[x]] -= 1
         del self._open[depth:]
 
     def _start(self, tag: str, attributes: str) -> None:
-        found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+            if (name := m[1].lower()) in _READ:
+                found.setdefault(name, (m[2] or m[3] or m[4] or "").lower())
         shown = found.get("class", "").split()
-        parts = [re.findall("[a-z]+", name) for name in [*shown, found.get("id", "")]] if found else []
-        names = {x for p in parts if p and p[0] not in _MODIFIERS for x in p}
-        named = {x for x in names if x in _NAMES or _COMPOUND.search(x)}
+        named = set().union(*map(furniture_names, [*shown, found.get("id", "")])) if found else set()
         marked = bool(named) or found.get("role") in _ROLES
         if tag in _INLINE and not marked:
             self._in_link += tag == "a"
@@ -99,16 +130,19 @@ class Page:
                 self._flush()
             return
         self._flush()
-        if tag in _CLOSES_P and "p" in (open_ := [self.tag[x] for x in self._open]):
-            self._pop_to(len(open_) - 1 - open_[::-1].index("p"))
-        if tag in _ENDS:
+        if tag in _CLOSES_P and self._count.get("p"):
+            depth = len(self._open) - 1
+            while self.tag[self._open[depth]] != "p":
+                depth -= 1
+            self._pop_to(depth)
+        if tag in _ENDS and any(self._count.get(x) for x in _ENDS[tag]):
             for depth in range(len(self._open) - 1, 0, -1):
                 if self.tag[self._open[depth]] in _ENDS[tag]:
                     self._pop_to(depth)
                 elif self.tag[self._open[depth]] in _HOLDS:
                     break
         above = self._open[-1]
-        inside = any(self.tag[x] in _HOMES for x in self._open)
+        inside = any(self._count.get(x) for x in _HOMES)
         home = tag in _HOMES or tag in ("html", "body") or found.get("itemprop") == "articlebody"
         if home:  # a class of a main element counts only if it is a name of furniture as a whole
             marked = tag in _HOMES and bool(set(shown) & (_NAMES - _HEADERS))
@@ -118,19 +152,21 @@ class Page:
         shape = ".".join([tag, *sorted(re.sub(r"\d+", "#", c) for c in shown)])
         self.parent.append(above)
         self.tag.append(tag)
-        self.path.append(f"{self.path[above]}>{shape}")
+        self.path.append(xxhash.xxh64_intdigest(shape.encode("utf-8", "surrogatepass"), self.path[above]))
         self.out.append(self.out[above] or furniture)
         self._open.append(len(self.tag) - 1)
+        self._count[tag] = self._count.get(tag, 0) + 1
 
     def _end(self, tag: str) -> None:
         if tag == "br":
             self._flush()
-        for depth in range(len(self._open) - 1, 0, -1):
-            if self.tag[self._open[depth]] == tag:
-                if tag not in ("html", "body"):  # what follows them still belongs to the body
-                    self._pop_to(depth)
-                return
-        if tag == "a":
+        if self._count.get(tag):
+            if tag not in ("html", "body"):  # what follows them still belongs to the body
+                depth = len(self._open) - 1
+                while self.tag[self._open[depth]] != tag:
+                    depth -= 1
+                self._pop_to(depth)
+        elif tag == "a":
             self._in_link = max(0, self._in_link - 1)
 
     def scores(self) -> dict[int, float]:
@@ -139,7 +175,9 @@ class Page:
         for element, text, links in self.blocks:
             at = element if self.tag[element] not in ("p", "pre", "blockquote", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "") else self.parent[element]
             weight = max(0, len(text) - 2 * links) + 0.01
-            while at > 0:
+            for _ in range(_LEVELS):
+                if at <= 0:
+                    break
                 found[at] = found.get(at, 0.0) + weight * _HOMES.get(self.tag[at], 1)
                 at, weight = self.parent[at], weight / 2
         return found
@@ -149,36 +187,38 @@ class Page:
         found = self.scores()
         return max(found, key=lambda x: (found[x], -x)) if found else 0
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """Blocks inside the path's containers, or inside the page's best one."""
-        chosen = {x for x, p in enumerate(self.path) if p == path and not self.out[x]} if path else set()
-        if not chosen or not any(self._inside(e, chosen) for e, _, _ in self.blocks):
-            chosen = {self.best()}
-        return " ".join(t for e, t, _ in self.blocks if self._inside(e, chosen))
+        if path is not None:
+            found = self._within({x for x, p in enumerate(self.path) if p == path and not self.out[x]})
+            if found:
+                return " ".join(found)
+        return " ".join(self._within({self.best()}))
 
-    def _inside(self, element: int, chosen: set[int]) -> bool:
-        while element not in chosen and element > 0:
-            element = self.parent[element]
-        return element in chosen
+    def _within(self, chosen: set[int]) -> list[str]:
+        inside = []
+        for x, above in enumerate(self.parent):  # parents stand before their children
+            inside.append(x in chosen or above >= 0 and inside[above])
+        return [t for e, t, _ in self.blocks if inside[e]]
 
 
 def host_paths(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and the path with most votes; of equal ones the greatest.  Pages without a host do not vote."""
+    """host and the path (a number) with most votes; of equal ones the greatest.  Pages without a host do not vote."""
     rows = pages.select(host_and_path(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html")).where("host <> ''")
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[tuple[str, str], int] = {}
+            out: dict[tuple[str, int], int] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(html)
                 found = page.scores()
                 top = max(found.values(), default=1)
                 for x, score in found.items():
-                    key = host, page.path[x]
+                    key = host, page.path[x] - (page.path[x] >> 63 << 64)  # as a signed long
                     out[key] = out.get(key, 0) + round(1000 * score / top)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.string()), pa.array(list(out.values()), pa.int64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.string()), pa.array([p for _, p in out], pa.int64()), pa.array(list(out.values()), pa.int64())], names=["host", "path", "votes"])
 
-    votes = rows.mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    votes = rows.mapInArrow(vote, "host string, path long, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("host").agg(F.max(F.struct("votes", "path"))["path"].alias("path"))
 
 
@@ -187,6 +227,9 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     A null or empty page has an empty text; a page without a host is read by
     its own best container; null ids stay null and repeated rows each give one.
+    Time and memory of a page are linear in its length, however deep its
+    elements nest and whatever quotes or tags stay open: a quote that nothing
+    closes ends with its tag, a tag that nothing closes takes the rest.
     """
     paths = written(host_paths(pages, url_col=url_col, html_col=html_col), "paths")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_and_path(F.col(url_col))[0].alias("host"))
@@ -194,7 +237,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h).text(p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [Page(h).text(None if p is None else p & (1 << 64) - 1) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(joined.dtypes)["page_id"]
