@@ -11,8 +11,8 @@ from .common import small_batches
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Site names whose pages make up the list of op6.
-LISTED_SITES = r"(^|[.])(cheap-pills|free-bets|adult-x|spam-farm)[.]"
+#: The list of op6 stands for one that is given: canonical URLs with an MD5 digest that begins so, one in four of each host.
+LISTED = "[0-3]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     host, path = urlfilter.host_and_path(F.col("url"))
-    parts = pages.select(host.alias("host"), path.alias("path")).where(F.col("host").rlike(LISTED_SITES))
-    listed = parts.select(urlfilter.canonical(F.col("host"), F.col("path")).alias("url"))
+    parts = pages.select(host.alias("host"), path.alias("path"))
+    listed = parts.select(urlfilter.canonical(F.col("host"), F.col("path")).alias("url")).where(F.md5("url").rlike(f"^{LISTED}"))
     return urlfilter.filter_urls(pages, listed, RULES)
 
 
@@ -120,7 +120,7 @@ c AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '
            WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
            WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
            WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
-listed AS (SELECT DISTINCT url FROM c WHERE regexp_matches(host, '{LISTED_SITES}') AND url <> '')
+listed AS (SELECT DISTINCT url FROM c WHERE regexp_matches(md5(url), '^{LISTED}') AND url <> '')
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict

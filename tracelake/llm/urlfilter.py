@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import Tables, small
 
 #: Bits of the filter for each listed URL.
 BITS = 16
@@ -78,14 +78,15 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     and either table may be empty.
     """
     listed = listed.select(F.col(listed.columns[0]).alias("url")).where("url <> ''").distinct()
+    listed = Tables(pages.sparkSession).written(listed, "listed")  # counted, put into the filter and joined
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = parts.select("*", rule.alias("rule"), verdict.alias("verdict"), canonical(F.col("host"), F.col("path")).alias("url"))
-    ruled, open_ = judged.where("rule is not null"), judged.where("rule is null")
-    tested = possible_hits(open_, listed, listed.count())
-    sure = tested.where("not possible").withColumn("verdict", F.lit("allow"))
-    exact = tested.where("possible").join(listed.withColumn("hit", F.lit(True)), "url", "left")
+    tested = possible_hits(judged, listed, listed.count())
+    open_ = F.col("rule").isNull() & F.col("possible")
+    sure = tested.where(~open_).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    exact = tested.where(open_).join(listed.withColumn("hit", F.lit(True)), "url", "left")
     exact = exact.withColumn("verdict", F.when(F.col("hit"), "block").otherwise("allow"))
     columns = ["page_id", "host", "path", "rule", "verdict"]
-    return ruled.select(columns).unionByName(sure.select(columns)).unionByName(exact.select(columns))
+    return sure.select(columns).unionByName(exact.select(columns))
