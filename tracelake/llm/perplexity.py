@@ -5,8 +5,10 @@ UTF-16 units, one for each language, counted over all documents.  Four units
 fill a 64-bit integer exactly, so an n-gram is its own key.  Each task counts
 its texts in sorted arrays; Spark adds the counts and computes the smoothed
 probabilities with groupings and joins.  For scoring, the n-grams of the model
-are held in arrays sorted by a mixed key, with a bucket index over them; every
-n-gram of a text is in the model, as the model was counted over it.
+are held in arrays sorted by a mixed key, with a bucket index over them, and go
+to the texts in slices of bounded size.  Every n-gram of a text is in the
+model, as the model was counted over it; of a table that changes between the
+two readings, n-grams without a count do not add to the perplexity.
 
 A document is rejected if the logarithm of its perplexity leaves the band of
 its language, which is set by the quartiles over the language's documents.
@@ -21,16 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
 from .arrays import chunks, mix
-from .common import small, written
+from .common import Tables, small
 
 ORDER = 4
 #: Quartile distances below the first and above the third quartile that a document may lie.
 BAND = 3.0
-#: Languages with fewer scored documents have no band and reject none.
-LEAST_DOCS = 20
-#: N-grams that may be broadcast (12 bytes each); a larger model is joined by n-gram.
-BROADCAST_NGRAMS = 8_000_000
+#: N-grams that are broadcast at once (12 bytes each); a larger model goes to the texts slice by slice.
+BROADCAST_NGRAMS = 4_000_000
 #: Languages up to which tables with a row for each are broadcast.
 MOST_LANGUAGES = 10_000
 #: N-grams a task holds before it hands its counts on.
@@ -150,7 +151,7 @@ def _suffix(gram: Column, units: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 16 * units) - 1))
 
 
-def kneser_ney(counts: DataFrame, languages: int) -> DataFrame:
+def kneser_ney(counts: DataFrame, languages: int, tables: Tables) -> DataFrame:
     """lang, gram and logp (natural logarithm) of every n-gram that was counted.
 
     The highest order has its counts, each lower one the number of distinct
@@ -159,7 +160,7 @@ def kneser_ney(counts: DataFrame, languages: int) -> DataFrame:
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         longer = orders[k + 1]
-        orders[k] = written(longer.groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+        orders[k] = tables.written(longer.groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
     below = None
     for k in range(1, ORDER + 1):
         table = orders[k].join(small(_discounts(orders[k]), languages, MOST_LANGUAGES), "lang")
@@ -175,7 +176,7 @@ def kneser_ney(counts: DataFrame, languages: int) -> DataFrame:
             lower = below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below"))
             table = table.join(context, ["lang", "context"]).withColumn("shorter", _suffix(F.col("gram"), k - 1)).join(lower, ["lang", "shorter"])
             table = table.withColumn("p", own + weight * F.col("below"))
-        below = written(table.select("lang", "gram", "p"), "model")
+        below = tables.written(table.select("lang", "gram", "p"), "model")
     return below.select("lang", "gram", F.log("p").alias("logp"))
 
 
@@ -188,65 +189,81 @@ class HashArrays:
         self.key, self.logp = key[order], logp[order].astype(np.float32)
         self.shift = np.uint64(64 - max(1, int(np.ceil(np.log2(len(key) + 1)))))
         size = 1 << int(64 - self.shift)
-        self.start = np.searchsorted(self.key, np.arange(size, dtype=np.uint64) << self.shift).astype(np.int32)
+        edges = np.searchsorted(self.key, np.arange(size, dtype=np.uint64) << self.shift)
+        self.start = np.concatenate((edges, [len(key)])).astype(np.int32)
 
     def get(self, grams: np.ndarray) -> np.ndarray:
-        """Of n-grams that are in the model."""
+        """Log probabilities, zero for n-grams that the arrays lack."""
         key = mix(grams)
-        at = self.start[key >> self.shift]
-        wrong = np.flatnonzero(self.key[at] != key)
-        while len(wrong):
-            at[wrong] += 1
-            wrong = wrong[self.key[at[wrong]] != key[wrong]]
-        return self.logp[at]
+        bucket = (key >> self.shift).astype(np.int64)
+        at, end = self.start[bucket].astype(np.int64), self.start[bucket + 1]
+        out = np.zeros(len(key), dtype=np.float32)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            same = self.key[at[left]] == key[left]
+            out[left[same]] = self.logp[at[left[same]]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
 
 # ----------------------------------------------------------------------- scoring
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCORED = "row long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in _BASE) + ", units long, log_ppl double"
+_SCORED = "row long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in _BASE) + ", units long, total double"
 
 
-def _score(docs: DataFrame, model) -> DataFrame:
-    """Base counts and mean negative log probability of each row; without a model the latter is null."""
+def _score(docs: DataFrame, model, base: bool) -> DataFrame:
+    """Base counts (if asked for) and the sum of negative log probabilities of each row, over the n-grams that ``model`` has."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = model.value if model else None
+        memory.release()
+        tables = model.value
         for batch in batches:
             langs, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            base = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, len(_BASE))
-            units, log_ppl = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), np.nan)
-            for lang in set(langs) if tables is not None else ():
+            counts = np.array([base_counts(t) for t in texts] if base else [], dtype=np.int64).reshape(-1, len(_BASE))
+            units, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+            for lang in set(langs):
                 at = np.array([k for k, (x, t) in enumerate(zip(langs, texts)) if x == lang and t], dtype=np.int64)
                 for first, end, grams, bounds in _ngrams([texts[k] for k in at]):
                     units[at[first:end]] = np.diff(bounds)
-                    log_ppl[at[first:end]] = -np.add.reduceat(tables[lang].get(grams), bounds[:-1], dtype=np.float64) / np.diff(bounds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), *(pa.array(base[:, k]) for k in range(len(_BASE))), pa.array(units), pa.array(log_ppl, from_pandas=True)],
-                names=["row", "doc_id", "lang", *_BASE, "units", "log_ppl"],
-            )
+                    if lang in tables:  # a slice may lack all of a language
+                        total[at[first:end]] = -np.add.reduceat(tables[lang].get(grams), bounds[:-1], dtype=np.float64)
+            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(counts[:, k]) if base else pa.nulls(len(texts), pa.int64()) for k in range(len(_BASE))), pa.array(units), pa.array(total)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "lang", *_BASE, "units", "total"])
 
     return docs.select("row", "doc_id", "lang", "text").mapInArrow(score, _SCORED)
 
 
-def _joined_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same where the model is too large for the tasks: each text's n-grams meet it by join."""
+def _arrays(model: DataFrame) -> dict[str, HashArrays]:
+    """The model's n-grams by language; ``model`` is of a counted size."""
+    table = model.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
+    langs = table.column("lang").combine_chunks().dictionary_encode()
+    code, grams, logp = langs.indices.to_numpy(), table.column("gram").to_numpy(), table.column("logp").to_numpy()
+    return {x: HashArrays(grams[code == k], logp[code == k]) for k, x in enumerate(langs.dictionary.to_pylist())}
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, langs, texts = (batch.column(k).to_pylist() for k in range(3))
-            some = [k for k, t in enumerate(texts) if t]
-            for first, _, found, bounds in _ngrams([texts[k] for k in some]):
-                for k in range(len(bounds) - 1):
-                    key, n = np.unique(found[bounds[k] : bounds[k + 1]], return_counts=True)
-                    row = some[first + k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(key), rows[row])), pa.array([langs[row]] * len(key)), pa.array(key.view(np.int64)), pa.array(n)], names=["row", "lang", "gram", "n"]
-                    )
 
-    each = docs.select("row", "lang", "text").mapInArrow(grams, "row long, lang string, gram long, n long")
-    sums = each.join(model, ["lang", "gram"]).groupBy("row").agg(F.sum("n").alias("units"), (-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("log_ppl"))
-    return _score(docs, None).drop("units", "log_ppl").join(sums, "row", "left").withColumn("units", F.coalesce("units", F.lit(0)))
+def scores(rows: DataFrame, model: DataFrame, n: int, at_once: int, tables: Tables) -> DataFrame:
+    """Base counts and log perplexity of each row, by one slice of the model after the other.
+
+    The texts stay where they are: each slice goes over them, and only sums are
+    added up by row.
+    """
+    slices = max(1, -(-n // at_once))
+    if slices > 1:
+        rows = tables.written(rows, "rows")
+    parts = None
+    for k in range(slices):
+        some = model if slices == 1 else model.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k)
+        arrays = rows.sparkSession.sparkContext.broadcast(_arrays(some))
+        one = tables.written(_score(rows, arrays, k == 0), "scores")
+        arrays.unpersist()
+        parts = one if parts is None else parts.unionByName(one)
+    if slices > 1:
+        one = [F.max(c).alias(c) for c in ("doc_id", "lang", *_BASE, "units")]
+        parts = parts.groupBy("row").agg(*one, F.sum("total").alias("total"))
+    return parts.withColumn("log_ppl", F.try_divide("total", "units"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, repeat_share: float = 0.5, band: float = BAND, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
@@ -257,24 +274,17 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     set by the rows that pass the base rules.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.col(text_col).alias("text"))
-    counts = written(ngram_counts(rows), "ngrams")
-    languages = counts.groupBy("lang").agg(F.count("*").alias("n")).count()
-    model = kneser_ney(counts, languages)
-    if counts.count() <= broadcast_ngrams and languages <= MOST_LANGUAGES:
-        table = model.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
-        langs = table.column("lang").combine_chunks().dictionary_encode()
-        code, grams, logp = langs.indices.to_numpy(), table.column("gram").to_numpy(), table.column("logp").to_numpy()
-        arrays = {x: HashArrays(grams[code == k], logp[code == k]) for k, x in enumerate(langs.dictionary.to_pylist())}
-        scored = _score(rows, docs.sparkSession.sparkContext.broadcast(arrays))
-    else:
-        rows = written(rows, "rows")
-        scored = _joined_scores(rows, model)
-    scored = written(scored, "scores")
+    lasting, tables = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    counts = tables.written(ngram_counts(rows), "ngrams")
+    per = counts.groupBy("lang").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first()
+    languages = per[0]
+    scored = lasting.written(scores(rows, kneser_ney(counts, languages, tables), per[1] or 0, broadcast_ngrams, tables), "scored")
+    tables.remove()
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > F.lit(repeat_share) * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"), F.count("*").alias("docs"))
+    quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
     q1, q3 = F.col("q")[0], F.col("q")[1]
-    bands = quartiles.where(F.col("docs") >= LEAST_DOCS).select("lang", (q1 - band * (q3 - q1)).alias("low"), (q3 + band * (q3 - q1)).alias("high"))
+    bands = quartiles.select("lang", (q1 - band * (q3 - q1)).alias("low"), (q3 + band * (q3 - q1)).alias("high"))
     judged = scored.join(small(bands, languages, MOST_LANGUAGES), "lang", "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high")
