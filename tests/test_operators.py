@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import flame, sched, selection, symbols, tables, timeline
+from tracelake.operators.selection import Selection
 from tracelake.plans.ranges import point_in_range, running_sum
 from tracelake.sources import fixtures as fx
 
@@ -124,6 +126,18 @@ def test_stacks_keep_their_order_and_empty_ones(spark):
     assert got == {1: ["main", "f", "main", "0x63"], 2: []}
 
 
+def test_stacks_over_several_modules(spark):
+    samples = spark.createDataFrame([("t", 1, 1, 1, 5, [30, None, 130, 99], 2), ("t", 1, 1, 1, 50, [130], 1), ("t", 3, 2, 1, 5, None, 1)], "trace_id string, sample_id long, pid long, tid long, ts_ns long, frames array<long>, weight long")
+    names = spark.createDataFrame([("app", 30, 31, "main"), ("lib", 125, 140, "g"), ("new", 125, 140, "h")], "module string, lo long, hi long, fn string")
+    modules = [("t", 1, "app", 0, 90, 0, 100), ("t", 1, "lib", 100, 200, 0, 100), ("t", 1, "new", 120, 160, 40, 100), ("t", 1, "app", 0, 95, 0, 100)]
+    modules = spark.createDataFrame(modules, "trace_id string, pid long, module string, base long, limit_addr long, load_ns long, unload_ns long")
+    got = symbols.symbolize_stacks(samples, names, modules=modules)
+    assert sorted((r.sample_id, r.ts_ns, r.stack) for r in got.collect()) == [(1, 5, ["main", "?", "g", "0x63"]), (1, 50, ["h"]), (3, 5, [])]
+    assert got.where(Selection().frame("g").predicate(got)).count() == 1 == got.where(Selection().frame(99).predicate(got)).count()
+    with pytest.raises(ValueError, match="symbolize"):
+        samples.where(Selection().frame("g").predicate(samples))
+
+
 def test_flame_graph_nests(spark):
     rows = [(["a", "b", "a"], 3), (["a", "b"], 2), (["a", "c"], 4), (["d"], 1), ([], 7)]
     folded = spark.createDataFrame(rows, "stack array<string>, weight long")

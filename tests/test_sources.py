@@ -40,6 +40,12 @@ def test_stored_trace_prunes_partitions(spark, tmp_path):
     assert "time_bin" in plan.split("PartitionFilters")[1].split("]")[0] and "ts_ns" in plan.split("PushedFilters")[1].split("]")[0]
     spans = fixtures.spans(spark, SF)
     s = storage.read_trace(spark, path, "t0", 2 * 10**12, 2 * 10**12 + 10**10)["spans"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    s = storage.read_trace(spark, path, "t0", 2 * 10**12, 2 * 10**12 + 10**10)["spans"]
+    plan = s._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    assert "time_bin" in plan and ">=" in plan and "<=" in plan
+    with pytest.raises(ValueError):
+        storage.write_trace({"events": events}, path, 2 * day)
     assert s.count() == spans.where((F.col("start_ns") < 2 * 10**12 + 10**10) & (F.col("end_ns") > 2 * 10**12)).count()
     assert back.sql("SELECT count(*) AS n FROM events WHERE pid = :pid", pid=3).first().n == back.filter("events", "pid = 3").count()
 

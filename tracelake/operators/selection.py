@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_STACKS = {"frames", "stack"}
+
+
 @dataclass(frozen=True)
 class Selection:
     """Time range, processes, threads and a stack frame; what is not set does not restrict.
@@ -31,6 +34,11 @@ class Selection:
     def thread(self, *tids: int) -> Selection:
         return replace(self, tids=tids)
 
+    @property
+    def _stack(self) -> str:
+        """The column of a frame: functions have names, addresses are numbers."""
+        return "stack" if isinstance(self.fn, str) else "frames"
+
     def frame(self, fn_or_addr: str | int) -> Selection:
         """Samples whose stack holds the function (symbolized stacks) or the address."""
         return replace(self, fn=fn_or_addr)
@@ -46,9 +54,10 @@ class Selection:
             parts.append(F.col("pid").isin(*self.pids))
         if self.tids is not None and "tid" in has:
             parts.append(F.col("tid").isin(*self.tids))
-        stack = "frames" if "frames" in has else "stack" if "stack" in has else None
-        if self.fn is not None and stack:
-            parts.append(F.array_contains(stack, self.fn))
+        if self.fn is not None and has & _STACKS:
+            if self._stack not in has:
+                raise ValueError(f"a {'function' if self._stack == 'stack' else 'frame address'} is selected in the column {self._stack}, which the samples lack" + "; symbolize them first" * (self._stack == "stack"))
+            parts.append(F.array_contains(self._stack, self.fn))
         out = parts[0]
         for p in parts[1:]:
             out = out & p
@@ -63,9 +72,9 @@ class Selection:
         out = {name: df.where(self.predicate(df)) for name, df in tables.items()}
         if carry == "thread" and self.fn is not None:
             keys = ["trace_id", "pid", "tid"]
-            holders = [df for name, df in out.items() if {"frames", "stack"} & set(df.columns) and set(keys) <= set(df.columns)]
+            holders = [df for name, df in out.items() if _STACKS & set(df.columns) and set(keys) <= set(df.columns)]
             for name, df in out.items():
-                if holders and set(keys) <= set(df.columns) and not {"frames", "stack"} & set(df.columns):
+                if holders and set(keys) <= set(df.columns) and not _STACKS & set(df.columns):
                     threads = holders[0].select(*keys)
                     for other in holders[1:]:
                         threads = threads.union(other.select(*keys))

@@ -16,13 +16,16 @@ def attach_module(frames: DataFrame, modules: DataFrame, shift: int = MODULE_BIT
     """``module`` of each (trace_id, pid, ts_ns, addr): where the address lay at that time, else null.
 
     Loads of a process may reuse addresses at other times, so candidates are
-    found by address and kept by load interval.
+    found by address and kept by load interval.  Of modules that overlap, the one
+    loaded last holds the address, of these that with the greatest base, then name.
     """
     distinct = frames.select("trace_id", "pid", "ts_ns", "addr").distinct()
     limits = modules.select("trace_id", "pid", "module", "base", "limit_addr", "load_ns", "unload_ns")
     pairs = point_in_range(distinct, limits, keys=["trace_id", "pid"], point=ordered(F.col("addr")), lo=ordered(F.col("base")), hi=ordered(F.col("limit_addr") - 1), shift=shift, how="inner")
-    live = pairs.where((F.col("ts_ns") >= F.col("load_ns")) & (F.col("ts_ns") < F.col("unload_ns"))).select("trace_id", "pid", "ts_ns", "addr", "module")
-    return frames.join(live, ["trace_id", "pid", "ts_ns", "addr"], "left").select(*frames.columns, "module")
+    live = pairs.where((F.col("ts_ns") >= F.col("load_ns")) & (F.col("ts_ns") < F.col("unload_ns")))
+    keys = ["trace_id", "pid", "ts_ns", "addr"]
+    last = F.max(F.struct("load_ns", "base", "module"))["module"]
+    return frames.join(live.groupBy(*keys).agg(last.alias("module")), keys, "left").select(*frames.columns, "module")
 
 
 def symbolize(df: DataFrame, symbols: DataFrame, shift: int = FUNCTION_BITS) -> DataFrame:
@@ -34,18 +37,28 @@ def symbolize(df: DataFrame, symbols: DataFrame, shift: int = FUNCTION_BITS) ->
     return named.select(*df.columns, F.coalesce("fn", hexadecimal(F.col("addr"))).alias("fn"), F.col("fn").isNotNull().alias("resolved"))
 
 
-def symbolize_stacks(samples: DataFrame, symbols: DataFrame, module: str = "app") -> DataFrame:
+def symbolize_stacks(samples: DataFrame, symbols: DataFrame, module: str = "app", modules: DataFrame | None = None) -> DataFrame:
     """Samples with ``stack``, the functions of ``frames`` in their order.
 
-    Each distinct address is resolved once.  An empty stack stays empty.
+    With ``modules`` each frame is looked up in the module that lay there at the
+    sample's time, else all of them in ``module``.  Each distinct stack is
+    resolved once, so frames that all stacks share cost no more than others.  An
+    empty or null stack gives an empty one, a null frame is "?".
     """
-    frames = samples.select("trace_id", "sample_id", F.posexplode("frames").alias("place", "addr"))
-    addresses = frames.select("addr").distinct().withColumn("module", F.lit(module))
-    names = symbolize(addresses, symbols).select("addr", "fn")
-    parts = F.array_sort(F.collect_list(F.struct("place", "fn")))
-    stacks = frames.join(names, "addr").groupBy("trace_id", "sample_id").agg(F.transform(parts, lambda x: x["fn"]).alias("stack"))
-    joined = samples.join(stacks, ["trace_id", "sample_id"], "left")
-    return joined.withColumn("stack", F.coalesce("stack", F.array().cast("array<string>")))
+    keys = ["trace_id", "pid", "ts_ns", "frames"] if modules is not None else ["frames"]
+    stacks = samples.select(*keys).distinct()
+    frames = stacks.select(*keys, F.posexplode("frames").alias("place", "addr"))
+    if modules is not None:
+        frames = attach_module(frames, modules)
+        addresses = frames.select("module", "addr").where("addr is not null").distinct()
+    else:
+        frames = frames.withColumn("module", F.lit(module))
+        addresses = frames.select("module", "addr").where("addr is not null").distinct()
+    names = symbolize(addresses, symbols).select(F.col("module").alias("__module"), F.col("addr").alias("__addr"), "fn")
+    named = frames.join(names, F.col("module").eqNullSafe(F.col("__module")) & (F.col("addr") == F.col("__addr")), "left")
+    parts = F.array_sort(F.collect_list(F.struct("place", F.coalesce("fn", F.lit("?")).alias("fn"))))
+    resolved = named.groupBy(*keys).agg(F.transform(parts, lambda x: x["fn"]).alias("stack"))
+    return samples.join(resolved, keys, "left").select(*samples.columns, F.coalesce("stack", F.array().cast("array<string>")).alias("stack"))
 
 
 def symbol_coverage(df: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -41,7 +42,11 @@ def query(sql: str | None = None, *used: str):
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', '/tmp/tracelake').rstrip('/')}/{label}-{uuid4().hex}"
+    """A new folder where driver and executors share one; a local master has the machine's own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        shared = f"file://{tempfile.gettempdir()}/tracelake"
+    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{label}-{uuid4().hex}"
 
 
 def joined(path: str = "path"):
@@ -65,6 +70,24 @@ def read_trace(spark, sf_dir):
     return storage.read_trace(spark, _stored(spark, sf_dir), "t0", T0 + 3 * DAY, T0 + 5 * DAY + 7)["events"].select(*_EVENT.split(", "))
 
 
+@query(f"SELECT span_id, start_ns, end_ns FROM fx_spans WHERE start_ns < {S1} AND end_ns > {S0}", "fx_spans")
+def read_spans_range(spark, sf_dir):
+    path = _scratch(spark, "trace")
+    storage.write_trace({"spans": fx.spans(spark, sf_dir)}, path, 100 * SECOND)
+    return storage.read_trace(spark, path, "t0", S0, S1)["spans"].select("span_id", "start_ns", "end_ns")
+
+
+@query("SELECT trace_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT trace_id, event_id FROM fx_events UNION ALL SELECT 't1', event_id FROM fx_events WHERE kind = 'click') GROUP BY 1", "fx_events")
+def two_traces(spark, sf_dir):
+    """A store that takes two traces, one after the other, and the second one twice."""
+    path = _scratch(spark, "trace")
+    events = fx.events(spark, sf_dir).withColumns({"name": F.col("kind"), "args": F.create_map(F.lit("k"), F.col("arg_k").cast("string"))}).drop("arg_k")
+    second = events.where("kind = 'click'").withColumn("trace_id", F.lit("t1"))
+    for part in (events, second, second):
+        storage.write_trace({"events": part}, path, DAY)
+    return Trace.read(spark, path).table("events").groupBy("trace_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query(f"SELECT {_EVENT}, CAST(arg_k AS VARCHAR) AS k FROM fx_events", "fx_events")
 def write_read_roundtrip(spark, sf_dir):
     return Trace.read(spark, _stored(spark, sf_dir)).table("events").select(*_EVENT.split(", "), F.col("args")["k"].alias("k"))
@@ -199,9 +222,9 @@ def select_thread(spark, sf_dir):
     return Selection().thread(5, 17, 31).apply({"e": fx.events(spark, sf_dir)})["e"].select("event_id")
 
 
-@query("SELECT sample_id FROM fx_samples WHERE list_contains(frames, 7)", "fx_samples")
+@query("SELECT sample_id FROM fx_samples WHERE list_contains(frames, 49)", "fx_samples")
 def select_frame(spark, sf_dir):
-    return Selection().frame(7).apply({"s": fx.samples(spark, sf_dir)})["s"].select("sample_id")
+    return Selection().frame(49).apply({"s": fx.samples(spark, sf_dir)})["s"].select("sample_id")
 
 
 _COUNTS = f"SELECT kind, (ts_ns - {{a}}) // {{bw}} AS px, count(*) AS n FROM fx_events WHERE ts_ns >= {{a}} AND ts_ns < {{b}} {{more}} GROUP BY 1, 2"
@@ -245,9 +268,9 @@ ORACLE_SQL["linked_flame"] = _tree_sql(
 )
 
 
-@query("SELECT event_id FROM fx_events WHERE (trace_id, pid, tid) IN (SELECT (trace_id, pid, tid) FROM fx_samples WHERE list_contains(frames, 7))", "fx_events", "fx_samples")
+@query("SELECT event_id FROM fx_events WHERE (trace_id, pid, tid) IN (SELECT (trace_id, pid, tid) FROM fx_samples WHERE list_contains(frames, 49))", "fx_events", "fx_samples")
 def linked_semi(spark, sf_dir):
-    panes = Selection().frame(7).apply({"samples": fx.samples(spark, sf_dir), "events": fx.events(spark, sf_dir)}, carry="thread")
+    panes = Selection().frame(49).apply({"samples": fx.samples(spark, sf_dir), "events": fx.events(spark, sf_dir)}, carry="thread")
     return panes["events"].select("event_id")
 
 
@@ -344,6 +367,22 @@ def symbolize_stacks(spark, sf_dir):
     return out.select("sample_id", F.array_join("stack", ";").alias("stack"))
 
 
+@query()
+def linked_flame_symbolized(spark, sf_dir):
+    """The flame graph of the stacks that hold a function, over all modules that were loaded."""
+    stacks = symbols.symbolize_stacks(fx.samples(spark, sf_dir), fx.module_symbols(spark, sf_dir), modules=fx.modules(spark, sf_dir))
+    return flame.flame(stacks, Selection().time(S0, S1).frame("red widget")).select(joined(), "depth", "total", "self", "x")
+
+
+_RESOLVED = f"""resolved AS (SELECT f.sample_id, f.ts_ns, 1 AS weight, list({_FN} ORDER BY f.place) AS stack FROM {_FRAMES} f
+LEFT JOIN fx_modules m ON f.trace_id = m.trace_id AND f.pid = m.pid AND f.addr >= m.base AND f.addr < m.limit_addr AND f.ts_ns >= m.load_ns AND f.ts_ns < m.unload_ns
+LEFT JOIN fx_module_symbols s ON s.module = m.module AND f.addr >= s.lo AND f.addr < s.hi GROUP BY 1, 2)"""
+ORACLE_SQL["linked_flame_symbolized"] = _tree_sql(
+    "SELECT array_to_string(path, ';') AS path, CAST(depth AS INT) AS depth, total, self, x FROM laid",
+    f"(SELECT * FROM resolved WHERE ts_ns >= {S0} AND ts_ns < {S1} AND list_contains(stack, 'red widget'))", "stack", "fx_samples", "fx_modules", "fx_module_symbols", layout=True, before=_RESOLVED,
+)
+
+
 @query("SELECT array_to_string(stack, ';') AS stack, CAST(sum(weight) AS BIGINT) AS weight FROM fx_stacks GROUP BY 1", "fx_stacks")
 def fold_stacks(spark, sf_dir):
     s = fx.stacks(spark, sf_dir)
@@ -439,11 +478,12 @@ ORACLE_SQL["pair_io"] = duck("", "fx_events") + f", {_IO} SELECT * FROM io"
 
 @query()
 def io_summary(spark, sf_dir):
-    out = sched.io_summary(sched.pair_io(fx.events(spark, sf_dir), "click", "view", ["trace_id", "pid", "tid"]), ["pid"])
+    out = sched.io_summary(sched.pair_io(fx.events(spark, sf_dir), "click", "view", ["trace_id", "pid", "tid"]), ["trace_id", "pid", "tid"])
+    out = out.withColumn("volume", F.round(F.col("volume") * 100).cast("bigint"))
     return out.withColumns({c: F.round(F.col(c) / 1000).cast("bigint") for c in ("p50", "p95", "p99")})  # microseconds: interpolation differs in the last bits
 
 
-ORACLE_SQL["io_summary"] = duck("", "fx_events") + f", {_IO}, l AS (SELECT pid, end_ns - start_ns AS x FROM io) SELECT pid, count(x) AS n, CAST(sum(x) AS BIGINT) AS total, min(x) AS least, max(x) AS most, CAST(round(quantile_cont(x, 0.5) / 1000) AS BIGINT) AS p50, CAST(round(quantile_cont(x, 0.95) / 1000) AS BIGINT) AS p95, CAST(round(quantile_cont(x, 0.99) / 1000) AS BIGINT) AS p99, count(DISTINCT x) AS n_distinct FROM l GROUP BY pid"
+ORACLE_SQL["io_summary"] = duck("", "fx_events") + f", {_IO}, l AS (SELECT trace_id, pid, tid, size, end_ns - start_ns AS x FROM io) SELECT trace_id, pid, tid, CAST(round(sum(size) * 100) AS BIGINT) AS volume, count(x) AS n, CAST(sum(x) AS BIGINT) AS total, min(x) AS least, max(x) AS most, CAST(round(quantile_cont(x, 0.5) / 1000) AS BIGINT) AS p50, CAST(round(quantile_cont(x, 0.95) / 1000) AS BIGINT) AS p95, CAST(round(quantile_cont(x, 0.99) / 1000) AS BIGINT) AS p99, count(DISTINCT x) AS n_distinct FROM l GROUP BY trace_id, pid, tid"
 
 
 @query("SELECT s.sample_id, p.span_id FROM fx_samples s JOIN fx_spans p ON s.trace_id = p.trace_id AND s.pid = p.pid AND s.tid = p.tid AND s.ts_ns >= p.start_ns AND s.ts_ns < p.end_ns", "fx_samples", "fx_spans")
@@ -462,7 +502,16 @@ def ingest_stream(spark, sf_dir):
     for part in ("cpu < 2", "cpu >= 2"):
         raw.where(part).write.mode("append").json(f"{base}/in")
         live.ingest_stream(spark, f"{base}/in", "linux", f"{base}/out", time_bin_ns=DAY).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("ts_ns", "pid", "tid", "cpu", "kind", "value")
+    return spark.read.parquet(f"{base}/out/events").select("ts_ns", "pid", "tid", "cpu", "kind", "value")
+
+
+@query(f"SELECT trace_id, ts_ns, pid, tid, cpu, kind, value FROM fx_events WHERE ts_ns >= {T0 + 2 * DAY} AND ts_ns < {T0 + 9 * DAY}", "fx_events")
+def read_ingested(spark, sf_dir):
+    """What a stream has ingested, read as a trace."""
+    base = _scratch(spark, "stream")
+    _raw(spark, sf_dir, "linux").drop("event_id").write.json(f"{base}/in")
+    live.ingest_stream(spark, f"{base}/in", "linux", f"{base}/out", time_bin_ns=DAY).awaitTermination()
+    return Trace.read(spark, f"{base}/out", "t0", T0 + 2 * DAY, T0 + 9 * DAY).table("events").select("trace_id", "ts_ns", "pid", "tid", "cpu", "kind", "value")
 
 
 @query(f"SELECT kind, start, count(*) AS n FROM (SELECT kind, make_timestamp((ts_ns // {DAY}) * {DAY // 1000}) AS start FROM fx_events) WHERE start < (SELECT make_timestamp((max(ts_ns) // {DAY}) * {DAY // 1000}) FROM fx_events) GROUP BY 1, 2", "fx_events")

@@ -31,7 +31,14 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").where("p_partkey % 7 = 0").selectExpr("'app' as module", "p_partkey as lo", "p_partkey + 4 as hi", "p_name as fn")
+    """A function for each part, four of seven addresses wide."""
+    return _read(spark, sf_dir, "part").selectExpr("'app' as module", "p_partkey * 7 as lo", "p_partkey * 7 + 4 as hi", "p_name as fn")
+
+
+def module_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions in both modules, with the module's name before those of the library."""
+    app = symbols(spark, sf_dir)
+    return app.union(app.selectExpr("'lib'", "lo", "hi", "'lib.' || fn"))
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    stacks = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["l_partkey"]).alias("frames"))
+    stacks = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["l_partkey"] * 7 + x["l_partkey"] % 7).alias("frames"))
     joined = _read(spark, sf_dir, "orders").join(stacks, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.selectExpr("'t0' as trace_id", "o_orderkey as sample_id", f"{_DAY} as ts_ns", "o_custkey div 10 as pid", "o_custkey as tid", "frames", "1L as weight")
 
@@ -66,9 +73,10 @@ _DUCK_DAY = "date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) * 1000000000"
 DUCKDB = {
     "fx_events": "SELECT 't0' AS trace_id, event_id, epoch_us(ts) * 1000 AS ts_ns, user_id // 10 AS pid, user_id AS tid, CAST(user_id % 4 AS INT) AS cpu, event_type AS kind, value, CAST(json_extract_string(props, '$.k') AS INT) AS arg_k FROM events",
     "fx_spans": f"SELECT 't0' AS trace_id, o_orderkey AS span_id, s AS start_ns, s + (o_orderkey % 90 + 1) * 1000000000 AS end_ns, o_custkey // 10 AS pid, o_custkey AS tid, o_orderpriority AS kind FROM (SELECT *, {_DUCK_DAY} + (o_orderkey % 1000) * 1000000 AS s FROM orders)",
-    "fx_symbols": "SELECT 'app' AS module, p_partkey AS lo, p_partkey + 4 AS hi, p_name AS fn FROM part WHERE p_partkey % 7 = 0",
+    "fx_symbols": "SELECT 'app' AS module, p_partkey * 7 AS lo, p_partkey * 7 + 4 AS hi, p_name AS fn FROM part",
+    "fx_module_symbols": "SELECT m AS module, p_partkey * 7 AS lo, p_partkey * 7 + 4 AS hi, CASE WHEN m = 'lib' THEN 'lib.' ELSE '' END || p_name AS fn FROM part, (VALUES ('app'), ('lib')) AS t(m)",
     "fx_modules": "SELECT 't0' AS trace_id, pid, module, base, limit_addr, load_ns, 9000000000000 AS unload_ns FROM (SELECT DISTINCT c_custkey // 10 AS pid FROM customer), (VALUES ('app', 0, 1000, 0), ('lib', 1000, 1000000000, 1000000000000)) AS m(module, base, limit_addr, load_ns)",
-    "fx_samples": f"SELECT 't0' AS trace_id, o_orderkey AS sample_id, {_DUCK_DAY} AS ts_ns, o_custkey // 10 AS pid, o_custkey AS tid, frames, CAST(1 AS BIGINT) AS weight FROM orders JOIN (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS frames FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey",
+    "fx_samples": f"SELECT 't0' AS trace_id, o_orderkey AS sample_id, {_DUCK_DAY} AS ts_ns, o_custkey // 10 AS pid, o_custkey AS tid, frames, CAST(1 AS BIGINT) AS weight FROM orders JOIN (SELECT l_orderkey, list(l_partkey * 7 + l_partkey % 7 ORDER BY l_linenumber, l_partkey, l_suppkey) AS frames FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey",
     "fx_stacks": "SELECT [r_name, n_name, c_mktsegment] AS stack, count(*) AS weight FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name, c_mktsegment",
     "fx_switches": "SELECT 't0' AS trace_id, event_id AS switch_id, epoch_us(ts) * 1000 AS ts_ns, CAST(user_id % 4 AS INT) AS cpu, user_id // 10 AS pid, user_id AS tid FROM events",
 }

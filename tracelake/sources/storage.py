@@ -6,58 +6,85 @@ import json
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from .normalize import normalize
 
 
-def _meta(spark: SparkSession, path: str) -> dict:
+def _meta(spark: SparkSession, path: str) -> dict | None:
+    """What ``_trace`` says of a store, or nothing if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_trace")
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
     return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/_trace").collect()))
 
 
+def register(spark: SparkSession, path: str, tables: list[str], time_bin_ns: int, longest_span_ns: int = 0) -> None:
+    """Add tables to what ``_trace`` says of the store; its time bins must be as wide."""
+    known = _meta(spark, path) or {"time_bin_ns": time_bin_ns, "tables": [], "longest_span_ns": 0}
+    if known["time_bin_ns"] != time_bin_ns:
+        raise ValueError(f"the store has time bins of {known['time_bin_ns']} ns, not {time_bin_ns}")
+    said = {"time_bin_ns": time_bin_ns, "tables": sorted({*known["tables"], *tables}), "longest_span_ns": max(known["longest_span_ns"], longest_span_ns)}
+    if said != known or not known["tables"]:
+        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_trace")
+
+
 def write_trace(tables: dict[str, DataFrame], path: str, time_bin_ns: int) -> None:
     """Write each table under ``path``, rows of a time bin together and sorted by process, thread and time.
 
-    Rows are dealt by trace, bin and a hash of the thread, so that one busy bin
-    is written by several tasks.
+    Only the partitions that have rows are replaced, so a store takes several
+    traces: a time bin of a trace, the modules of a trace, the symbols of a
+    module.  Rows are dealt by trace, bin and a hash of thread and time within
+    the bin, so that a busy bin, or a busy thread, is written by several tasks.
     """
+    spark, longest = next(iter(tables.values())).sparkSession, 0
+    known = _meta(spark, path)
+    if known and known["time_bin_ns"] != time_bin_ns:
+        raise ValueError(f"the store has time bins of {known['time_bin_ns']} ns, not {time_bin_ns}")
     for name, df in tables.items():
         time, target = schema.TIME.get(name), f"{path}/{name}"
         if time is None:
-            df.write.mode("overwrite").parquet(target)
+            keys = ["trace_id"] if "trace_id" in df.columns else ["module"]
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
             continue
-        binned = df.withColumn("time_bin", F.expr(f"{time} div {time_bin_ns}"))
-        dealt = binned.repartition("trace_id", "time_bin", F.pmod(F.xxhash64("tid"), F.lit(8)))
-        dealt.sortWithinPartitions("trace_id", "time_bin", "pid", "tid", time).write.mode("overwrite").partitionBy("trace_id", "time_bin").parquet(target)
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(json.dumps({"time_bin_ns": time_bin_ns, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_trace")
+        seen = Observation()
+        binned = df.withColumn("time_bin", F.expr(f"({time} - pmod({time}, {time_bin_ns})) div {time_bin_ns}"))  # floor, of negative times too
+        dealt = binned.repartition("trace_id", "time_bin", F.pmod(F.xxhash64("tid", F.expr(f"{time} div {max(1, time_bin_ns // 16)}")), F.lit(8)))
+        if name == "spans":
+            dealt = dealt.observe(seen, F.max(F.col("end_ns") - F.col("start_ns")).alias("longest"))
+        dealt.sortWithinPartitions("trace_id", "time_bin", "pid", "tid", time).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trace_id", "time_bin").parquet(target)
+        if name == "spans":
+            longest = max(longest, seen.get["longest"] or 0)
+    register(spark, path, list(tables), time_bin_ns, longest)
 
 
 def read_trace(spark: SparkSession, path: str, trace_id: str | None = None, t0: int | None = None, t1: int | None = None) -> dict[str, DataFrame]:
     """The stored tables; with a trace and a time range only the partitions and row groups that hold them.
 
     Instants are kept by ``t0 <= ts < t1``.  Spans are kept if they overlap the
-    range; a span is stored in the bin of its start, so no lower bin bound holds.
+    range; a span is stored in the bin of its start, so bins are read from the
+    longest span of the store before the range on.
     """
     meta = _meta(spark, path)
+    if meta is None:
+        raise FileNotFoundError(f"no trace is stored in {path}")
     width, out = meta["time_bin_ns"], {}
     for name in meta["tables"]:
-        if name not in schema.TIME:
-            out[name] = spark.read.schema(schema.TABLES[name]).parquet(f"{path}/{name}")
-            continue
-        df = spark.read.schema(schema.TABLES[name] + ", time_bin bigint").parquet(f"{path}/{name}")
-        time = schema.TIME[name]
-        if trace_id is not None:
+        columns = [c.split()[0] for c in schema.TABLES[name].split(", ")]
+        time = schema.TIME.get(name)
+        df = spark.read.schema(schema.TABLES[name] + (", time_bin bigint" if time else "")).parquet(f"{path}/{name}")
+        if trace_id is not None and "trace_id" in columns:
             df = df.where(F.col("trace_id") == trace_id)
-        if t1 is not None:
+        if time and t1 is not None:
             df = df.where((F.col("time_bin") <= (t1 - 1) // width) & (F.col(time) < t1))
-        if t0 is not None and name == "spans":
-            df = df.where(F.col("end_ns") > t0)
-        elif t0 is not None:
-            df = df.where((F.col("time_bin") >= t0 // width) & (F.col(time) >= t0))
-        out[name] = df.drop("time_bin").select(*(c.split()[0] for c in schema.TABLES[name].split(", ")))
+        if time and t0 is not None:
+            first = t0 - meta["longest_span_ns"] if name == "spans" else t0
+            df = df.where((F.col("time_bin") >= first // width) & (F.col(time) >= first))
+            if name == "spans":
+                df = df.where(F.col("end_ns") > t0)
+        out[name] = df.select(*columns)
     return out
 
 

@@ -9,13 +9,19 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema
 from ..functions.times import to_timestamp
 from ..sources.normalize import normalize
+from ..sources.storage import register
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, source: str, out: str, *, fmt: str = "json", time_bin_ns: int = 60_000_000_000, checkpoint: str | None = None, **options) -> StreamingQuery:
-    """Normalize what has landed since the last run into ``out``, each file exactly once; ends when all is done."""
+    """Normalize what has landed since the last run into the events of the store ``out``, each file exactly once; ends when all is done.
+
+    ``read_trace`` reads the store.  A table that is ingested is not to be
+    written by ``write_trace`` too: its readers follow the stream's own log.
+    """
     raw = spark.readStream.schema(schema.RAW[source]).format(fmt).load(in_dir)
-    events = normalize(raw, source, **options).withColumn("time_bin", F.expr(f"ts_ns div {time_bin_ns}"))
-    writer = events.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint or f"{out}/_checkpoint")
+    events = normalize(raw, source, **options).withColumn("time_bin", F.expr(f"(ts_ns - pmod(ts_ns, {time_bin_ns})) div {time_bin_ns}"))
+    register(spark, out, ["events"], time_bin_ns)
+    writer = events.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", checkpoint or f"{out}/_checkpoint")
     return writer.partitionBy("trace_id", "time_bin").trigger(availableNow=True).start()
 
 
