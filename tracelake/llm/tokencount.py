@@ -76,11 +76,11 @@ class _Counter(dict):
 def frequent_words(docs: DataFrame, text_col: str, n: int = FREQUENT) -> list[str]:
     """About the ``n`` most frequent words over all texts, from a sketch of each partition.
 
-    Words are runs of letters, and segments with characters beyond Latin ones as they are.
+    Words are runs of letters; a text with characters beyond Latin ones is cut at white space alone.
     """
-    segments = F.explode(F.split(F.col(text_col), "[ \t\n\x0b\x0c\r]+")).alias("segment")
-    plain = F.when(F.col("segment").rlike("[^\x00-\x7e\xa0-ɏ]"), F.array("segment")).otherwise(F.split(F.lower("segment"), r"[^\p{L}]+"))
-    words = docs.select(F.spark_partition_id().alias("part"), segments).select("part", F.explode(plain).alias("word")).where(f"word <> '' and length(word) <= {SEGMENT}")
+    text = F.col(text_col)
+    cut = F.when(text.rlike("[^\x00-\x7e\xa0-ɏ]"), F.split(text, "[ \t\n\x0b\x0c\r]+")).otherwise(F.split(F.lower(text), r"[^\p{L}]+"))
+    words = docs.select(F.spark_partition_id().alias("part"), F.explode(cut).alias("word")).where(f"word <> '' and length(word) <= {SEGMENT}")
     tops = words.groupBy("part").agg(F.expr(f"approx_top_k(word, {n}, {max(n, TRACKED)})").alias("top"))
     found = tops.select(F.explode("top").alias("x")).groupBy(F.col("x.item").alias("word")).agg(F.sum("x.count").alias("n"))
     return [r["word"] for r in found.orderBy(F.desc("n"), "word").limit(n).collect()]  # n rows at most
