@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
 
 from tracelake.llm import classifier, decontam, linededup, packing, perplexity, queries, simhash, sstable, tokencount, tokens, urlfilter
 
@@ -55,15 +57,19 @@ def base_by_regex(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
 
 
+def units_of(text):
+    coded = text.encode("utf-16-le")
+    return [0xFFFF] * 3 + [int.from_bytes(coded[k : k + 2], "little") for k in range(0, len(coded), 2)]
+
+
 def kneser_ney_by_hand(texts):
-    units = [[0xFFFF] * 3 + [int.from_bytes(t.encode("utf-16-le")[k : k + 2], "little") for k in range(0, 2 * len(t.encode("utf-16-le")) // 2, 2)] for t in texts]
-    counts = {4: Counter(tuple(u[k - 3 : k + 1]) for u in units for k in range(3, len(u)))}
+    """The log probability of a unit after three others, by a model of ``texts``."""
+    counts = {4: Counter(tuple(u[k - 3 : k + 1]) for u in map(units_of, texts) for k in range(3, len(u)))}
     for n in (3, 2, 1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
-    p = {}
+    discount, total, left = {}, defaultdict(Counter), defaultdict(Counter)
     for n in (1, 2, 3, 4):
-        cc = Counter(counts[n].values())
-        d = {}
+        cc, d = Counter(counts[n].values()), {}
         for k in (1, 2, 3):
             try:
                 d[k] = k - (k + 1) * cc[1] / (cc[1] + 2 * cc[2]) * cc[k + 1] / cc[k]
@@ -71,27 +77,59 @@ def kneser_ney_by_hand(texts):
                 d[k] = 0
             if not 0 < d[k] <= k:
                 d[k] = k / 2
-        total, left = Counter(), Counter()
-        for g, c in counts[n].items():
-            total[g[:-1]] += c
-            left[g[:-1]] += d[min(c, 3)]
+        discount[n] = d
         for g, c in counts[n].items():
-            lower = p[g[1:]] if n > 1 else 1 / len(counts[1])
-            p[g] = (c - d[min(c, 3)]) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * lower
-    return [-sum(math.log(p[tuple(u[k - 3 : k + 1])]) for k in range(3, len(u))) / (len(u) - 3) if len(u) > 3 else None for u in units]
+            total[n][g[:-1]] += c
+            left[n][g[:-1]] += d[min(c, 3)]
+
+    def p(g):
+        n = len(g)
+        lower = p(g[1:]) if n > 1 else 1 / (len(counts[1]) + 1)
+        if not total[n][g[:-1]]:
+            return lower
+        c = counts[n][g]
+        own = (c - discount[n][min(c, 3)]) / total[n][g[:-1]] if c else 0
+        return own + left[n][g[:-1]] / total[n][g[:-1]] * lower
+
+    return lambda g: math.log(p(g))
+
+
+def log_perplexities_by_hand(texts):
+    """Of each text by the model of the texts in the other half; the half is the lowest bit of the text's hash."""
+    half = [xxh64_intdigest(t.encode(), 42) & 1 for t in texts]
+    log = [kneser_ney_by_hand([t for t, h in zip(texts, half) if h != k]) for k in (0, 1)]
+    units = list(map(units_of, texts))
+    return [-sum(log[h](tuple(u[k - 3 : k + 1])) for k in range(3, len(u))) / (len(u) - 3) if len(u) > 3 else None for u, h in zip(units, half)]
 
 
 def test_perplexity_is_that_of_a_model_by_hand(spark):
     docs = documents(spark).where("lang = 'en'").collect()
-    texts = [r.text for r in docs][:60] + ["🙂 x", "aaaa"]
-    expected = kneser_ney_by_hand(texts)
-    for limit in (10**6, 900):  # whole, in slices
+    texts = [r.text for r in docs][:60] + ["🙂 x", "aaaa", "漢字 and \0 units that no other text has", ""]
+    expected = log_perplexities_by_hand(texts)
+    for limit in (10**6, 15000):  # whole, in slices
         got = perplexity.quality_rules(table(spark, texts), broadcast_ngrams=limit).orderBy("doc_id").collect()
-        assert [r.log_ppl for r in got] == pytest.approx(expected, abs=1e-5)
+        assert [r.log_ppl for r in got] == [x if x is None else pytest.approx(x, abs=1e-5) for x in expected]
+        inside = sorted(x for x, r in zip(expected, got) if not r.base_failed)
+        q1, q3 = (inside[max(0, math.ceil(q * len(inside)) - 1)] for q in (0.25, 0.75))
         for r, text in zip(got, texts):
             assert tuple(r)[1:6] == base_by_regex(text)
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-            assert r.kept == (not r.base_failed and (r.low is None or r.low <= r.log_ppl <= r.high))
+            assert (r.low, r.high) == pytest.approx((q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)), abs=1e-4)
+            assert r.kept == (not r.base_failed and r.low <= r.log_ppl <= r.high)
+
+
+def test_bands_are_those_of_a_language(spark):
+    """Rows of several languages are scored and judged as if each language were alone, and junk in each goes."""
+    docs = documents(spark).where("lang is not null and length(text) > 0").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = {r.doc_id: tuple(r)[1:] for r in perplexity.quality_rules(docs).collect()}
+    for lang in [r.lang for r in docs.select("lang").distinct().collect()]:
+        alone = perplexity.quality_rules(docs.where(F.col("lang") == lang)).collect()
+        assert all(rows[r.doc_id] == pytest.approx(tuple(r)[1:], abs=1e-6) for r in alone)
+
+
+def test_copies_are_scored_by_what_they_are_no_part_of(spark):
+    copies = table(spark, ["one text " * 30] * 5)
+    assert all(r.log_ppl is None and r.kept == (not r.base_failed) for r in perplexity.quality_rules(copies).collect())
 
 
 def test_perplexity_edges(spark):

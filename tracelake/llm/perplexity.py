@@ -1,14 +1,16 @@
 """Quality rules: base counts and the perplexity of a character n-gram model.
 
 The model is an interpolated modified Kneser-Ney model of order four over
-UTF-16 units, one for each language, counted over all documents.  Four units
-fill a 64-bit integer exactly, so an n-gram is its own key.  Each task counts
-its texts in sorted arrays; Spark adds the counts and computes the smoothed
-probabilities with groupings and joins.  For scoring, the n-grams of the model
-are held in arrays sorted by a mixed key, with a bucket index over them, and go
-to the texts in slices of bounded size.  Every n-gram of a text is in the
-model, as the model was counted over it; of a table that changes between the
-two readings, n-grams without a count do not add to the perplexity.
+UTF-16 units.  Every language has two, counted over the two halves of its
+documents, and a document is scored by the one that has not seen it, nor any
+copy of it: halves go by a hash of the text.  Four units fill a 64-bit integer
+exactly, so an n-gram is its own key.  Each task counts its texts in sorted
+arrays; Spark adds the counts and computes the smoothed probabilities with
+groupings and joins.  For scoring, the n-grams of all orders and the weights
+that contexts leave to shorter n-grams are held in arrays sorted by a mixed
+key, with a bucket index over them, and go to the texts in slices of bounded
+size.  An n-gram without a count backs off to the shorter one; a unit without
+a count has what the model leaves to one further symbol.
 
 A document is rejected if the logarithm of its perplexity leaves the band of
 its language, which is set by the quartiles over the language's documents.
@@ -17,6 +19,7 @@ its language, which is set by the quartiles over the language's documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,8 @@ from .common import Tables, small
 ORDER = 4
 #: Quartile distances below the first and above the third quartile that a document may lie.
 BAND = 3.0
-#: N-grams that are broadcast at once (12 bytes each); a larger model goes to the texts slice by slice.
+#: N-grams and contexts that are broadcast at once (12 bytes each); a larger model goes to the texts slice by slice.
+#: Those of one and two units, which a language has few of, are in every slice.
 BROADCAST_NGRAMS = 4_000_000
 #: Languages up to which tables with a row for each are broadcast.
 MOST_LANGUAGES = 10_000
@@ -151,37 +155,43 @@ def _suffix(gram: Column, units: int) -> Column:
     return gram.bitwiseAND(F.lit((1 << 16 * units) - 1))
 
 
-def kneser_ney(counts: DataFrame, languages: int, tables: Tables) -> DataFrame:
-    """lang, gram and logp (natural logarithm) of every n-gram that was counted.
+def kneser_ney(counts: DataFrame, models: int, tables: Tables) -> DataFrame:
+    """lang, part, gram and logp (natural logarithm) of the n-grams that were counted and of their contexts.
 
-    The highest order has its counts, each lower one the number of distinct
-    units that stand before it.  Each order is written before the next uses it.
+    Part ``k`` has the probabilities of n-grams of ``k`` units; part ``-k`` has
+    for their contexts the weight of the shorter n-gram, for ``k = 1`` what a
+    unit without a count has.  The highest order has its counts, each lower one
+    the number of distinct units that stand before it.  Each order is written
+    before the next uses it.
     """
     orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
         longer = orders[k + 1]
         orders[k] = tables.written(longer.groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
-    below = None
+    below, parts = None, []
     for k in range(1, ORDER + 1):
-        table = orders[k].join(small(_discounts(orders[k]), languages, MOST_LANGUAGES), "lang")
+        table = orders[k].join(small(_discounts(orders[k]), models, MOST_LANGUAGES), "lang")
         discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         table = table.withColumn("context", F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")).withColumn("d", discount)
-        context = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        own, weight = (F.col("n") - F.col("d")) / F.col("total"), F.col("left") / F.col("total")
+        context = table.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight"), F.count("*").alias("symbols"))
+        if k == 1:
+            context = context.withColumn("weight", F.col("weight") / (F.col("symbols") + 1))
+        context = tables.written(context.drop("symbols"), "contexts")
+        own = (F.col("n") - F.col("d")) / F.col("total")
         if below is None:
-            symbols = orders[1].groupBy("lang").agg(F.count("*").alias("symbols"))
-            stats = small(context.join(symbols, "lang").drop("context"), languages, MOST_LANGUAGES)
-            table = table.join(stats, "lang").withColumn("p", own + weight / F.col("symbols"))
+            table = table.join(small(context.drop("context"), models, MOST_LANGUAGES), "lang").withColumn("p", own + F.col("weight"))
         else:
             lower = below.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below"))
             table = table.join(context, ["lang", "context"]).withColumn("shorter", _suffix(F.col("gram"), k - 1)).join(lower, ["lang", "shorter"])
-            table = table.withColumn("p", own + weight * F.col("below"))
+            table = table.withColumn("p", own + F.col("weight") * F.col("below"))
         below = tables.written(table.select("lang", "gram", "p"), "model")
-    return below.select("lang", "gram", F.log("p").alias("logp"))
+        parts.append(below.select("lang", F.lit(k).alias("part"), "gram", F.log("p").alias("logp")))
+        parts.append(context.select("lang", F.lit(-k).alias("part"), F.col("context").alias("gram"), F.log("weight").alias("logp")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 class HashArrays:
-    """Log probabilities of one language: keys sorted by their mixed value, with an index of buckets."""
+    """Logarithms of one part of a model: keys sorted by their mixed value, with an index of buckets."""
 
     def __init__(self, grams: np.ndarray, logp: np.ndarray):
         key = mix(grams.view(np.uint64))
@@ -193,11 +203,11 @@ class HashArrays:
         self.start = np.concatenate((edges, [len(key)])).astype(np.int32)
 
     def get(self, grams: np.ndarray) -> np.ndarray:
-        """Log probabilities, zero for n-grams that the arrays lack."""
+        """Logarithms, NaN for keys that the arrays lack."""
         key = mix(grams)
         bucket = (key >> self.shift).astype(np.int64)
         at, end = self.start[bucket].astype(np.int64), self.start[bucket + 1]
-        out = np.zeros(len(key), dtype=np.float32)
+        out = np.full(len(key), np.nan, dtype=np.float32)
         left = np.flatnonzero(at < end)
         while len(left):
             same = self.key[at[left]] == key[left]
@@ -208,56 +218,101 @@ class HashArrays:
         return out
 
 
+class BackOff:
+    """A language's model, or a slice of it: hash arrays by part."""
+
+    def __init__(self, part: np.ndarray, grams: np.ndarray, logp: np.ndarray):
+        self.arrays = {int(k): HashArrays(grams[part == k], logp[part == k]) for k in np.unique(part)}
+
+    def _get(self, part: int, grams: np.ndarray) -> np.ndarray:
+        return self.arrays[part].get(grams) if part in self.arrays else np.full(len(grams), np.nan, dtype=np.float32)
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """Log probabilities of n-grams of the highest order."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(ORDER, 0, -1):
+            shorter = grams[left] & np.uint64((1 << 16 * k) - 1)
+            logp = self._get(k, shorter)
+            known = ~np.isnan(logp)
+            out[left[known]] += logp[known]
+            left, shorter = left[~known], shorter[~known]
+            if not len(left):
+                break
+            out[left] += np.nan_to_num(self._get(-k, shorter >> np.uint64(16)))  # a context without a count leaves all
+        return out
+
+
 # ----------------------------------------------------------------------- scoring
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SCORED = "row long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in _BASE) + ", units long, total double"
+#: Spreads two units over the slices; a product with them stays below 2 ** 63.
+_SPREAD = 0x5F356495
 
 
-def _score(docs: DataFrame, model, base: bool) -> DataFrame:
-    """Base counts (if asked for) and the sum of negative log probabilities of each row, over the n-grams that ``model`` has."""
+def _slice_of(part: Column, gram: Column, slices: int) -> Column:
+    """The slice of a row of the model: by the two units in the middle of the n-grams of four units that look it up."""
+    middle = F.when(part > 0, F.shiftrightunsigned(gram, 16)).otherwise(gram).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.pmod(F.shiftrightunsigned(middle * F.lit(_SPREAD), 24), F.lit(slices))
+
+
+def _in_slice(grams: np.ndarray, slices: int, k: int) -> np.ndarray:
+    middle = (grams >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+    return (middle * np.uint64(_SPREAD) >> np.uint64(24)) % np.uint64(slices) == k
+
+
+def _score(docs: DataFrame, model, slices: int, k: int) -> DataFrame:
+    """The sum of negative log probabilities of each row over the n-grams of slice ``k``, with the base counts in the first.
+
+    It is null where there is no model, that is where all texts of a language
+    are in one half.
+    """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.release()
-        tables = model.value
+        models = model.value
         for batch in batches:
-            langs, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            counts = np.array([base_counts(t) for t in texts] if base else [], dtype=np.int64).reshape(-1, len(_BASE))
-            units, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
-            for lang in set(langs):
-                at = np.array([k for k, (x, t) in enumerate(zip(langs, texts)) if x == lang and t], dtype=np.int64)
-                for first, end, grams, bounds in _ngrams([texts[k] for k in at]):
+            keys, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            counts = np.array([base_counts(t) for t in texts] if k == 0 else [], dtype=np.int64).reshape(-1, len(_BASE))
+            units, total = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), np.nan)
+            for key in set(keys):
+                at = np.array([i for i, (x, t) in enumerate(zip(keys, texts)) if x == key and t], dtype=np.int64)
+                for first, end, grams, bounds in _ngrams([texts[i] for i in at]):
                     units[at[first:end]] = np.diff(bounds)
-                    if lang in tables:  # a slice may lack all of a language
-                        total[at[first:end]] = -np.add.reduceat(tables[lang].get(grams), bounds[:-1], dtype=np.float64)
-            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array(counts[:, k]) if base else pa.nulls(len(texts), pa.int64()) for k in range(len(_BASE))), pa.array(units), pa.array(total)]
+                    if key in models:
+                        logs = np.zeros(len(grams))
+                        here = np.flatnonzero(_in_slice(grams, slices, k)) if slices > 1 else np.arange(len(grams))
+                        logs[here] = models[key].logs(grams[here])
+                        total[at[first:end]] = -np.add.reduceat(logs, bounds[:-1])
+            base = (pa.array(counts[:, c]) if k == 0 else pa.nulls(len(texts), pa.int64()) for c in range(len(_BASE)))
+            columns = [batch.column(0), batch.column(1), batch.column(2), *base, pa.array(units), pa.array(total, mask=np.isnan(total))]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "lang", *_BASE, "units", "total"])
 
-    return docs.select("row", "doc_id", "lang", "text").mapInArrow(score, _SCORED)
+    return docs.select("row", "doc_id", "lang", "judge", "text").mapInArrow(score, _SCORED)
 
 
-def _arrays(model: DataFrame) -> dict[str, HashArrays]:
-    """The model's n-grams by language; ``model`` is of a counted size."""
-    table = model.select("lang", "gram", F.col("logp").cast("float").alias("logp")).toArrow()
+def _arrays(model: DataFrame) -> dict[str, BackOff]:
+    """The model's parts by language; ``model`` is of a counted size."""
+    table = model.select("lang", F.col("part").cast("byte").alias("part"), "gram", F.col("logp").cast("float").alias("logp")).toArrow()
     langs = table.column("lang").combine_chunks().dictionary_encode()
-    code, grams, logp = langs.indices.to_numpy(), table.column("gram").to_numpy(), table.column("logp").to_numpy()
-    return {x: HashArrays(grams[code == k], logp[code == k]) for k, x in enumerate(langs.dictionary.to_pylist())}
+    code, part, grams, logp = langs.indices.to_numpy(), *(table.column(c).to_numpy() for c in ("part", "gram", "logp"))
+    return {x: BackOff(part[code == k], grams[code == k], logp[code == k]) for k, x in enumerate(langs.dictionary.to_pylist())}
 
 
 def scores(rows: DataFrame, model: DataFrame, n: int, at_once: int, tables: Tables) -> DataFrame:
     """Base counts and log perplexity of each row, by one slice of the model after the other.
 
     The texts stay where they are: each slice goes over them, and only sums are
-    added up by row.
+    added up by row.  All that an n-gram may back off to is in its slice.
     """
     slices = max(1, -(-n // at_once))
     if slices > 1:
         rows = tables.written(rows, "rows")
     parts = None
     for k in range(slices):
-        some = model if slices == 1 else model.where(F.pmod(F.xxhash64("gram"), F.lit(slices)) == k)
+        some = model if slices == 1 else model.where((F.abs("part") < ORDER - 1) | (_slice_of(F.col("part"), F.col("gram"), slices) == k))
         arrays = rows.sparkSession.sparkContext.broadcast(_arrays(some))
-        one = tables.written(_score(rows, arrays, k == 0), "scores")
+        one = tables.written(_score(rows, arrays, slices, k), "scores")
         arrays.unpersist()
         parts = one if parts is None else parts.unionByName(one)
     if slices > 1:
@@ -271,20 +326,24 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     A null text has no words, a null language is a language of its own, a null
     id stays null, and repeated rows each count and give one.  The bands are
-    set by the rows that pass the base rules.
+    set by the rows that pass the base rules.  A document has no perplexity,
+    and is judged by the base rules alone, if it has no text or if all texts of
+    its language are in its own half (copies of a single text, say).
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.col(text_col).alias("text"))
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    rows = rows.withColumn("counted", F.concat("lang", F.lit("\0"), half)).withColumn("judge", F.concat("lang", F.lit("\0"), 1 - half))
     lasting, tables = Tables(docs.sparkSession), Tables(docs.sparkSession)
-    counts = tables.written(ngram_counts(rows), "ngrams")
-    per = counts.groupBy("lang").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n")).first()
-    languages = per[0]
-    scored = lasting.written(scores(rows, kneser_ney(counts, languages, tables), per[1] or 0, broadcast_ngrams, tables), "scored")
+    counts = tables.written(ngram_counts(rows.select(F.col("counted").alias("lang"), "text")), "ngrams")
+    models = counts.select("lang").distinct().count()
+    model = kneser_ney(counts, models, tables)
+    scored = lasting.written(scores(rows, model, model.count(), broadcast_ngrams, tables), "scored")
     tables.remove()
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > F.lit(repeat_share) * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
     q1, q3 = F.col("q")[0], F.col("q")[1]
     bands = quartiles.select("lang", (q1 - band * (q3 - q1)).alias("low"), (q3 + band * (q3 - q1)).alias("high"))
-    judged = scored.join(small(bands, languages, MOST_LANGUAGES), "lang", "left")
+    judged = scored.join(small(bands, models, MOST_LANGUAGES), "lang", "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
     return judged.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & inside).alias("kept"), "log_ppl", "low", "high")
