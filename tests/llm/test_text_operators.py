@@ -581,3 +581,32 @@ def test_shards_lose_no_link(spark, monkeypatch):
         for f, c in classes_by_hand(set(fps), 2).items():
             classes[c].append(f)
         assert got == {f: min(m) for m in classes.values() if len(m) > 1 for f in m}
+
+
+@pytest.mark.parametrize("low_bits", [0, 32])
+def test_large_shards_are_parted_again(low_bits):
+    """Fingerprints that share no bits, or one whole half; links are those of all pairs with one at home."""
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    base = random.integers(0, 1 << 63, 900, dtype=np.uint64) << np.uint64(low_bits)
+    flips = np.uint64(1) << random.integers(low_bits, 64, (2, 900)).astype(np.uint64)
+    fps = np.unique(np.concatenate((base, base ^ flips[0], base ^ flips[0] ^ flips[1], base[:50] ^ np.uint64(7 << 40))))
+    home = random.random(len(fps)) < 0.7
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    for shard in (60, simhash.SHARD):
+        links = simhash._shard_links(fps, home, 2, shard)
+        label = {f: f for f in fps.view(np.int64).tolist()}
+        for a, b in links.itertuples(index=False):
+            label[a] = b
+        top = np.array([label[f] for f in fps.view(np.int64).tolist()])
+        assert (top[:, None] == top[None, :])[near & home[:, None]].all()
+        known = np.arange(len(fps))
+        while True:  # no link beyond what the distance reaches
+            lower = np.where(near, known[None, :], len(fps)).min(axis=1)
+            if (lower == known).all():
+                break
+            known = lower
+        assert all(len(set(known[top == t])) == 1 for t in np.unique(top))
+    tree = simhash.VantageTree(fps, 1, (1 << 64) - 1, 2, shard=60)
+    assert np.bincount(tree.deal(fps)[0]).max() < len(fps) / 3

@@ -9,7 +9,9 @@ pairs of it and gives them back as stars, never as all pairs of a group.
 
 Two trees are used, each over one half of the bits: two fingerprints within r
 bits are within r // 2 in one of the halves, so a tree needs only that smaller
-radius.
+radius.  A shard that comes out large, of more fingerprints than the sample of
+the trees could part or of many that share one half, is parted again where it
+lies, by a tree of its own over all bits.
 
 Equal fingerprints are joined first and count as one.  Stars meet in rounds of
 least labels with pointer jumping over written tables.
@@ -196,15 +198,30 @@ def _linked(label: np.ndarray, nodes: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes[linked], "b": nodes[top[linked]]})
 
 
-def _stars(fps: np.ndarray, sizes, nodes: np.ndarray, home: np.ndarray, limits: list[tuple[int, int]], ratio: float = 0.0, within: bool = True) -> pd.DataFrame:
-    """Links of one shard, as (member, least member of its class here); ``within``: those at home are compared with each other too."""
+def _unite_near(label: np.ndarray, fps: np.ndarray, own: np.ndarray, asks: np.ndarray, radius: int) -> None:
+    """Unite those of ``own`` that are near each other or near one of ``asks`` (indices into ``fps``)."""
+    for right, same in ((own, True), (asks, False)):
+        for x, y in _near(fps[own, None], fps[right, None], None, None, [(1, radius)], 0.0, same):
+            _unite(label, own[x], right[y])
+
+
+def _shard_links(fps: np.ndarray, home: np.ndarray, radius: int, shard: int = SHARD) -> pd.DataFrame:
+    """Links of one shard, as (member, least member of its class here).
+
+    Those at home are compared with each other and with those that ask.  More
+    than twice ``shard`` of them are parted by a tree over all bits first.
+    """
     label = np.arange(len(fps))
-    own, asks = np.flatnonzero(home), np.flatnonzero(~home)
-    of = lambda i: None if sizes is None else sizes[i]
-    for left, right, same in ((own, own, True), (own, asks, False))[0 if within else 1 :]:
-        for x, y in _near(fps[left], fps[right], of(left), of(right), limits, ratio, same):
-            _unite(label, left[x], right[y])
-    return _linked(label, nodes)
+    if len(fps) <= 2 * shard:
+        _unite_near(label, fps, np.flatnonzero(home), np.flatnonzero(~home), radius)
+    else:
+        sample = fps[np.argsort(mix(fps))[:SAMPLE]]
+        leaf, index, own = VantageTree(sample, len(fps) / len(sample), (1 << 64) - 1, radius, shard).deal(fps)
+        order = np.argsort(leaf, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+            at, here = index[part], own[part]
+            _unite_near(label, fps, at[here], at[~here], radius)
+    return _linked(label, fps.view(np.int64))
 
 
 def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -225,8 +242,7 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
                 base += tree.leaves
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        fps = rows["fp"].to_numpy()
-        return _stars(fps.view(np.uint64)[:, None], None, fps, rows["home"].to_numpy(), [(1, radius)])
+        return _shard_links(rows["fp"].to_numpy().view(np.uint64), rows["home"].to_numpy(), radius)
 
     shards = prints.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
     return shards.groupBy("shard").applyInPandas(links, "a long, b long")
