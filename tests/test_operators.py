@@ -162,3 +162,11 @@ def test_scheduling(spark):
     io = [("t", k, ts, 1, kind, v) for k, (ts, kind, v) in enumerate([(1, "s", 0.0), (5, "e", 8.0), (6, "s", 0.0), (7, "s", 0.0), (9, "e", 4.0)])]
     pairs = sched.pair_io(spark.createDataFrame(io, "trace_id string, event_id long, ts_ns long, key long, kind string, value double"), "s", "e", ["key"])
     assert sorted((r.start_ns, r.end_ns, r.size) for r in pairs.collect()) == [(1, 5, 8.0), (6, 9, 4.0)]
+
+
+def test_pyramid_rounds_negative_times_down(spark):
+    times = [-25, -20, -11, -10, -1, 0, 9, 10, 39]
+    got = timeline.build_pyramid(spark.createDataFrame([(t,) for t in times], "ts_ns long"), 10, 3, []).collect()
+    expected = {(level, t // (10 << level)) for level in range(3) for t in times}
+    assert {(r.level, r.bucket) for r in got} == expected
+    assert all(r.n == sum(t // (10 << r.level) == r.bucket for t in times) for r in got)

@@ -84,11 +84,11 @@ def concurrency(spans: DataFrame, by: list[str], bucket_ns: int = 60_000_000_000
 
 
 def build_pyramid(df: DataFrame, base_ns: int, levels: int, by: list[str]) -> DataFrame:
-    """Counts by buckets of ``base_ns * 2**level``, each level from the one below it.
+    """Counts by buckets of ``base_ns * 2**level``, each level from the one below it; buckets of negative times are rounded down too.
 
     Write it partitioned by ``level``; a zoom reads the level of its width.
     """
-    finest = df.groupBy(*by, F.expr(f"ts_ns div {base_ns}").alias("bucket")).agg(F.count("*").alias("n"))
+    finest = df.groupBy(*by, F.expr(f"(ts_ns - pmod(ts_ns, {base_ns})) div {base_ns}").alias("bucket")).agg(F.count("*").alias("n"))
     out = [finest.withColumn("level", F.lit(0))]
     for level in range(1, levels):
         below = out[-1]
