@@ -102,7 +102,9 @@ def log_perplexities_by_hand(texts):
     return [-sum(log[h](tuple(u[k - 3 : k + 1])) for k in range(3, len(u))) / (len(u) - 3) if len(u) > 3 else None for u, h in zip(units, half)]
 
 
-def test_perplexity_is_that_of_a_model_by_hand(spark):
+def test_perplexity_is_that_of_a_model_by_hand(spark, monkeypatch):
+    slices, arrays = [], perplexity._arrays
+    monkeypatch.setattr(perplexity, "_arrays", lambda model: slices.append(1) or arrays(model))
     docs = documents(spark).where("lang = 'en'").collect()
     texts = [r.text for r in docs][:60] + ["🙂 x", "aaaa", "漢字 and \0 units that no other text has", ""]
     expected = log_perplexities_by_hand(texts)
@@ -116,6 +118,7 @@ def test_perplexity_is_that_of_a_model_by_hand(spark):
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
             assert (r.low, r.high) == pytest.approx((q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)), abs=1e-4)
             assert r.kept == (not r.base_failed and r.low <= r.log_ppl <= r.high)
+    assert len(slices) >= 3
 
 
 def test_bands_are_those_of_a_language(spark):
