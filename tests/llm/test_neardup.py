@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tracelake.llm import neardup, simhash
+from tracelake.llm import arrays, neardup, simhash
 from tracelake.llm.common import Tables
 
 
@@ -40,6 +40,26 @@ def test_drop_near_duplicates(spark, monkeypatch):
     assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_shingles_of_few_words_in_all(monkeypatch):
+    """Chunks and batches with fewer words than a shingle has, as the last one of a partition may be."""
+    for n in (1, 3, 5):
+        for total in range(2 * n + 1):
+            for cut in range(total + 1):
+                words = [f"w{k}" for k in range(total)]
+                for texts in ([" ".join(words[:cut]), None, " ".join(words[cut:])], [" ".join(words)], words):
+                    for limit in (1, 1 << 20):
+                        monkeypatch.setattr(arrays.chunks, "__defaults__", (limit,))
+                        got = arrays.shingle_sets(texts, n)
+                        assert [len(x) for x in got] == [min(1, len((t or "").split())) if len((t or "").split()) < n else len((t or "").split()) - n + 1 for t in texts]
+
+
+def test_a_batch_of_few_words(spark):
+    docs = spark.createDataFrame([(1, "a b", 7), (2, "c", 8), (3, "", 9), (4, "A B", 7)], "doc_id long, text string, __row int").coalesce(1)
+    got = neardup.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a b", 7), (2, "c", 8), (3, "", 9)]
+
+
 def test_repeated_lines_do_not_decide_near_duplicates(spark):
     words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
     line = "\n".join([words("line", 10)] * 10)

@@ -94,10 +94,11 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         visible[bounds[1:] - 1] = False
         starts, ends = runs(visible)
         words = word_hashes(low, visible, starts, ends)
-        run = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
+        many = max(0, len(words) - n + 1)
+        run = np.zeros(many, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for k in range(n):
-                run = mix(run + words[k : len(words) - n + 1 + k])
+                run = mix(run + words[k : k + many])
             at = per_text(starts, bounds)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 if b - a >= n:

@@ -70,6 +70,17 @@ def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def set_aside(df: DataFrame, *helpers: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that bear a helper's name renamed, and what to rename them back by (``withColumnsRenamed``)."""
+    back = {}
+    for name in (c for c in df.columns if c in helpers):
+        other = name
+        while other in df.columns or other in helpers or other in back:
+            other += "_"
+        back[other] = name
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 500 rows: the default of 10,000 whole texts takes too much of an executor's and a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
