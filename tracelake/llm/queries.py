@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, extract, linededup, packing, perplexity, simhash, sstable, tokencount, urlfilter
+from . import classifier, decontam, extract, linededup, merkle, packing, perplexity, simhash, sstable, tokencount, urlfilter
 from .common import small_batches
 
 #: (verdict, host, path)
@@ -75,11 +75,47 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_url_filter, op7_token_table, op8_near_duplicates, op9_packing, op10_main_text)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_url_filter, op7_token_table, op8_near_duplicates, op9_packing, op10_main_text, op12_merkle_manifest)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: CRC-32 of a decimal doc_id, from the table t of its 256 remainders.
+_CRC_TABLE = "crcs AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i)))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])))"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars"))) + " || {})"
+_NODES = "SELECT grp, 0 AS level, pos, d, n FROM {leaves} UNION ALL SELECT grp, level + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM {nodes} WHERE n > 1 GROUP BY grp, level, pos // 8"
+#: Of each leaf and level the digests before and after its own one in their run.
+_STEPS = """SELECT l.grp, l.pos, t.level, coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos < l.pos // CAST(pow(8, t.level) AS BIGINT)), '') AS a,
+       coalesce(string_agg(t.d, '' ORDER BY t.pos) FILTER (t.pos > l.pos // CAST(pow(8, t.level) AS BIGINT)), '') AS b
+FROM {leaves} l JOIN {nodes} t ON l.grp = t.grp AND t.n > 1 AND t.pos // 8 = l.pos // CAST(pow(8, t.level + 1) AS BIGINT) GROUP BY 1, 2, 3"""
+
 ORACLE_SQL = {
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE {_CRC_TABLE},
+docs AS (SELECT doc_id, coalesce('+' || lang, '') AS grp, {_LEAF.format(_field('text'))} AS d,
+         {_LEAF.format(_field(f"CASE WHEN {_CRC} % 3 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END"))} AS copy FROM documents, crcs),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id, d) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM docs),
+nodes AS ({_NODES.format(leaves='leaves', nodes='nodes')}),
+subroots AS (SELECT '' AS grp, grp AS lang, d, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS ({_NODES.format(leaves='subroots', nodes='tops')}),
+steps AS (SELECT grp, pos, list(a || '|' || b ORDER BY level) AS s, string_agg(a || b, '' ORDER BY level) AS proof FROM ({_STEPS.format(leaves='leaves', nodes='nodes')}) GROUP BY 1, 2),
+above AS (SELECT pos, list(a || '|' || b ORDER BY level) AS s, string_agg(a || b, '' ORDER BY level) AS proof FROM ({_STEPS.format(leaves='subroots', nodes='tops')}) GROUP BY 1),
+rooted AS (SELECT doc_id, l.d AS leaf, r.d AS subroot, (SELECT d FROM tops WHERE n = 1) AS root, copy,
+           list_concat(coalesce(steps.s, []), coalesce(above.s, [])) AS s, coalesce(steps.proof, '') || coalesce(above.proof, '') AS proof
+           FROM leaves l JOIN subroots r ON l.grp = r.lang LEFT JOIN steps ON steps.grp = l.grp AND steps.pos = l.pos LEFT JOIN above ON above.pos = r.pos)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT *, list_reduce(list_prepend(copy, s), lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2))) AS folded_root FROM rooted)
+""",
     "op2_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
