@@ -38,11 +38,9 @@ def pair_io(events: DataFrame, start: str, end: str, key: list[str]) -> DataFram
 
 
 def io_summary(io_spans: DataFrame, by: list[str], approx: bool = False) -> DataFrame:
-    """Number, volume (sum of sizes) and latency distribution of I/O spans."""
-    latency = summarize(io_spans.withColumn("latency_ns", F.col("end_ns") - F.col("start_ns")), by, "latency_ns", approx)
-    volume = io_spans.groupBy(*(F.col(c).alias(f"__{c}") for c in by)).agg(F.sum("size").alias("volume"))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    return latency.join(volume, same).drop(*(f"__{c}" for c in by))
+    """Number, volume (sum of sizes) and latency distribution of I/O spans, in one grouping."""
+    latency = io_spans.withColumn("latency_ns", F.col("end_ns") - F.col("start_ns"))
+    return summarize(latency, by, "latency_ns", approx, more=[F.sum("size").alias("volume")])
 
 
 def samples_in_spans(samples: DataFrame, spans: DataFrame, shift: int = 34) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,11 +43,12 @@ def grid(df: DataFrame, levels: list[str], measures: dict[str, str]) -> DataFram
     return df.rollup(*levels).agg(shown.cast("int").alias("level"), *(F.expr(e).alias(n) for n, e in measures.items()))
 
 
-def summarize(df: DataFrame, by: list[str], measure: str, approx: bool = False) -> DataFrame:
+def summarize(df: DataFrame, by: list[str], measure: str, approx: bool = False, more: Sequence[Column] = ()) -> DataFrame:
     """count, sum, min, max, p50, p95, p99 and distinct values of a measure in each group.
 
     Exact percentiles hold the distinct values of a group in memory; ``approx``
     uses sketches of bounded size (0.01 % in rank, 5 % in distinct values).
+    ``more`` aggregates go into the same grouping.
     """
     if approx:
         p = F.percentile_approx(measure, [0.5, 0.95, 0.99], 10_000)
@@ -54,5 +56,6 @@ def summarize(df: DataFrame, by: list[str], measure: str, approx: bool = False)
     else:
         p = F.percentile(measure, [0.5, 0.95, 0.99])
         distinct = F.count_distinct(measure)
-    out = df.groupBy(*by).agg(F.count(measure).alias("n"), F.sum(measure).alias("total"), F.min(measure).alias("least"), F.max(measure).alias("most"), p.alias("p"), distinct.alias("n_distinct"))
-    return out.select(*by, "n", "total", "least", "most", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "n_distinct")
+    out = df.groupBy(*by).agg(F.count(measure).alias("n"), F.sum(measure).alias("total"), F.min(measure).alias("least"), F.max(measure).alias("most"), p.alias("p"), distinct.alias("n_distinct"), *more)
+    named = out.columns[len(by) + 5 :]
+    return out.select(*by, "n", "total", "least", "most", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), *named)

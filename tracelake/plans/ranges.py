@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +53,7 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, width: i
 
     A plain window would sort all rows of a key in one task.  Rows are summed by
     buckets of ``width`` in ``order`` first, the buckets get their running sum,
-    and each bucket is then sorted on its own.
+    and each bucket is then sorted on its own.  A null key is a key like any other.
     """
     bucket = F.expr(f"{order} div {width}").alias("__bucket")
     dealt = df.withColumn("__bucket", bucket)
@@ -58,5 +61,6 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, width: i
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "__bucket", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy(*keys, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = dealt.join(sums, [*keys, "__bucket"])
-    return joined.withColumn(name, F.col("__base") + F.sum(value).over(within)).drop("__bucket", "__base")
+    sums = sums.withColumnsRenamed({c: f"__of_{c}" for c in (*keys, "__bucket")})
+    joined = dealt.join(sums, reduce(and_, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, "__bucket")]))
+    return joined.withColumn(name, F.col("__base") + F.sum(value).over(within)).select(*df.columns, name)

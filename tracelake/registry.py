@@ -480,10 +480,11 @@ ORACLE_SQL["pair_io"] = duck("", "fx_events") + f", {_IO} SELECT * FROM io"
 def io_summary(spark, sf_dir):
     out = sched.io_summary(sched.pair_io(fx.events(spark, sf_dir), "click", "view", ["trace_id", "pid", "tid"]), ["trace_id", "pid", "tid"])
     out = out.withColumn("volume", F.round(F.col("volume") * 100).cast("bigint"))
-    return out.withColumns({c: F.round(F.col(c) / 1000).cast("bigint") for c in ("p50", "p95", "p99")})  # microseconds: interpolation differs in the last bits
+    # whole microseconds; percentiles of them lie on multiples of 10 ns, so half a step is added before rounding down, and no engine's last bit decides
+    return out.withColumns({c: F.floor((F.col(c) + 5) / 1000).cast("bigint") for c in ("p50", "p95", "p99")})
 
 
-ORACLE_SQL["io_summary"] = duck("", "fx_events") + f", {_IO}, l AS (SELECT trace_id, pid, tid, size, end_ns - start_ns AS x FROM io) SELECT trace_id, pid, tid, CAST(round(sum(size) * 100) AS BIGINT) AS volume, count(x) AS n, CAST(sum(x) AS BIGINT) AS total, min(x) AS least, max(x) AS most, CAST(round(quantile_cont(x, 0.5) / 1000) AS BIGINT) AS p50, CAST(round(quantile_cont(x, 0.95) / 1000) AS BIGINT) AS p95, CAST(round(quantile_cont(x, 0.99) / 1000) AS BIGINT) AS p99, count(DISTINCT x) AS n_distinct FROM l GROUP BY trace_id, pid, tid"
+ORACLE_SQL["io_summary"] = duck("", "fx_events") + f", {_IO}, l AS (SELECT trace_id, pid, tid, size, end_ns - start_ns AS x FROM io) SELECT trace_id, pid, tid, CAST(round(sum(size) * 100) AS BIGINT) AS volume, count(x) AS n, CAST(sum(x) AS BIGINT) AS total, min(x) AS least, max(x) AS most, CAST(floor((quantile_cont(x, 0.5) + 5) / 1000) AS BIGINT) AS p50, CAST(floor((quantile_cont(x, 0.95) + 5) / 1000) AS BIGINT) AS p95, CAST(floor((quantile_cont(x, 0.99) + 5) / 1000) AS BIGINT) AS p99, count(DISTINCT x) AS n_distinct FROM l GROUP BY trace_id, pid, tid"
 
 
 @query("SELECT s.sample_id, p.span_id FROM fx_samples s JOIN fx_spans p ON s.trace_id = p.trace_id AND s.pid = p.pid AND s.tid = p.tid AND s.ts_ns >= p.start_ns AND s.ts_ns < p.end_ns", "fx_samples", "fx_spans")
