@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, extract, linededup, merkle, packing, perplexity, simhash, sstable, tokencount, urlfilter
+from . import classifier, decontam, extract, linededup, merkle, packing, periodic, perplexity, retrieval, simhash, sstable, tokencount, urlfilter
 from .common import small_batches
 
 #: (verdict, host, path)
@@ -75,11 +75,24 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("first"), (-r["period"]).alias("least"))))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    found = found.select("*", (-F.col("best.first")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.least")).alias("period"))
+    return found.withColumn("exponent_milli", F.expr("1000 * length div period")).select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_url_filter, op7_token_table, op8_near_duplicates, op9_packing, op10_main_text, op12_merkle_manifest)}
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.top_products(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, 10)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_classifier, op4_line_dedup, op5_token_counts, op6_url_filter, op7_token_table, op8_near_duplicates, op9_packing, op10_main_text, op11_periodic_runs, op12_merkle_manifest, op13_exact_top_k)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,6 +113,22 @@ _STEPS = """SELECT l.grp, l.pos, t.level, coalesce(string_agg(t.d, '' ORDER BY t
 FROM {leaves} l JOIN {nodes} t ON l.grp = t.grp AND t.n > 1 AND t.pos // 8 = l.pos // CAST(pow(8, t.level + 1) AS BIGINT) GROUP BY 1, 2, 3"""
 
 ORACLE_SQL = {
+    "op11_periodic_runs": rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents, crcs),
+e AS (SELECT doc_id, w, h, len(w) AS n, (h // 10) % greatest(1, len(w)) AS a, 3 + (h // 10) % 8 AS parts FROM d),
+x AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END) ELSE w END AS w FROM e),
+words AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM x),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 4),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM stretches l WHERE NOT EXISTS (SELECT 1 FROM stretches r WHERE r.doc_id = l.doc_id AND r.q < l.q AND r.s <= l.s AND r.s + r.m >= l.s + l.m)),
+told AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256 FROM runs GROUP BY 1),
+best AS (SELECT doc_id, s AS start, m AS length, q AS period FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT doc_id, sha256(string_agg(word, ' ' ORDER BY i)) AS collapsed_sha256 FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, coalesce(collapsed_sha256, sha256('')) AS collapsed_sha256
+FROM x LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op12_merkle_manifest": f"""
 WITH RECURSIVE {_CRC_TABLE},
 docs AS (SELECT doc_id, coalesce('+' || lang, '') AS grp, {_LEAF.format(_field('text'))} AS d,
@@ -161,5 +190,12 @@ SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
             WHEN url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict
 FROM c
+""",
+    "op13_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(CAST(x AS DOUBLE)), false)))),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """,
 }
