@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators import flame, sched, selection, symbols, tables, timeline
 from tracelake.operators.selection import Selection
+from tracelake.plans import lanes
 from tracelake.plans.ranges import point_in_range, running_sum
 from tracelake.sources import fixtures as fx
 
@@ -91,6 +92,93 @@ def test_merged_spans_and_gaps_tile_the_lane(spark):
         assert r.n_open == sum(a <= r.ts_ns < b for a, b, lane in rows if lane == r.tid)
 
 
+def io_of(spark, kinds, times=None):
+    rows = [("t", k, 10 * k if times is None else times[k], 1, kind, float(k)) for k, kind in enumerate(kinds)]
+    return spark.createDataFrame(rows, "trace_id string, event_id long, ts_ns long, key long, kind string, value double")
+
+
+@pytest.mark.parametrize("kinds, pairs, alone", [
+    ("eseseseses", [(1, 2), (3, 4), (5, 6), (7, 8)], (1, 1)),  # the trace begins amid a request and ends amid one
+    ("sssesese", [(2, 3), (4, 5), (6, 7)], (2, 0)),  # two lost ends
+    ("seesesee", [(0, 1), (3, 4), (5, 6)], (0, 2)),  # two lost starts
+    ("sseess", [(0, 3), (1, 2)], (2, 0)),  # nested
+    ("eeee", [], (0, 4)), ("ssss", [], (4, 0)), ("", [], None),
+])
+def test_io_pairs_survive_lost_rows(spark, kinds, pairs, alone):
+    for bin_ns in (None, 1, 20):
+        events = io_of(spark, kinds)
+        found = sched.pair_io(events, "s", "e", ["key"], bin_ns).collect()
+        assert sorted((r.start_ns // 10, r.end_ns // 10) for r in found) == pairs
+        assert all(r.span_id == r.start_ns // 10 and r.size == r.end_ns / 10 for r in found)
+        left = [(r.n_pairs, r.n_starts, r.n_ends) for r in sched.unpaired_io(events, "s", "e", ["key"], bin_ns).collect()]
+        assert left == ([] if alone is None else [(len(pairs), *alone)])
+
+
+def test_one_lost_row_spoils_one_pair(spark):
+    rng = random.Random(11)
+    kinds = "".join(rng.choice(["se", "sese", "ssee"]) for _ in range(30))
+    assert sched.pair_io(io_of(spark, kinds), "s", "e", ["key"]).count() == len(kinds) // 2
+    sequential = io_of(spark, "se" * 30)
+    for lost in (0, 7, 30, 59):
+        found = {(r.start_ns, r.end_ns) for r in sched.pair_io(sequential.where(f"event_id <> {lost}"), "s", "e", ["key"]).collect()}
+        assert found == {(20 * k, 20 * k + 10) for k in range(30) if k != lost // 2}
+
+
+def lanes_by_hand(rows, gap):
+    out = []
+    for lane in {r[2] for r in rows}:
+        own = None
+        for a, b, _ in sorted(r for r in rows if r[2] == lane):
+            if own and (a - own[1] <= 0 if gap == 0 else a - own[1] < gap):
+                own = [own[0], max(own[1], b), own[2] + 1]
+                out[-1] = (lane, *own)
+            else:
+                own = [a, b, 1]
+                out.append((lane, *own))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("bin_ns", [1, 7, 50, 100_000, None])
+@pytest.mark.parametrize("gap", [0, 5])
+def test_merged_spans_over_bins(spark, bin_ns, gap):
+    """Spans over several bins, empty bins, a null lane, times below zero, one lane that is always busy."""
+    rng = random.Random(7)
+    rows = [(a, a + rng.choice([0, 1, 3, 40]), rng.choice([0, None])) for a in (rng.randint(-300, 300) for _ in range(60))]
+    rows += [(2000, 2001, 0), (-5000, -4000, 0)] + [(k, k + 2, 2) for k in range(0, 200, 2)]
+    df = spark.createDataFrame([("t0", k, *r) for k, r in enumerate(rows)], "trace_id string, span_id long, start_ns long, end_ns long, tid long")
+    expected = lanes_by_hand(rows, gap)
+    assert sorted(map(tuple, timeline.merge_spans(df, ["tid"], gap, bin_ns).select("tid", "start_ns", "end_ns", "n").collect()), key=repr) == expected
+    if gap == 0:
+        by_time = sorted(expected, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        gaps = sorted([(a[0], a[2], b[1], b[1] - a[2]) for a, b in zip(by_time, by_time[1:]) if a[0] == b[0]], key=repr)
+        assert sorted(map(tuple, timeline.span_gaps(df, ["tid"], bin_ns).select("tid", "start_ns", "end_ns", "gap_ns").collect()), key=repr) == gaps
+
+
+def test_one_lane_runs_in_many_tasks(spark):
+    rows = [(k * k % 9973, k) for k in range(5000)]
+    df = spark.createDataFrame(rows, "t long, id long").withColumn("lane", F.lit(1))
+    ordered = sorted(rows)
+    for width in (200, None):
+        shifted = lanes.led(lanes.lagged(df, ["lane"], ["t", "id"], "id", "before", width), ["lane"], ["t", "id"], "id", "after", width)
+        got = {r.id: (r.before, r.after) for r in shifted.collect()}
+        assert got == {r[1]: (ordered[k - 1][1] if k else None, ordered[k + 1][1] if k + 1 < len(ordered) else None) for k, r in enumerate(ordered)}
+    summed = lanes.summed(df, ["lane"], ["t", "id"], "id", "s", 200)
+    total, expected = 0, {}
+    for _, k in ordered:
+        total += k
+        expected[k] = total
+    tasks = summed.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.id: r.s for r in tasks} == expected
+    assert len({r.task for r in tasks}) > 1
+    assert lanes.bin_width(df, ["lane"], "t", 100) == -(-9973 * 100 // 5000)
+
+
+def test_concurrency_of_null_keys(spark):
+    df = spark.createDataFrame([(0, 10, None), (5, 7, None), (3, 4, 1)], "start_ns long, end_ns long, kind long")
+    got = sorted((r.kind is None, r.ts_ns, r.n_open) for r in timeline.concurrency(df, ["kind"], 2).collect())
+    assert got == [(False, 3, 1), (False, 4, 0), (True, 0, 1), (True, 5, 2), (True, 7, 1), (True, 10, 0)]
+
+
 def test_running_sum_over_buckets(spark):
     df = spark.createDataFrame([(k % 2, k * 7 - 500, k) for k in range(300)], "g long, t long, v long")
     got = running_sum(df, ["g"], "t", "v", 100, "s").collect()
@@ -161,7 +249,7 @@ def test_scheduling(spark):
     assert sched.off_cpu(runs).count() == 0
     io = [("t", k, ts, 1, kind, v) for k, (ts, kind, v) in enumerate([(1, "s", 0.0), (5, "e", 8.0), (6, "s", 0.0), (7, "s", 0.0), (9, "e", 4.0)])]
     pairs = sched.pair_io(spark.createDataFrame(io, "trace_id string, event_id long, ts_ns long, key long, kind string, value double"), "s", "e", ["key"])
-    assert sorted((r.start_ns, r.end_ns, r.size) for r in pairs.collect()) == [(1, 5, 8.0), (6, 9, 4.0)]
+    assert sorted((r.start_ns, r.end_ns, r.size) for r in pairs.collect()) == [(1, 5, 8.0), (7, 9, 4.0)]
 
 
 def test_pyramid_rounds_negative_times_down(spark):

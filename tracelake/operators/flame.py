@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lanes import summed
+from ..plans.scratch import written
 from .selection import Selection
 
+#: Folded stacks that are put in order in one task.
+STACKS = 65_536
+
 
 def fold_stacks(samples: DataFrame, stack: str = "stack") -> DataFrame:
     """Equal stacks as one, with their weight."""
@@ -41,6 +46,57 @@ def flame_layout(tree: DataFrame) -> DataFrame:
     return tree.join(begins, "path").select(*tree.columns, "x")
 
 
+def _contexts(folded: DataFrame, *more: str) -> DataFrame:
+    """A row for each frame of each stack: id, parent, depth, name, weight and own.
+
+    A context's id is the MD5 of its parent's id and its name, so it stands for
+    the whole path in 32 characters, and a stack's rows grow with its depth.
+    """
+    ids = F.aggregate("stack", F.array(F.lit("")), lambda acc, name: F.array_append(acc, F.md5(F.concat(F.element_at(acc, -1), name))))
+    named = folded.select(F.transform("stack", lambda x: F.coalesce(x.cast("string"), F.lit("?"))).alias("stack"), "weight", *more).withColumn("ids", ids)
+    frames = named.select("ids", "weight", *more, F.size("stack").alias("n"), F.posexplode("stack").alias("at", "name"))
+    own = F.when(F.col("at") + 1 == F.col("n"), F.col("weight")).otherwise(0)
+    return frames.select(F.get("ids", F.col("at") + 1).alias("id"), F.get("ids", F.col("at")).alias("parent"), (F.col("at") + 1).alias("depth"), "name", "weight", own.alias("own"), *more)
+
+
+def _nodes(frames: DataFrame, *more: Column) -> DataFrame:
+    same = [F.first(c).alias(c) for c in ("parent", "depth", "name")]  # the id says what they are
+    return frames.groupBy("id").agg(*same, F.sum("weight").alias("total"), F.sum("own").alias("self"), *more)
+
+
+def context_tree(folded: DataFrame) -> DataFrame:
+    """The calling-context tree of folded stacks: id, parent ("" at the root), depth (1: root), name, total and self.
+
+    It is ``flame_tree`` with ids for paths: its bytes grow with the depth of
+    stacks, not with its square.  A null frame is "?"; an empty stack has no node.
+    """
+    return _nodes(_contexts(folded))
+
+
+def context_layout(folded: DataFrame) -> DataFrame:
+    """``context_tree`` with ``x``, the begin of each node, by one running sum over the folded stacks.
+
+    Stacks are sorted by ranges over all tasks, a stack after those that go on
+    from it; what is before the first stack of a node is then to its left.
+    Siblings stand by name from their parent's begin on, as in ``flame_layout``.
+    The sorted stacks are written once.
+    """
+    told = folded.where(F.size("stack") > 0).select("stack", "weight")
+    ends = F.array(F.struct(F.lit(1).alias("last"), F.lit("").alias("name")))
+    steps = F.transform("stack", lambda x: F.struct(F.lit(0).alias("last"), F.coalesce(x.cast("string"), F.lit("?")).alias("name")))
+    placed = told.withColumn("key", F.concat(steps, ends)).repartitionByRange("key").sortWithinPartitions("key").drop("key")
+    placed = written(placed.withColumn("at", F.monotonically_increasing_id()), "stacks")
+    upto = summed(placed, [], ["at"], "weight", "upto", STACKS)
+    return _nodes(_contexts(upto.withColumn("before", F.col("upto") - F.col("weight")), "before"), F.min("before").alias("x"))
+
+
+def context_paths(nodes: DataFrame, folded: DataFrame) -> DataFrame:
+    """``nodes`` with ``path``, for a display of few nodes: each takes its path from one stack that passes it."""
+    frames = _contexts(folded.withColumn("whole", F.col("stack")), "whole")
+    paths = frames.join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.min("whole").alias("whole"))
+    return nodes.join(paths, "id").withColumn("path", F.slice("whole", 1, F.col("depth"))).drop("whole")
+
+
 def function_summary(samples: DataFrame, stack: str = "stack") -> DataFrame:
     """Self and inclusive weight of each function; one that recurs in a stack counts once."""
     folded = fold_stacks(samples, stack)

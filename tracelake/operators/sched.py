@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ranges import point_in_range
+from ..plans.lanes import bin_width, lagged, led, summed
+from ..plans.ranges import disjoint, point_in_range
+from ..plans.scratch import written
 from .tables import summarize
 
 
-def run_spans(switches: DataFrame) -> DataFrame:
-    """A thread runs on a CPU until that CPU's next switch; the last one of a CPU is open and dropped."""
-    cpu = Window.partitionBy("trace_id", "cpu").orderBy("ts_ns", "switch_id")
-    spans = switches.select("trace_id", "switch_id", "cpu", "pid", "tid", F.col("ts_ns").alias("start_ns"), F.lead("ts_ns").over(cpu).alias("end_ns"))
-    return spans.where("end_ns is not null")
+def run_spans(switches: DataFrame, bin_ns: int | None = None) -> DataFrame:
+    """A thread runs on a CPU until that CPU's next switch; the last one of a CPU is open and dropped.
+
+    A CPU's switches are dealt to bins of ``bin_ns``, by default of about as many rows each.
+    """
+    rows = switches.select("trace_id", "switch_id", "cpu", "pid", "tid", F.col("ts_ns").alias("start_ns"))
+    return led(rows, ["trace_id", "cpu"], ["start_ns", "switch_id"], "start_ns", "end_ns", bin_ns).where("end_ns is not null")
 
 
 def cpu_time(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -21,20 +25,48 @@ def cpu_time(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by).agg(F.sum(F.col("end_ns") - F.col("start_ns")).alias("cpu_ns"), F.count("*").alias("n_runs"))
 
 
-def off_cpu(runs: DataFrame) -> DataFrame:
-    """Time from the end of a thread's run to its next run; runs that follow at once have none."""
-    thread = Window.partitionBy("trace_id", "pid", "tid").orderBy("start_ns", "switch_id")
-    waits = runs.select("trace_id", "pid", "tid", F.lag("end_ns").over(thread).alias("start_ns"), F.col("start_ns").alias("end_ns"))
-    return waits.where("end_ns > start_ns").withColumn("off_ns", F.col("end_ns") - F.col("start_ns"))
+def off_cpu(runs: DataFrame, bin_ns: int | None = None) -> DataFrame:
+    """Time from the end of a thread's run to its next run; runs that follow at once have none.
+
+    A thread's runs are dealt to bins of ``bin_ns``, by default of about as many rows each.
+    """
+    thread = ["trace_id", "pid", "tid"]
+    ended = lagged(runs.select(*thread, "switch_id", "start_ns", "end_ns"), thread, ["start_ns", "switch_id"], "end_ns", "before", bin_ns)
+    return ended.select(*thread, F.col("before").alias("start_ns"), F.col("start_ns").alias("end_ns")).where("end_ns > start_ns").withColumn("off_ns", F.col("end_ns") - F.col("start_ns"))
+
+
+def _levelled(events: DataFrame, start: str, end: str, key: list[str], bin_ns: int | None) -> DataFrame:
+    """Starts and ends with the level of nesting that they open or close, and the next row of their level."""
+    rows = events.where(F.col("kind").isin(start, end)).select(*key, "ts_ns", "event_id", "value", (F.col("kind") == start).alias("starts"))
+    rows = rows.withColumn("step", F.when(F.col("starts"), 1).otherwise(-1))
+    bin_ns = bin_ns or bin_width(rows, key, "ts_ns")
+    level = F.col("balance") + F.when(F.col("starts"), 0).otherwise(1)
+    rows = summed(rows, key, ["ts_ns", "event_id"], "step", "balance", bin_ns).withColumn("level", level)
+    rows = rows.withColumn("this", F.struct("starts", "ts_ns", "value"))
+    return led(lagged(rows, [*key, "level"], ["ts_ns", "event_id"], "starts", "before", bin_ns), [*key, "level"], ["ts_ns", "event_id"], "this", "after", bin_ns)
+
+
+def pair_io(events: DataFrame, start: str, end: str, key: list[str], bin_ns: int | None = None) -> DataFrame:
+    """Spans from each start to the end that closes it, as brackets of a request key do, by time and id.
 
+    A start raises the key's balance and an end lowers it; a start and the next
+    row of the level it opens are a pair if that row is an end.  A lost end
+    leaves its start open below all later pairs, a lost start makes the end go
+    below what was open, and the pairs after it are one level lower: each spoils
+    its own pair alone.  ``unpaired_io`` counts what is left over.
+    """
+    rows = _levelled(events, start, end, key, bin_ns)
+    pairs = rows.where(F.col("starts") & ~F.col("after.starts"))
+    return pairs.select(*key, F.col("event_id").alias("span_id"), F.col("ts_ns").alias("start_ns"), F.col("after.ts_ns").alias("end_ns"), F.col("after.value").alias("size"))
 
-def pair_io(events: DataFrame, start: str, end: str, key: list[str]) -> DataFrame:
-    """Spans from the n-th start to the n-th end of each request key, by time and id; one without its other is dropped."""
-    order = Window.partitionBy(*key, "kind").orderBy("ts_ns", "event_id")
-    ranked = events.where(F.col("kind").isin(start, end)).withColumn("nth", F.row_number().over(order))
-    at = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    pairs = ranked.groupBy(*key, "nth").agg(at(start, "event_id").alias("span_id"), at(start, "ts_ns").alias("start_ns"), at(end, "ts_ns").alias("end_ns"), at(end, "value").alias("size"))
-    return pairs.where("start_ns is not null and end_ns >= start_ns")
+
+def unpaired_io(events: DataFrame, start: str, end: str, key: list[str], bin_ns: int | None = None) -> DataFrame:
+    """For each request key its pairs, and the starts and ends that have no other."""
+    rows = _levelled(events, start, end, key, bin_ns)
+    paired = F.col("starts") & F.coalesce(~F.col("after.starts"), F.lit(False))
+    closes = ~F.col("starts") & F.coalesce(F.col("before"), F.lit(False))
+    some = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return rows.groupBy(*key).agg(some(paired).alias("n_pairs"), some(F.col("starts") & ~paired).alias("n_starts"), some(~F.col("starts") & ~closes).alias("n_ends"))
 
 
 def io_summary(io_spans: DataFrame, by: list[str], approx: bool = False) -> DataFrame:
@@ -47,3 +79,24 @@ def samples_in_spans(samples: DataFrame, spans: DataFrame, shift: int = 34) -> D
     """Each sample with each span of its thread that is open at its time (bins of 2**34 ns, about 17 s)."""
     ranges = spans.select("trace_id", "pid", "tid", "span_id", "start_ns", "end_ns").where("end_ns > start_ns")
     return point_in_range(samples, ranges, keys=["trace_id", "pid", "tid"], point=F.col("ts_ns"), lo=F.col("start_ns"), hi=F.col("end_ns") - 1, shift=shift, how="inner")
+
+
+def innermost_span(samples: DataFrame, spans: DataFrame, shift: int = 34) -> DataFrame:
+    """Each sample with ``span_id`` of the innermost span of its thread that is open at its time, null if none is.
+
+    Innermost is the span that began last, of these the one that ends first,
+    then the greatest id; so spans may cross.  Spans of a thread are cut at each
+    other's ends once, each piece has one innermost span, and a sample lies in
+    one piece at most.
+    """
+    thread = ["trace_id", "pid", "tid"]
+    ranges = spans.select(*thread, "span_id", F.col("start_ns").alias("since"), (F.col("end_ns") - 1).alias("until"))
+    pieces = disjoint(ranges, keys=thread, lo="since", hi="until", shift=shift, best=F.struct(F.col("since").alias("a"), (-F.col("until")).alias("b"), F.col("span_id").alias("c")))
+    pieces = written(pieces.select(*thread, "since", "until", F.col("best.c").alias("span_id")), "pieces")
+    found = point_in_range(samples, pieces, keys=thread, point=F.col("ts_ns"), lo=F.col("since"), hi=F.col("until"), shift=shift)
+    return found.select(*samples.columns, "span_id")
+
+
+def span_samples(samples: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """Weight of the samples of each span, its own and that of what it encloses left out: each sample counts for its innermost span."""
+    return innermost_span(samples, spans).where("span_id is not null").groupBy(*by, "span_id").agg(F.sum("weight").alias("weight"))

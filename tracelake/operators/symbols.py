@@ -6,26 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.addresses import hexadecimal, ordered
-from ..plans.ranges import point_in_range
+from ..plans.ranges import covering, disjoint, point_in_range
+from ..plans.scratch import written
 
 #: Bins of 2**12 addresses: a function rarely has more.
 FUNCTION_BITS, MODULE_BITS = 12, 20
+#: Bins of 2**40 ns, about 18 minutes, of the time that a module is loaded.
+LOAD_BITS = 40
+
+
+def module_pieces(modules: DataFrame, shift: int = MODULE_BITS) -> DataFrame:
+    """Disjoint rectangles of addresses (``lo`` to ``hi``, as ``ordered``) and times (``since`` to ``until``), each with the module that holds it.
+
+    Addresses are cut at all limits of a process first, then the times of each
+    piece at all loads there; the few rows are written, as every frame meets them.  Of modules that overlap, the one loaded last holds
+    the piece, of these that with the greatest base, then name.
+    """
+    process = ["trace_id", "pid"]
+    limits = modules.select(*process, "module", "base", "load_ns", F.col("load_ns").alias("since"), (F.col("unload_ns") - 1).alias("until"), ordered(F.col("base")).alias("lo"), ordered(F.col("limit_addr") - 1).alias("hi"))
+    loaded = covering(limits, keys=process, lo="lo", hi="hi", shift=shift, carry=["module", "base", "load_ns", "since", "until"], long_keys=False)
+    pieces = disjoint(loaded, keys=[*process, "lo", "hi"], lo="since", hi="until", shift=LOAD_BITS, best=F.struct("load_ns", "base", "module"), long_keys=False)
+    return written(pieces.select(*process, "lo", "hi", "since", "until", F.col("best.module").alias("module")), "pieces")
 
 
 def attach_module(frames: DataFrame, modules: DataFrame, shift: int = MODULE_BITS) -> DataFrame:
     """``module`` of each (trace_id, pid, ts_ns, addr): where the address lay at that time, else null.
 
-    Loads of a process may reuse addresses at other times, so candidates are
-    found by address and kept by load interval.  Of modules that overlap, the one
-    loaded last holds the address, of these that with the greatest base, then name.
+    Modules are cut to disjoint rectangles once, so a frame lies in one of them
+    at most and is joined as it is, without being told apart or joined back.
     """
-    distinct = frames.select("trace_id", "pid", "ts_ns", "addr").distinct()
-    limits = modules.select("trace_id", "pid", "module", "base", "limit_addr", "load_ns", "unload_ns")
-    pairs = point_in_range(distinct, limits, keys=["trace_id", "pid"], point=ordered(F.col("addr")), lo=ordered(F.col("base")), hi=ordered(F.col("limit_addr") - 1), shift=shift, how="inner")
-    live = pairs.where((F.col("ts_ns") >= F.col("load_ns")) & (F.col("ts_ns") < F.col("unload_ns")))
-    keys = ["trace_id", "pid", "ts_ns", "addr"]
-    last = F.max(F.struct("load_ns", "base", "module"))["module"]
-    return frames.join(live.groupBy(*keys).agg(last.alias("module")), keys, "left").select(*frames.columns, "module")
+    pieces = module_pieces(modules, shift)
+    found = point_in_range(
+        frames.drop("module"), pieces, keys=["trace_id", "pid"], point=ordered(F.col("addr")), lo=F.col("lo"), hi=F.col("hi"), shift=shift,
+        also=lambda piece: (F.col("ts_ns") >= piece("since")) & (F.col("ts_ns") <= piece("until")),
+    )
+    return found.select(*[c for c in frames.columns if c != "module"], "module")
 
 
 def symbolize(df: DataFrame, symbols: DataFrame, shift: int = FUNCTION_BITS) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lanes import bin_width, islands, led
 from ..plans.ranges import running_sum
 
 
@@ -55,24 +56,21 @@ def timeline_busy(spans: DataFrame, t0: int, t1: int, w: int, by: list[str]) ->
     return every.select(*by, "px", busy.alias("busy_ns")).where("busy_ns > 0")
 
 
-def merge_spans(spans: DataFrame, keys: list[str], gap_ns: int = 0) -> DataFrame:
+def merge_spans(spans: DataFrame, keys: list[str], gap_ns: int = 0, bin_ns: int | None = None) -> DataFrame:
     """Spans of a lane joined where they overlap or are less than ``gap_ns`` apart (0: overlap or touch).
 
-    Adds the number of spans merged.  A lane is sorted in one task: name lanes by trace and thread.
+    Adds the number of spans merged.  A lane is dealt to bins of ``bin_ns``, by
+    default of about as many rows each, so it takes as many tasks as it needs.
     """
-    lane = Window.partitionBy(*keys).orderBy("start_ns", "end_ns")
-    reach = F.max("end_ns").over(lane.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start_ns") - F.col("reach")
-    joins = apart <= 0 if gap_ns == 0 else apart < gap_ns
-    flagged = spans.withColumn("reach", reach).withColumn("new", F.when(F.col("reach").isNull() | ~joins, 1).otherwise(0))
-    islands = flagged.withColumn("island", F.sum("new").over(lane.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "island").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("n")).drop("island")
+    apart = F.col("start_ns") - F.col("__reach")
+    return islands(spans, keys, "start_ns", "end_ns", apart <= 0 if gap_ns == 0 else apart < gap_ns, bin_ns)
 
 
-def span_gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
+def span_gaps(spans: DataFrame, keys: list[str], bin_ns: int | None = None) -> DataFrame:
     """Idle time between the merged spans of a lane."""
-    after = F.lead("start_ns").over(Window.partitionBy(*keys).orderBy("start_ns"))
-    gaps = merge_spans(spans, keys).select(*keys, F.col("end_ns").alias("start_ns"), after.alias("end_ns")).where("end_ns is not null")
+    bin_ns = bin_ns or bin_width(spans, keys, "start_ns")
+    merged = led(merge_spans(spans, keys, 0, bin_ns), keys, ["start_ns"], "start_ns", "after", bin_ns)
+    gaps = merged.select(*keys, F.col("end_ns").alias("start_ns"), F.col("after").alias("end_ns")).where("end_ns is not null")
     return gaps.withColumn("gap_ns", F.col("end_ns") - F.col("start_ns"))
 
 

@@ -2,50 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lanes import ROWS, bin_width, led
 
-#: A range that touches more bins than this is joined by its keys alone.
-MOST_BINS = 1024
 
+#: A range that touches more bins than this goes to coarser ones.
+MOST_BINS, COARSER = 1024, 24
 
-def point_in_range(points: DataFrame, ranges: DataFrame, *, keys: list[str], point: Column, lo: Column, hi: Column, shift: int, how: str = "left") -> DataFrame:
+
+def _shifts(shift: int) -> list[int]:
+    """Widths of bins, as powers of two, of which the last one holds any range in ``MOST_BINS`` bins."""
+    out = [shift]
+    while 64 - out[-1] > 10:
+        out.append(min(63, out[-1] + COARSER))
+    return out
+
+
+def point_in_range(points: DataFrame, ranges: DataFrame, *, keys: list[str], point: Column, lo: Column, hi: Column, shift: int, how: str = "left", also: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
     """Join each point with the ranges ``lo <= point <= hi`` of its keys.
 
     A bare range condition makes Spark compare every point with every range.
     Here both sides get the number of the ``2**shift`` wide bin that they are
     in, a range one row for each bin that it touches, and the bin is a join key.
-    Choose ``2**shift`` near the usual length of a range; the few ranges over
-    very many bins would multiply and are joined by their keys alone.
+    Choose ``2**shift`` near the usual length of a range; a range over very many
+    bins has coarser ones, so neither its rows nor the pairs to compare multiply.
 
     "left" keeps points without a range and takes ranges of a key not to
-    overlap; "inner" gives every pair.
+    overlap; "inner" gives every pair.  ``also`` is a further condition of a
+    pair, given the range's columns by name; with it ranges may overlap where
+    it holds for one of them at most.
     """
     extra = [c for c in ranges.columns if c not in keys]
-    numbered = ranges.select(*[F.col(k).alias(f"__{k}") for k in keys], lo.alias("__lo"), hi.alias("__hi"), *extra)
-    first, last = F.shiftright("__lo", shift), F.shiftright("__hi", shift)
-    narrow = numbered.where(last - first < MOST_BINS).withColumn("__bin", F.explode(F.sequence(first, last)))
-    wide = numbered.where(last - first >= MOST_BINS)
+    numbered = ranges.select(*[F.col(k).alias(f"__of_{k}") for k in keys], lo.alias("__lo"), hi.alias("__hi"), *[F.col(c).alias(f"__with_{c}") for c in extra])
+    level, shifts = F.lit(None), _shifts(shift)
+    for n, bits in reversed(list(enumerate(shifts))):
+        level = F.when(F.shiftright("__hi", bits) - F.shiftright("__lo", bits) < MOST_BINS, n).otherwise(level) if n + 1 < len(shifts) else F.lit(n)
+    numbered = numbered.withColumn("__level", level)
+    condition = (F.col("__point") >= F.col("__lo")) & (F.col("__point") <= F.col("__hi"))
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"__of_{k}"))
+    if also is not None:
+        condition = condition & also(lambda c: F.col(f"__with_{c}"))
+    shifted = lambda c: F.array(*[F.shiftright(c, bits) for bits in shifts])
+    side = numbered.withColumn("__bin", F.explode(F.sequence(F.get(shifted("__lo"), F.col("__level")), F.get(shifted("__hi"), F.col("__level")))))
     left = points.withColumn("__point", point)
-    same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    inside = (F.col("__point") >= F.col("__lo")) & (F.col("__point") <= F.col("__hi"))
-
-    def joined(side: DataFrame, right: DataFrame, binned: bool) -> DataFrame:
-        condition = inside
-        for c in [*same, *([F.shiftright("__point", shift) == F.col("__bin")] if binned else [])]:
-            condition = condition & c
-        return side.join(right, condition, how)
-
-    if how == "inner":
-        columns = [*points.columns, *extra]
-        return joined(left, narrow, True).select(columns).unionByName(joined(left, wide, False).select(columns))
-    near = joined(left, narrow, True).select(*points.columns, "__point", *[F.col(c).alias(f"__near_{c}") for c in extra])
-    far = joined(near, wide, False)
-    return far.select(*points.columns, *[F.coalesce(F.col(f"__near_{c}"), F.col(c)).alias(c) for c in extra])
+    if how == "inner":  # a point has a row for each width, so that one join serves them all
+        left = left.select("*", F.posexplode(shifted("__point")).alias("__width", "__at"))
+        joined = left.join(side, condition & (F.col("__width") == F.col("__level")) & (F.col("__at") == F.col("__bin")))
+        return joined.select(*points.columns, *[F.col(f"__with_{c}").alias(c) for c in extra])
+    for n, bits in enumerate(shifts):
+        joined = left.join(side.where(F.col("__level") == n), condition & (F.shiftright("__point", bits) == F.col("__bin")), "left")
+        here = F.when(F.col("__lo").isNotNull(), F.struct(*[F.col(f"__with_{c}").alias(c) for c in extra]))
+        left = joined.select(*points.columns, "__point", (F.coalesce("__found", here) if n else here).alias("__found"))
+    return left.select(*points.columns, *[F.col(f"__found.{c}").alias(c) for c in extra])
+
+
+def cut(ranges: DataFrame, *, keys: list[str], lo: str, hi: str, long_keys: bool = True) -> DataFrame:
+    """keys, lo and hi of the pieces between all ends of a key's ranges, which include both their ends.
+
+    ``long_keys`` puts the ends of a key in order over many tasks; without it, as
+    for the modules of a process, each key is sorted in one.
+    """
+    told = ranges.where(F.col(lo) <= F.col(hi)).select(*keys, F.col(lo).alias("__from"), F.col(hi).alias("__to"))
+    after = F.when(F.col("__to") < F.lit((1 << 63) - 1), F.col("__to") + 1)
+    ends = told.select(*keys, F.explode(F.array("__from", after)).alias("__at")).where("__at is not null").distinct()
+    if long_keys:
+        pieces = led(ends, keys, ["__at"], "__at", "__next", bin_width(told, keys, "__from", ROWS // 2))
+    else:
+        pieces = ends.withColumn("__next", F.lead("__at").over(Window.partitionBy(*keys).orderBy("__at")))
+    return pieces.select(*keys, F.col("__at").alias(lo), F.coalesce(F.col("__next") - 1, F.lit((1 << 63) - 1)).alias(hi))
+
+
+def covering(ranges: DataFrame, *, keys: list[str], lo: str, hi: str, shift: int, carry: list[str], long_keys: bool = True) -> DataFrame:
+    """Each piece of ``cut`` with what ``carry`` names of each range that covers it."""
+    told = ranges.where(F.col(lo) <= F.col(hi)).select(*keys, F.col(lo).alias("__from"), F.col(hi).alias("__to"), *carry)
+    covered = point_in_range(cut(ranges, keys=keys, lo=lo, hi=hi, long_keys=long_keys), told, keys=keys, point=F.col(lo), lo=F.col("__from"), hi=F.col("__to"), shift=shift, how="inner")
+    return covered.select(*keys, lo, hi, *carry)
+
+
+def disjoint(ranges: DataFrame, *, keys: list[str], lo: str, hi: str, shift: int, best: Column, long_keys: bool = True) -> DataFrame:
+    """keys, lo, hi and ``best`` of ranges cut at each other's ends, where the greatest ``best`` of those that cover a piece holds it.
+
+    Ends belong to the ranges (``lo <= x <= hi``); pieces that none covers are
+    absent, and a range with ``hi`` below ``lo`` covers nothing.
+    """
+    pieces = covering(ranges.withColumn("best", best), keys=keys, lo=lo, hi=hi, shift=shift, carry=["best"], long_keys=long_keys)
+    return pieces.groupBy(*keys, lo, hi).agg(F.max("best").alias("best"))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, width: int, name: str) -> DataFrame:

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import acceptance
 from .functions.times import SECOND
-from .operators import flame, sched, selection, symbols, tables, timeline
+from .operators import clocks, flame, sched, selection, symbols, tables, timeline
 from .operators.selection import Selection
+from .plans.scratch import folder as scratch_folder
 from .sources import fixtures as fx
-from .sources import storage
+from .sources import rollups, storage
 from .sources.normalize import normalize
 from .streaming import live
 from .trace import Trace
@@ -41,14 +40,6 @@ def query(sql: str | None = None, *used: str):
     return add
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new folder where driver and executors share one; a local master has the machine's own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        shared = f"file://{tempfile.gettempdir()}/tracelake"
-    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{label}-{uuid4().hex}"
-
-
 def joined(path: str = "path"):
     return F.array_join(path, ";").alias("path")
 
@@ -60,7 +51,7 @@ _EVENT = "trace_id, event_id, ts_ns, pid, tid, cpu, kind, value"
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     events = fx.events(spark, sf_dir).withColumns({"name": F.col("kind"), "args": F.create_map(F.lit("k"), F.col("arg_k").cast("string"))})
-    path = _scratch(spark, "trace")
+    path = scratch_folder(spark, "trace")
     storage.write_trace({"events": events.drop("arg_k"), "spans": fx.spans(spark, sf_dir)}, path, DAY)
     return path
 
@@ -72,7 +63,7 @@ def read_trace(spark, sf_dir):
 
 @query(f"SELECT span_id, start_ns, end_ns FROM fx_spans WHERE start_ns < {S1} AND end_ns > {S0}", "fx_spans")
 def read_spans_range(spark, sf_dir):
-    path = _scratch(spark, "trace")
+    path = scratch_folder(spark, "trace")
     storage.write_trace({"spans": fx.spans(spark, sf_dir)}, path, 100 * SECOND)
     return storage.read_trace(spark, path, "t0", S0, S1)["spans"].select("span_id", "start_ns", "end_ns")
 
@@ -80,7 +71,7 @@ def read_spans_range(spark, sf_dir):
 @query("SELECT trace_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (SELECT trace_id, event_id FROM fx_events UNION ALL SELECT 't1', event_id FROM fx_events WHERE kind = 'click') GROUP BY 1", "fx_events")
 def two_traces(spark, sf_dir):
     """A store that takes two traces, one after the other, and the second one twice."""
-    path = _scratch(spark, "trace")
+    path = scratch_folder(spark, "trace")
     events = fx.events(spark, sf_dir).withColumns({"name": F.col("kind"), "args": F.create_map(F.lit("k"), F.col("arg_k").cast("string"))}).drop("arg_k")
     second = events.where("kind = 'click'").withColumn("trace_id", F.lit("t1"))
     for part in (events, second, second):
@@ -129,7 +120,7 @@ def normalize_windows(spark, sf_dir):
 
 @query("SELECT ts_ns, pid, tid, cpu, kind, value FROM fx_events", "fx_events")
 def import_export(spark, sf_dir):
-    path = _scratch(spark, "export")
+    path = scratch_folder(spark, "export")
     _raw(spark, sf_dir, "linux").drop("event_id").write.json(path)
     return storage.import_export(spark, path, "linux", "json")[0].select("ts_ns", "pid", "tid", "cpu", "kind", "value")
 
@@ -152,6 +143,31 @@ def dedupe_events(spark, sf_dir):
     return storage.dedupe_events(e.unionByName(e), ["kind", "arg_k"]).select("kind", "arg_k", "event_id")
 
 
+#: trace, origin, offset and drift of two machines' clocks.
+_CLOCKS = [("t1", T0, 1_500_000_000, 25_000), ("t2", T0 + 7, -86_400_000_000_123, -3_000)]
+
+
+@query(f"""SELECT trace_id, event_id, CASE WHEN o IS NULL THEN ts_ns ELSE ts_ns - o - ((ts_ns - o - z) // 1000000000 * d + ((ts_ns - o - z) % 1000000000 * d) // 1000000000) END AS ts_ns
+FROM (SELECT CASE pid % 3 WHEN 0 THEN 't0' WHEN 1 THEN 't1' ELSE 't2' END AS trace_id, event_id, ts_ns FROM fx_events) LEFT JOIN (VALUES {', '.join(map(str, _CLOCKS))}) AS c(t, z, o, d) ON t = trace_id""", "fx_events")
+def align_clocks(spark, sf_dir):
+    events = fx.events(spark, sf_dir).withColumn("trace_id", F.expr("concat('t', pid % 3)"))
+    known = spark.createDataFrame(_CLOCKS, "trace_id string, origin_ns long, offset_ns long, drift_ppb long")
+    return clocks.align(events, known, ["ts_ns"]).select("trace_id", "event_id", "ts_ns")
+
+
+@query(f"""SELECT 't1' AS trace_id, bin, there_ns + (back_ns - there_ns) // 2 AS at_ns, x // 2 AS offset_ns FROM (
+SELECT bin, min(there) - min(back) AS x, arg_min(t, there) AS there_ns, arg_min(t, back) AS back_ns FROM (
+SELECT t // {DAY} AS bin, * FROM (
+SELECT ts_ns AS t, 5000 + event_id * 7919 % 1000003 + 250000000 AS there, NULL AS back FROM fx_events WHERE kind = 'click' UNION ALL
+SELECT ts_ns AS t, NULL, 5000 + event_id * 7919 % 1000003 - 250000000 FROM fx_events WHERE kind = 'view')) GROUP BY bin HAVING min(there) IS NOT NULL AND min(back) IS NOT NULL)""", "fx_events")
+def clock_offsets(spark, sf_dir):
+    """Clicks as messages to another machine, whose clock is a quarter of a second ahead, and views as messages from it."""
+    e = fx.events(spark, sf_dir).where("kind in ('click', 'view')").withColumn("way", F.expr("5000 + event_id * 7919 % 1000003"))
+    here = e.select(F.lit("t0").alias("trace_id"), F.col("event_id").alias("message"), F.when(F.col("kind") == "click", "sent").otherwise("received").alias("kind"), "ts_ns")
+    there = e.select(F.lit("t1"), "event_id", F.when(F.col("kind") == "click", "received").otherwise("sent"), F.col("ts_ns") + 250_000_000 + F.when(F.col("kind") == "click", F.col("way")).otherwise(-F.col("way")))
+    return clocks.clock_offsets(clocks.match_messages(here.union(there), "sent", "received", ["message"]), "t0", DAY)
+
+
 # ------------------------------------------------------------------- relational
 
 
@@ -337,9 +353,67 @@ def pyramid(spark, sf_dir):
     return timeline.build_pyramid(fx.events(spark, sf_dir), 60 * SECOND, 12, ["trace_id", "kind"])
 
 
+def _stored_pyramid(spark, sf_dir):
+    """A pyramid to which half of the events came later."""
+    path, events = scratch_folder(spark, "pyramid"), fx.events(spark, sf_dir)
+    for append, part in enumerate(("cpu < 2", "cpu >= 2")):
+        rollups.write_pyramid(events.where(part), path, 60 * SECOND, 12, ["kind"], append=bool(append))
+    return path
+
+
+@query(_counts_sql(T0 + 2 * DAY, T0 + 30 * DAY, 672), "fx_events")
+def timeline_from_pyramid(spark, sf_dir):
+    """Pixels of an hour: buckets of 32 minutes, and finer ones at their edges."""
+    return rollups.timeline_from_pyramid(spark, _stored_pyramid(spark, sf_dir), T0 + 2 * DAY, T0 + 30 * DAY, 672)
+
+
+_P0, _PW = T0 // (7680 * SECOND) * 7680 * SECOND, 3840 * SECOND
+
+
+@query(_counts_sql(_P0, _P0 + 600 * _PW, 600), "fx_events")
+def timeline_from_level(spark, sf_dir):
+    """Pixels that are buckets of one level."""
+    return rollups.timeline_from_pyramid(spark, _stored_pyramid(spark, sf_dir), _P0, _P0 + 600 * _PW, 600)
+
+
+@query(f"SELECT kind, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total, min(cents) AS least, max(cents) AS most, true AS ranks_hold, true AS distinct_holds FROM (SELECT kind, CAST(round(value * 100) AS BIGINT) AS cents FROM fx_events WHERE ts_ns >= {T0 + 2 * DAY} AND ts_ns < {T0 + 20 * DAY}) GROUP BY kind", "fx_events")
+def summary_from_sketches(spark, sf_dir):
+    """Stored sketches of each hour and process, merged over 18 days; their percentiles are held against the ranks of all events."""
+    path = scratch_folder(spark, "sketches")
+    events = fx.events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    for append, part in enumerate(("cpu < 2", "cpu >= 2")):
+        rollups.write_sketches(events.where(part), path, "cents", 3600 * SECOND, ["kind", "cpu"], append=bool(append))
+    found = rollups.summary_from_sketches(spark, path, T0 + 2 * DAY, T0 + 20 * DAY, ["kind"])
+    held = events.where((F.col("ts_ns") >= T0 + 2 * DAY) & (F.col("ts_ns") < T0 + 20 * DAY)).select("kind", "cents").join(found, "kind")
+    share = lambda c: F.sum(F.when(c, 1).otherwise(0)) / F.count("*")
+    near = [(share(F.col("cents") < F.col(p)) <= at + 0.01) & (share(F.col("cents") <= F.col(p)) >= at - 0.01) for p, at in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    exact = ["n", "total", "least", "most"]
+    apart = F.abs(F.count_distinct("cents") - F.first("n_distinct")) <= 0.03 * F.count_distinct("cents")
+    return held.groupBy("kind").agg(*[F.first(c).alias(c) for c in exact], (near[0] & near[1] & near[2]).alias("ranks_hold"), apart.alias("distinct_holds"))
+
+
 # ----------------------------------------------------------- symbols and stacks
 
 
+def _indexed(spark, sf_dir):
+    """Stored samples and the index of their frames, one half of which came later."""
+    store, index, samples = scratch_folder(spark, "trace"), scratch_folder(spark, "index"), fx.samples(spark, sf_dir)
+    storage.write_trace({"samples": samples}, store, 100 * SECOND)
+    for append, part in enumerate(("sample_id % 2 = 0", "sample_id % 2 = 1")):
+        rollups.write_frame_index(samples.where(part), index, 100 * SECOND, append=bool(append))
+    return store, index
+
+
+@query(f"SELECT sample_id FROM fx_samples WHERE list_contains(frames, 49) AND ts_ns >= {S0} AND ts_ns < {S1}", "fx_samples")
+def select_frame_indexed(spark, sf_dir):
+    return rollups.samples_with_frame(spark, *_indexed(spark, sf_dir), 49, "t0", S0, S1).select("sample_id")
+
+
+@query("SELECT event_id FROM fx_events WHERE (trace_id, pid, tid) IN (SELECT (trace_id, pid, tid) FROM fx_samples WHERE list_contains(frames, 49))", "fx_events", "fx_samples")
+def linked_semi_indexed(spark, sf_dir):
+    return rollups.of_threads_with_frame(fx.events(spark, sf_dir), _indexed(spark, sf_dir)[1], 49).select("event_id")
+
+
 def _frames(spark, sf_dir):
     return fx.samples(spark, sf_dir).select("trace_id", "sample_id", "pid", "ts_ns", F.posexplode("frames").alias("place", "addr"))
 
@@ -352,6 +426,21 @@ def attach_module(spark, sf_dir):
     return symbols.attach_module(_frames(spark, sf_dir), fx.modules(spark, sf_dir)).select("sample_id", "place", "addr", "module")
 
 
+@query()
+def attach_module_overlaps(spark, sf_dir):
+    """A third module lies over the end of the first and the begin of the second one for some time, and is loaded twice."""
+    known = fx.modules(spark, sf_dir)
+    third = known.where("module = 'app'").selectExpr("trace_id", "pid", "explode(array(struct('plug' as m, 500L as b, 5000L as l, 900000000000L as s, 2000000000000L as u), struct('plug' as m, 700L as b, 9000L as l, 1500000000000L as s, 3000000000000L as u))) as x")
+    third = third.selectExpr("trace_id", "pid", "x.m as module", "x.b as base", "x.l as limit_addr", "x.s as load_ns", "x.u as unload_ns")
+    return symbols.attach_module(_frames(spark, sf_dir), known.unionByName(third)).select("sample_id", "place", "addr", "module")
+
+
+ORACLE_SQL["attach_module_overlaps"] = duck("", "fx_samples", "fx_modules") + f""", m AS (SELECT * FROM fx_modules UNION ALL SELECT trace_id, pid, 'plug', b, l, s, u FROM fx_modules, (VALUES (500, 5000, 900000000000, 2000000000000), (700, 9000, 1500000000000, 3000000000000)) AS v(b, l, s, u) WHERE module = 'app'),
+f AS (SELECT * FROM {_FRAMES})
+SELECT f.sample_id, CAST(f.place AS INT) AS place, f.addr, m.module FROM f LEFT JOIN m ON f.trace_id = m.trace_id AND f.pid = m.pid AND f.addr >= m.base AND f.addr < m.limit_addr AND f.ts_ns >= m.load_ns AND f.ts_ns < m.unload_ns
+QUALIFY row_number() OVER (PARTITION BY f.sample_id, f.place ORDER BY m.load_ns DESC, m.base DESC, m.module DESC) = 1"""
+
+
 _FN = "coalesce(s.fn, '0x' || lower(hex(f.addr)))"
 
 
@@ -397,6 +486,35 @@ def flame_tree(spark, sf_dir):
 ORACLE_SQL["flame_tree"] = _tree_sql("SELECT array_to_string(path, ';') AS path, CAST(depth AS INT) AS depth, name, total, self FROM tree", "fx_stacks", "stack", "fx_stacks")
 
 
+_CONTEXTS = """folded AS (SELECT stack, CAST(sum(weight) AS BIGINT) AS weight FROM {source} GROUP BY 1),
+frames AS (SELECT stack, weight, unnest(range(1, len(stack) + 1)) AS d FROM folded),
+ids AS (SELECT *, list_reduce(list_prepend('', stack[1:d]), lambda acc, x: md5(acc || x)) AS id, list_reduce(list_prepend('', stack[1:d - 1]), lambda acc, x: md5(acc || x)) AS parent FROM frames),
+nodes AS (SELECT id, parent, d AS depth, stack[d] AS name, CAST(sum(weight) AS BIGINT) AS total, CAST(sum(CASE WHEN d = len(stack) THEN weight ELSE 0 END) AS BIGINT) AS self FROM ids GROUP BY 1, 2, 3, 4)"""
+#: The begin of a node: for each level down to it, what stands before by name among the siblings.
+_BEGINS = """offsets AS (SELECT id, coalesce(sum(total) OVER (PARTITION BY parent ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM nodes),
+begins AS (SELECT n.id, CAST(sum(o.off) AS BIGINT) AS x FROM (SELECT DISTINCT i.id, list_reduce(list_prepend('', i.stack[1:k]), lambda acc, x: md5(acc || x)) AS above FROM ids i, range(1, 64) AS r(k) WHERE k <= i.d) n JOIN offsets o ON o.id = n.above GROUP BY 1)"""
+
+
+def _as_text(spark, sf_dir):
+    return flame.fold_stacks(_as_names(fx.samples(spark, sf_dir)))
+
+
+@query()
+def context_tree(spark, sf_dir):
+    return flame.context_tree(_as_text(spark, sf_dir))
+
+
+ORACLE_SQL["context_tree"] = duck("", "fx_samples") + f", {_NAMED}, {_CONTEXTS.format(source='named')} SELECT id, parent, CAST(depth AS INT) AS depth, name, total, self FROM nodes"
+
+
+@query()
+def context_layout(spark, sf_dir):
+    return flame.context_layout(_as_text(spark, sf_dir))
+
+
+ORACLE_SQL["context_layout"] = duck("", "fx_samples") + f", {_NAMED}, {_CONTEXTS.format(source='named')}, {_BEGINS} SELECT id, parent, CAST(depth AS INT) AS depth, name, total, self, x FROM nodes JOIN begins USING (id)"
+
+
 @query()
 def flame_layout(spark, sf_dir):
     return flame.flame_layout(flame.flame_tree(fx.stacks(spark, sf_dir))).select(joined(), "depth", "total", "x")
@@ -464,21 +582,34 @@ def off_cpu(spark, sf_dir):
 
 ORACLE_SQL["off_cpu"] = _runs_sql("SELECT trace_id, pid, tid, b AS start_ns, a AS end_ns, a - b AS off_ns FROM (SELECT trace_id, pid, tid, start_ns AS a, lag(end_ns) OVER (PARTITION BY trace_id, pid, tid ORDER BY start_ns, switch_id) AS b FROM runs) WHERE a > b")
 
-_IO = """ranked AS (SELECT *, row_number() OVER (PARTITION BY trace_id, pid, tid, kind ORDER BY ts_ns, event_id) AS nth FROM fx_events WHERE kind IN ('click', 'view')),
-io AS (SELECT * FROM (SELECT trace_id, pid, tid, nth, max(CASE WHEN kind = 'click' THEN event_id END) AS span_id, max(CASE WHEN kind = 'click' THEN ts_ns END) AS start_ns, max(CASE WHEN kind = 'view' THEN ts_ns END) AS end_ns, max(CASE WHEN kind = 'view' THEN value END) AS size FROM ranked GROUP BY 1, 2, 3, 4) WHERE start_ns IS NOT NULL AND end_ns >= start_ns)"""
+#: Starts and ends as brackets: rows of one level of nesting, each with its neighbours there.
+_IO = """steps AS (SELECT *, sum(CASE WHEN kind = 'click' THEN 1 ELSE -1 END) OVER (PARTITION BY trace_id, pid, tid ORDER BY ts_ns, event_id) AS balance FROM fx_events WHERE kind IN ('click', 'view')),
+levels AS (SELECT *, balance + CASE WHEN kind = 'view' THEN 1 ELSE 0 END AS level FROM steps),
+near AS (SELECT *, lead(kind) OVER w AS next_kind, lag(kind) OVER w AS last_kind, lead(ts_ns) OVER w AS next_ns, lead(value) OVER w AS next_value FROM levels WINDOW w AS (PARTITION BY trace_id, pid, tid, level ORDER BY ts_ns, event_id)),
+io AS (SELECT trace_id, pid, tid, event_id AS span_id, ts_ns AS start_ns, next_ns AS end_ns, next_value AS size FROM near WHERE kind = 'click' AND next_kind = 'view')"""
+
+_REQUEST = ["trace_id", "pid", "tid"]
 
 
 @query()
 def pair_io(spark, sf_dir):
-    return sched.pair_io(fx.events(spark, sf_dir), "click", "view", ["trace_id", "pid", "tid"])
+    return sched.pair_io(fx.events(spark, sf_dir), "click", "view", _REQUEST)
 
 
 ORACLE_SQL["pair_io"] = duck("", "fx_events") + f", {_IO} SELECT * FROM io"
 
 
+@query()
+def unpaired_io(spark, sf_dir):
+    return sched.unpaired_io(fx.events(spark, sf_dir), "click", "view", _REQUEST)
+
+
+ORACLE_SQL["unpaired_io"] = duck("", "fx_events") + f", {_IO} SELECT trace_id, pid, tid, count(*) FILTER (kind = 'click' AND next_kind = 'view') AS n_pairs, count(*) FILTER (kind = 'click' AND next_kind IS DISTINCT FROM 'view') AS n_starts, count(*) FILTER (kind = 'view' AND last_kind IS DISTINCT FROM 'click') AS n_ends FROM near GROUP BY trace_id, pid, tid"
+
+
 @query()
 def io_summary(spark, sf_dir):
-    out = sched.io_summary(sched.pair_io(fx.events(spark, sf_dir), "click", "view", ["trace_id", "pid", "tid"]), ["trace_id", "pid", "tid"])
+    out = sched.io_summary(sched.pair_io(fx.events(spark, sf_dir), "click", "view", _REQUEST), _REQUEST)
     out = out.withColumn("volume", F.round(F.col("volume") * 100).cast("bigint"))
     # whole microseconds; percentiles of them lie on multiples of 10 ns, so half a step is added before rounding down, and no engine's last bit decides
     return out.withColumns({c: F.floor((F.col(c) + 5) / 1000).cast("bigint") for c in ("p50", "p95", "p99")})
@@ -492,13 +623,26 @@ def samples_in_spans(spark, sf_dir):
     return sched.samples_in_spans(fx.samples(spark, sf_dir).drop("frames"), fx.spans(spark, sf_dir)).select("sample_id", "span_id")
 
 
+_INNERMOST = "SELECT s.sample_id, s.weight, p.span_id, p.kind FROM fx_samples s LEFT JOIN fx_spans p ON s.trace_id = p.trace_id AND s.pid = p.pid AND s.tid = p.tid AND s.ts_ns >= p.start_ns AND s.ts_ns < p.end_ns QUALIFY row_number() OVER (PARTITION BY s.sample_id ORDER BY p.start_ns DESC, p.end_ns, p.span_id DESC) = 1"
+
+
+@query(f"SELECT sample_id, span_id FROM ({_INNERMOST})", "fx_samples", "fx_spans")
+def innermost_span(spark, sf_dir):
+    return sched.innermost_span(fx.samples(spark, sf_dir).drop("frames"), fx.spans(spark, sf_dir)).select("sample_id", "span_id")
+
+
+@query(f"SELECT trace_id, span_id, CAST(sum(weight) AS BIGINT) AS weight FROM (SELECT 't0' AS trace_id, span_id, weight FROM ({_INNERMOST})) WHERE span_id IS NOT NULL GROUP BY 1, 2", "fx_samples", "fx_spans")
+def span_samples(spark, sf_dir):
+    return sched.span_samples(fx.samples(spark, sf_dir), fx.spans(spark, sf_dir), ["trace_id"])
+
+
 # -------------------------------------------------------------------- streaming
 
 
 @query("SELECT ts_ns, pid, tid, cpu, kind, value FROM fx_events", "fx_events")
 def ingest_stream(spark, sf_dir):
     """Two landings, two runs: the second one adds only what is new."""
-    base = _scratch(spark, "stream")
+    base = scratch_folder(spark, "stream")
     raw = _raw(spark, sf_dir, "linux").drop("event_id")
     for part in ("cpu < 2", "cpu >= 2"):
         raw.where(part).write.mode("append").json(f"{base}/in")
@@ -506,10 +650,21 @@ def ingest_stream(spark, sf_dir):
     return spark.read.parquet(f"{base}/out/events").select("ts_ns", "pid", "tid", "cpu", "kind", "value")
 
 
+@query("SELECT ts_ns, pid, tid, cpu, kind, value FROM fx_events", "fx_events")
+def ingest_overlapping(spark, sf_dir):
+    """Two landings that share half of the events, in two runs: each event is ingested once."""
+    base = scratch_folder(spark, "stream")
+    raw = _raw(spark, sf_dir, "linux").drop("event_id")
+    for part in ("cpu < 3", "cpu >= 1"):
+        raw.where(part).write.mode("append").json(f"{base}/in")
+        live.ingest_stream(spark, f"{base}/in", "linux", f"{base}/out", time_bin_ns=DAY, dedupe=["ts_ns", "pid", "tid", "kind"], delay="40 days").awaitTermination()
+    return spark.read.parquet(f"{base}/out/events").select("ts_ns", "pid", "tid", "cpu", "kind", "value")
+
+
 @query(f"SELECT trace_id, ts_ns, pid, tid, cpu, kind, value FROM fx_events WHERE ts_ns >= {T0 + 2 * DAY} AND ts_ns < {T0 + 9 * DAY}", "fx_events")
 def read_ingested(spark, sf_dir):
     """What a stream has ingested, read as a trace."""
-    base = _scratch(spark, "stream")
+    base = scratch_folder(spark, "stream")
     _raw(spark, sf_dir, "linux").drop("event_id").write.json(f"{base}/in")
     live.ingest_stream(spark, f"{base}/in", "linux", f"{base}/out", time_bin_ns=DAY).awaitTermination()
     return Trace.read(spark, f"{base}/out", "t0", T0 + 2 * DAY, T0 + 9 * DAY).table("events").select("trace_id", "ts_ns", "pid", "tid", "cpu", "kind", "value")
@@ -518,7 +673,7 @@ def read_ingested(spark, sf_dir):
 @query(f"SELECT kind, start, count(*) AS n FROM (SELECT kind, make_timestamp((ts_ns // {DAY}) * {DAY // 1000}) AS start FROM fx_events) WHERE start < (SELECT make_timestamp((max(ts_ns) // {DAY}) * {DAY // 1000}) FROM fx_events) GROUP BY 1, 2", "fx_events")
 def live_timeline(spark, sf_dir):
     """Closed days of the stream, in append mode; the last open day stays in state."""
-    base = _scratch(spark, "live")
+    base = scratch_folder(spark, "live")
     fx.events(spark, sf_dir).select("ts_ns", "kind").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("ts_ns bigint, kind string").parquet(f"{base}/in")
     counts = live.live_timeline(stream, "1 day", "0 seconds", ["kind"])

@@ -13,12 +13,21 @@ from .. import schema
 from .normalize import normalize
 
 
-def _meta(spark: SparkSession, path: str) -> dict | None:
-    """What ``_trace`` says of a store, or nothing if there is none."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_trace")
+def told(spark: SparkSession, path: str, name: str = "_told") -> dict | None:
+    """What the file ``name`` says of a store, or nothing if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return None
-    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/_trace").collect()))
+    return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/{name}").collect()))
+
+
+def tell(spark: SparkSession, path: str, said: dict, name: str = "_told") -> None:
+    """Say that of a store."""
+    spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def _meta(spark: SparkSession, path: str) -> dict | None:
+    return told(spark, path, "_trace")
 
 
 def register(spark: SparkSession, path: str, tables: list[str], time_bin_ns: int, longest_span_ns: int = 0) -> None:
@@ -28,7 +37,7 @@ def register(spark: SparkSession, path: str, tables: list[str], time_bin_ns: int
         raise ValueError(f"the store has time bins of {known['time_bin_ns']} ns, not {time_bin_ns}")
     said = {"time_bin_ns": time_bin_ns, "tables": sorted({*known["tables"], *tables}), "longest_span_ns": max(known["longest_span_ns"], longest_span_ns)}
     if said != known or not known["tables"]:
-        spark.createDataFrame([(json.dumps(said),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_trace")
+        tell(spark, path, said, "_trace")
 
 
 def write_trace(tables: dict[str, DataFrame], path: str, time_bin_ns: int) -> None:

@@ -12,14 +12,22 @@ from ..sources.normalize import normalize
 from ..sources.storage import register
 
 
-def ingest_stream(spark: SparkSession, in_dir: str, source: str, out: str, *, fmt: str = "json", time_bin_ns: int = 60_000_000_000, checkpoint: str | None = None, **options) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, in_dir: str, source: str, out: str, *, fmt: str = "json", time_bin_ns: int = 60_000_000_000, checkpoint: str | None = None, dedupe: list[str] | None = None, delay: str = "1 hour", **options) -> StreamingQuery:
     """Normalize what has landed since the last run into the events of the store ``out``, each file exactly once; ends when all is done.
 
+    ``dedupe`` names the columns that make an event the same one in overlapping
+    landings: the first to come is kept.  They are remembered, over runs too,
+    until the event time has passed theirs by ``delay``, so a copy may land as
+    much later; an event older than that when it lands is dropped as late.
+
     ``read_trace`` reads the store.  A table that is ingested is not to be
     written by ``write_trace`` too: its readers follow the stream's own log.
     """
     raw = spark.readStream.schema(schema.RAW[source]).format(fmt).load(in_dir)
     events = normalize(raw, source, **options).withColumn("time_bin", F.expr(f"(ts_ns - pmod(ts_ns, {time_bin_ns})) div {time_bin_ns}"))
+    if dedupe:
+        timed = events.withColumn("__time", to_timestamp("ts_ns")).withWatermark("__time", delay)
+        events = timed.dropDuplicatesWithinWatermark(dedupe).drop("__time")
     register(spark, out, ["events"], time_bin_ns)
     writer = events.writeStream.format("parquet").option("path", f"{out}/events").option("checkpointLocation", checkpoint or f"{out}/_checkpoint")
     return writer.partitionBy("trace_id", "time_bin").trigger(availableNow=True).start()
