@@ -1,31 +1,31 @@
 """Best-fit packing of token pieces into sequences of a fixed size.
 
 Bulk-synchronous best fit.  Pieces and gaps are sorted into the ranges of
-their sizes, of which there are as many as a sequence has places.  In each
-round a distributed sweep gives all pieces their successors, the smallest gaps
-that hold them; where several pieces have the same successor, rank settles who
-takes it, and the others take the next larger gaps.  The gaps are updated and
-the sweep repeats until all pieces have a place.  The driver only learns
-counts, sums and extremes of what is left, and from these how many sequences
-must be opened; every piece and gap stays in tables.
+their sizes, of which there are as many as a sequence has places, and counted.
+Each round matches all pieces of one range with their successors, the smallest
+gaps that hold them; rank settles which piece takes which gap, the gaps are
+updated, and the next smaller range follows.  Rounds read counts of alike pieces
+and runs of alike gaps, so they are one small task; ranks of single pieces, which
+grow with the corpus, are distributed.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables
 from .tokens import encoder
 
-#: Pieces or gaps of one size that are ranked in one group, about.
-GROUP = 128
+#: Pieces of one length that are ranked in one group, about, and ranks that are looked up together.
+GROUP, BLOCK = 65_536, 1024
 
 
 def token_pieces(
@@ -59,95 +59,94 @@ def token_pieces(
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
 
 
-def _sweep(items: DataFrame, size: int) -> DataFrame:
-    """``items`` with ``partner``: for a piece the gap that it takes, if any.
+def sweep(counts: dict[int, int], size: int) -> pd.DataFrame:
+    """Best fit of so many pieces of each length, in rounds from the longest length on.
 
-    Items have kind (0 a gap, 1 a piece), id, part, size.  Read from the largest
-    size on, gaps before pieces of their size, a gap is an opening and a piece a
-    closing bracket: each piece takes the bracket that it closes, which is the
-    smallest gap not smaller than it that no piece before it takes.  Brackets
-    match within a level of nesting; the level follows from the counts of the
-    sizes before and the rank within the size, and holds at most one gap and one
-    piece of each size.
+    A round takes all pieces of one length at once.  Gaps are kept sorted by
+    their size; the successor of the length is the smallest gap that holds it,
+    which takes as many of the pieces as fit, then the next larger gap, and what
+    no gap holds opens sequences.  Gaps of one size are alike and kept as runs of
+    sequence numbers, pieces are told apart by their rank alone, and both are
+    updated before the next round.  So the work follows the number of lengths
+    and runs, not of pieces.
+
+    Rows have length, rank (of the first piece), n (pieces), first (sequence),
+    per (pieces to a sequence, the last of which may have fewer) and offset.
     """
-    ranges = items.groupBy("size").agg(F.sum(1 - F.col("kind")).alias("gaps"), F.sum("kind").alias("pieces"))  # size rows at most
-    before = F.sum(F.col("gaps") - F.col("pieces")).over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))
-    ranges = ranges.withColumn("before", F.coalesce(before, F.lit(0)))
-    dealt = items.join(F.broadcast(ranges), "size")
-    many = F.when(F.col("kind") == 0, F.col("gaps")).otherwise(F.col("pieces"))
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("id", "part"), F.ceil(many / GROUP)))
-    counts = dealt.groupBy("size", "kind", "group").agg(F.count("*").alias("n"))
-    base = F.sum("n").over(Window.partitionBy("size", "kind").orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("size", "kind", "group", F.coalesce(base, F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("size", "kind", "group").orderBy("id", "part"))
-    ranked = dealt.withColumn("rank", rank).join(counts, ["size", "kind", "group"]).withColumn("rank", F.col("rank") + F.col("base"))
-    level = F.col("before") + F.when(F.col("kind") == 0, F.col("rank")).otherwise(F.col("gaps") - F.col("rank") + 1)
-    nested = Window.partitionBy("level").orderBy(F.desc("size"), "kind")
-    last = F.lag(F.struct("kind", "id")).over(nested)
-    partner = F.when((F.col("kind") == 1) & (last["kind"] == 0), last["id"])
-    return ranked.withColumn("level", level).select("kind", "id", "size", partner.alias("partner"))
-
-
-def _open(n_left: int, total: int, halves: int, size: int) -> int:
-    """Sequences that pieces without any gap need at least: by their sum, and one for each above the half."""
-    return max(1, -(-total // size), halves) if n_left else 0
+    rooms: list[int] = []
+    runs: dict[int, list[tuple[int, int]]] = {}  # gap size to (first sequence, sequences)
+    out, opened = [], 0
+    for length in sorted((x for x in counts if x > 0), reverse=True):
+        left, rank, made = counts[length], 0, []
+
+        def take(room: int, first: int, many: int) -> int:
+            """Fill up to ``many`` gaps of one size; returns how many were taken."""
+            nonlocal left, rank
+            per = room // length
+            used = min(many, -(-left // per))
+            full = min(used, left // per)
+            for n_sequences, each in ((full, per), (used - full, left - full * per)):
+                if n_sequences:
+                    out.append((length, rank, n_sequences * each, first, each, size - room))
+                    made.append((room - each * length, first, n_sequences))
+                    rank, left, first = rank + n_sequences * each, left - n_sequences * each, first + n_sequences
+            return used
+
+        at = bisect_left(rooms, length)
+        while left and at < len(rooms):
+            room = rooms[at]
+            while left and runs[room]:
+                first, many = runs[room].pop()
+                used = take(room, first, many)
+                if used < many:
+                    runs[room].append((first + used, many - used))
+            if runs[room]:
+                break
+            del runs[room], rooms[at]
+        if left:
+            opened += take(size, opened, -(-left // (size // length)))
+        for room, first, many in made:
+            if room and room not in runs:
+                insort(rooms, room)
+                runs[room] = []
+            if room:
+                runs[room].append((first, many))
+    return pd.DataFrame(out, columns=_PLACED).astype("int64")
+
+
+_PLACED = ["length", "rank", "n", "first", "per", "offset"]
 
 
 def places(pieces: DataFrame, size: int, tables: Tables) -> DataFrame:
-    """__row, sequence_id and offset of the pieces shorter than ``size``, from __row and length.
+    """__row, sequence_id and offset of pieces with a length from 1 to ``size``, from __row and length.
 
-    As many sequences are opened as the pieces need at least.  Then, in
-    each round, one sweep matches all pieces with all gaps; a gap that holds
-    several of the longest pieces left is offered in as many parts.  Gaps are
-    updated and the next round takes what is left; sequences are added only for
-    pieces that no gap holds.
+    Lengths are counted where the pieces lie.  The table of counts has ``size``
+    rows at most, whatever the corpus, and one task sweeps it.  All that grows
+    with the corpus is distributed: pieces of a length are dealt to groups and
+    ranked within them, and ranks find their run of sequences by blocks.
     """
-    spark = pieces.sparkSession
-    left = pieces.where(F.col("length") < size).select(F.col("__row").alias("id"), "length")
-
-    def measured(on: Column, length: Column) -> list[Column]:
-        some = F.when(on, length)
-        return [F.count(some).alias("n"), F.sum(some).alias("total"), F.min(some).alias("least"), F.max(some).alias("most"), F.count(F.when(some > size // 2, 1)).alias("halves")]
-
-    rest = left.agg(*measured(F.lit(True), F.col("length"))).first().asDict()
-    gaps, rooms, opened, swept = None, {"n": 0, "most": None}, 0, []
-    while rest["n"]:
-        new = 0
-        if gaps is None:
-            new = _open(rest["n"], rest["total"], rest["halves"], size)
-        elif (rooms["most"] or 0) < rest["most"]:
-            above = left.where(F.col("length") > (rooms["most"] or 0)).agg(*measured(F.lit(True), F.col("length"))).first()
-            new = _open(above["n"], above["total"], above["halves"], size)
-        if new:
-            added = spark.range(opened, opened + new).select(F.col("id").alias("gap"), F.lit(size).cast("long").alias("room"))
-            gaps = added if gaps is None else gaps.unionByName(added)
-            opened += new
-        most = -(-2 * rest["n"] // (rooms["n"] + new))  # parts beyond that would find no piece
-        parts = F.greatest(F.lit(1), F.least(F.expr(f"room div {rest['most']}"), F.lit(most))).cast("int")
-        offered = gaps.withColumn("parts", parts).select(F.lit(0).alias("kind"), F.col("gap").alias("id"), F.expr("room div parts").alias("size"), F.explode(F.sequence(F.lit(1), "parts")).alias("part"))
-        items = offered.unionByName(left.select(F.lit(1).alias("kind"), "id", F.col("length").alias("size"), F.lit(0).alias("part")))
-        seen = Observation()
-        without = (F.col("kind") == 1) & F.col("partner").isNull()
-        swept.append(tables.written(_sweep(items, size).observe(seen, *measured(without, F.col("size"))).where("kind = 1"), "swept"))
-        rest = seen.get
-        left = swept[-1].where("partner is null").select("id", F.col("size").alias("length"))
-        taken = swept[-1].where("partner is not null").groupBy(F.col("partner").alias("gap")).agg(F.sum("size").alias("taken"))
-        if rest["n"]:
-            seen = Observation()
-            gaps = gaps.join(taken, "gap", "left").select("gap", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")).where(F.col("room") >= rest["least"])
-            gaps = tables.written(gaps.observe(seen, F.count("*").alias("n"), F.max("room").alias("most")), "gaps")
-            rooms = seen.get
-    if not swept:
-        return spark.createDataFrame([], "__row long, sequence_id long, offset long")
-    placed = reduce(DataFrame.unionByName, swept).where("partner is not null").select(F.col("id").alias("__row"), F.col("partner").alias("sequence"), "size")
-    before = F.sum("size").over(Window.partitionBy("sequence").orderBy(F.desc("size"), "__row").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.select("__row", (2 * F.col("sequence")).alias("sequence_id"), F.coalesce(before, F.lit(0)).alias("offset"))
+    lengths = pieces.select("__row", "length")
+    counts = tables.written(lengths.groupBy("length").agg(F.count("*").alias("many")), "counts")  # size rows at most
+    kinds = ", ".join(f"{c} long" for c in _PLACED)
+    runs = counts.groupBy().applyInPandas(lambda rows: sweep(dict(zip(rows["length"].tolist(), rows["many"].tolist())), size), kinds)
+    runs = tables.written(runs, "runs")
+    groups = F.broadcast(counts.select("length", F.ceil(F.col("many") / GROUP).alias("groups")))
+    dealt = lengths.join(groups, "length").withColumn("group", F.pmod(F.xxhash64("__row"), F.col("groups")))
+    sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("many"))
+    before = Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "group", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("length", "group").orderBy("__row"))
+    ranked = dealt.withColumn("within", rank).join(sizes, ["length", "group"]).withColumn("at", F.col("base") + F.col("within") - 1)
+    ranked = ranked.select("__row", "length", "at", F.expr(f"at div {BLOCK}").alias("block"))
+    blocks = F.sequence(F.expr(f"rank div {BLOCK}"), F.expr(f"(rank + n - 1) div {BLOCK}"))
+    runs = runs.withColumn("block", F.explode(blocks))
+    met = ranked.join(runs, ["length", "block"]).where("at >= rank and at < rank + n")
+    return met.select("__row", F.expr("first + (at - rank) div per").alias("sequence_id"), F.expr("offset + (at - rank) % per * length").alias("offset"))
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
     """Add sequence_id and offset to pieces with a length from 1 to ``size``.
 
-    A piece of the whole size is a sequence of its own, with an odd number.
     Equal rows are told apart by a running number, so no number of them meets
     in one task.
     """
@@ -156,8 +155,7 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     pieces = lasting.written(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     found = lasting.written(places(pieces, size, tables), "places")
     tables.remove()
-    whole = pieces.where(F.col("length") == size).select(*columns, (2 * F.col("__row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(pieces.where(F.col("length") < size).join(found, "__row").select(*columns, "sequence_id", "offset"))
+    return pieces.join(found, "__row").select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 1024, **options) -> DataFrame:
