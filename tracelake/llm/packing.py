@@ -25,7 +25,7 @@ from .common import Tables
 from .tokens import encoder
 
 #: Pieces of one length that are ranked in one group, about, and ranks that are looked up together.
-GROUP, BLOCK = 65_536, 1024
+GROUP, BLOCK = 1024, 1024
 
 
 def token_pieces(
