@@ -280,6 +280,69 @@ def test_classifier_on_held_out_rows(spark):
     assert got.join(other.select("doc_id", other["score"].alias("s2")), "doc_id").where("abs(score - s2) > 1e-9").count() == 0
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def buckets_by_hand(text):
+    """Words, words that repeat the one before, and runs of three and four bytes, each as a bucket."""
+    data, n = text.encode(), classifier.BUCKETS
+    words = [w for w in re.split(rb"[\x00\x09-\x0d\x20]+", data) if w]
+    out = [mixed(sum((c + 1) * mixed((k + 1) * 0x9E3779B97F4A7C15 & MASK) for k, c in enumerate(w)) & MASK) % n for w in words]
+    out += [1 for a, b in zip(words, words[1:]) if a == b]
+    for size, odd_ in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
+        grams = [int.from_bytes(data[k : k + size], "big") for k in range(max(0, len(data) + 1 - size))]
+        out += [(g * odd_ & 0xFFFFFFFF) >> (32 - n.bit_length() + 1) for g in grams]
+    return out
+
+
+def test_classifier_is_that_by_hand():
+    """Averaging, softmax and each step of gradient descent, one number after the other."""
+    import numpy as np
+
+    texts = ["good calm words", "good good words here", "$$ !! ##", "spam spam $$", "é ü calm", "x"]
+    labels = [1, 1, 0, 0, 1, 0]
+    weights, bias = classifier._train(texts, labels)
+    rng = np.random.default_rng(7)
+    d = classifier.DIMENSION
+    start = rng.uniform(-1 / d, 1 / d, (classifier.BUCKETS, d)).astype(np.float32)
+    vectors, layer, base = {}, [[0.0, 0.0] for _ in range(d)], [0.0, 0.0]
+    done, steps = 0, classifier.EPOCHS * len(texts)
+    for _ in range(classifier.EPOCHS):
+        for k in rng.permutation(len(texts)):
+            own = Counter(buckets_by_hand(texts[k]))
+            rate = classifier.RATE * (1 - done / steps)
+            done += 1
+            for b in own:
+                vectors.setdefault(b, [float(x) for x in start[b]])
+            total = sum(own.values())
+            mean = [sum(n / total * vectors[b][j] for b, n in own.items()) for j in range(d)]
+            logits = [sum(mean[j] * layer[j][c] for j in range(d)) + base[c] for c in (0, 1)]
+            odds = [math.exp(x - max(logits)) for x in logits]
+            slope = [x / sum(odds) - (c == labels[k]) for c, x in enumerate(odds)]
+            back = [sum(layer[j][c] * slope[c] for c in (0, 1)) for j in range(d)]
+            for c in (0, 1):
+                for j in range(d):
+                    layer[j][c] -= 0.1 * rate * mean[j] * slope[c]
+                base[c] -= 0.01 * rate * slope[c]
+            for b, n in own.items():
+                for j in range(d):
+                    vectors[b][j] -= rate * n / total * back[j]
+    assert abs(bias - (base[1] - base[0])) < 1e-3
+    for b, v in vectors.items():
+        assert abs(weights[b] - sum(v[j] * (layer[j][1] - layer[j][0]) for j in range(d))) < 1e-2 * max(1, abs(weights[b]))
+    unseen = ["good spam", "", None, "new text of calm words", "$$"]
+    for text, got in zip(unseen, classifier.score(unseen, weights, bias)):
+        own = buckets_by_hand(text or "")
+        assert abs(got - 1 / (1 + math.exp(-(bias + (sum(float(weights[b]) for b in own) / len(own) if own else 0))))) < 1e-9
+    assert [x >= 0.5 for x in classifier.score(texts, weights, bias)] == [x == 1 for x in labels]
+
+
 def test_classifier_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in classifier.quality_scores(odd(spark), none).collect()} == {0.5}
@@ -308,12 +371,12 @@ def test_no_model_drops_no_row(spark):
 # ------------------------------------------------------------------ line dedup
 
 
-def lines_by_hand(rows, ratio, least):
+def lines_by_hand(rows, one_in):
     pages, has = Counter(s for _, _, s in rows), Counter()
     for _, text, s in rows:
         for line in set((text or "").split("\n")) if text is not None else ():
             has[s, line] += 1
-    gone = {k for k, n in has.items() if n >= least and n > ratio * pages[k[0]] and k[1].strip(" ")}
+    gone = {k for k, n in has.items() if n > pages[k[0]] / one_in + (1 - 1 / one_in) * math.sqrt(pages[k[0]]) + 1e-9 and k[1].strip(" ")}
     out = []
     for i, text, s in rows:
         lines = text.split("\n") if text is not None else []
@@ -325,13 +388,30 @@ def lines_by_hand(rows, ratio, least):
 def test_line_dedup(spark):
     rows = [(i, f"menu\nbody {i}\n\nmenu\nfoot {i % 3}", "a" if i % 4 else None) for i in range(40)] + [(99, None, "a"), (98, "", "b"), (97, "menu", "b"), (1, "menu\nbody 1", "a"), (None, "menu", None)]
     docs = spark.createDataFrame([(i, t, "en", s, 0, "clash") for i, t, s in rows], DOCS + ", host string")
-    for ratio, least in ((0.1, 5), (0.3, 2), (0.9, 1)):
-        got = linededup.drop_boilerplate(docs, ratio=ratio, least_pages=least)
-        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == lines_by_hand(rows, ratio, least)
+    for one_in in (20, 3, 2):
+        got = linededup.drop_boilerplate(docs, one_in=one_in)
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()), key=str) == lines_by_hand(rows, one_in)
     assert got.where("host = 'clash'").count() == len(rows)
     assert linededup.drop_boilerplate(empty(spark)).count() == 0
 
 
+def test_a_line_needs_no_least_number_of_pages(spark):
+    """Hosts of one to six pages: all of two pages, two of three, three of six; one page alone never."""
+    rows = [(f"h{n}x{k}", "menu\n" * (j < k) + f"own {n} {k} {j}") for n in range(1, 7) for k in range(n + 1) for j in range(n)]
+    docs = spark.createDataFrame([(j, t, "en", h, 0) for j, (h, t) in enumerate(rows)], DOCS)
+    gone = {r.source for r in linededup.drop_boilerplate(docs).where("n_dropped > 0").collect()}
+    assert gone == {f"h{n}x{k}" for n in range(1, 7) for k in range(n + 1) if k > n / 20 + 0.95 * math.sqrt(n) + 1e-9} and {"h2x2", "h3x2", "h6x3"} <= gone and "h1x1" not in gone
+
+
+def test_line_dedup_keeps_foreign_columns(spark):
+    rows = [(k, f"menu\nbody {k}", "en", "a", 0, f"n{k}", k, "h", [1], "y") for k in range(10)]
+    docs = spark.createDataFrame(rows, DOCS + ", n_lines string, n_dropped int, __host string, __common array<int>, __kept string")
+    got = linededup.drop_boilerplate(docs, told=False)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted((r[0], f"body {r[0]}", *r[2:]) for r in rows)
+    assert {r.n_lines for r in linededup.drop_boilerplate(docs).collect()} == {2}
+
+
 # -------------------------------------------------------------- tokens, packing
 
 
@@ -354,6 +434,28 @@ def test_pieces_encode_as_the_library_does():
         assert encoder.encode(text) == tokens._packed(library.encode(text, add_special_tokens=False).ids)
 
 
+def test_caches_of_long_pieces_are_bounded():
+    """Texts without spaces, as Chinese, base64 or minified code: what a worker keeps has a fixed size."""
+    import random
+
+    encoder = tokens.PieceEncoder(BYTES)
+    rng = random.Random(2)
+    for _ in range(20):
+        text = "".join(rng.choice("abcdefgh0123456789+/") for _ in range(20_000)) + " " + "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(5_000))
+        assert encoder.encode(text) == tokens._packed(library(BYTES).encode(text, add_special_tokens=False).ids)
+    for cache in (encoder.pieces, encoder.pieces.words):
+        assert all(len(k) <= tokens.LONGEST for k in cache) and sum(len(k) + len(v) for k, v in cache.items()) < 1 << 20
+
+
+def test_caches_stop_at_their_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 500)
+    encoder = tokens.PieceEncoder(BYTES)
+    text = " ".join(f"word{k}" for k in range(2000))
+    assert encoder.encode(text) == tokens._packed(library(BYTES).encode(text, add_special_tokens=False).ids)
+    for cache in (encoder.pieces, encoder.pieces.words):
+        assert 0 < sum(len(k) + len(v) for k, v in cache.items()) < 600
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(WORDS)
     docs = documents(spark).select("doc_id", "text").union(odd(spark).select("doc_id", "text"))

@@ -201,7 +201,7 @@ class _Blocks:
     """Blocks of test items, dealt by a hash; one at least.  Each is a broadcast index that lasts as long as it is used."""
 
     def __init__(self, tests: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
-        self.tests = tests.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
+        self.tests = tests.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()  # copies of an item would meet in one block
         self.window = window
         self.n = max(1, math.ceil((self.tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
 

@@ -170,7 +170,7 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN
 WITH p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 totals AS (SELECT source, count(*) AS pages FROM p GROUP BY 1),
 counts AS (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM p) WHERE trim(line) <> '' GROUP BY 1, 2),
-common AS (SELECT source, list(line) AS common FROM counts JOIN totals USING (source) WHERE n >= {linededup.LEAST_PAGES} AND n > pages * {linededup.RATIO} GROUP BY 1),
+common AS (SELECT source, list(line) AS common FROM counts JOIN totals USING (source) WHERE {linededup.ONE_IN} * n > pages AND ({linededup.ONE_IN} * n - pages) * ({linededup.ONE_IN} * n - pages) > {(linededup.ONE_IN - 1) ** 2} * pages GROUP BY 1),
 kept AS (SELECT doc_id, source, text, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x)) AS kept FROM p LEFT JOIN common USING (source))
 SELECT doc_id, source, CAST(coalesce(len(lines), 0) AS INT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS INT) AS n_dropped,
        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text

@@ -19,6 +19,9 @@ from . import memory
 #: Pieces and pre-tokens that one Python worker keeps; a full cache keeps what
 #: it has, and the rest is encoded each time.
 PIECES, PRE_TOKENS = 400_000, 400_000
+#: Characters of a piece that is kept, and characters and bytes of ids that one
+#: cache keeps: long pieces seldom come again, and few of them would fill a worker.
+LONGEST, CACHE_BYTES = 64, 16 << 20
 
 #: White space other than a space or a line feed, and control characters.
 _ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000]")
@@ -45,26 +48,34 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _PreTokens(dict):
-    def __init__(self, tokenizer):
+class _Kept(dict):
+    """A cache of bounded entries and bytes."""
+
+    def __init__(self, entries: int):
         super().__init__()
+        self.entries, self.room = entries, CACHE_BYTES
+
+    def keep(self, key: str, made: bytes) -> bytes:
+        if len(key) <= LONGEST and len(self) < self.entries and self.room > 0:
+            self[key] = made
+            self.room -= len(key) + len(made)
+        return made
+
+
+class _PreTokens(_Kept):
+    def __init__(self, tokenizer):
+        super().__init__(PRE_TOKENS)
         model = tokenizer.model
         model._resize_cache(0)  # new words only come here, so its own cache would not be hit
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
-    def make(self, word: str) -> bytes:
-        return _packed([x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters))])
-
     def __missing__(self, word: str) -> bytes:
-        made = self.make(word)
-        if len(self) < PRE_TOKENS:
-            self[word] = made
-        return made
+        return self.keep(word, _packed([x.id for x in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]))
 
 
-class _Pieces(dict):
+class _Pieces(_Kept):
     def __init__(self, tokenizer):
-        super().__init__()
+        super().__init__(PIECES)
         self.tokenizer, self.words = tokenizer, _PreTokens(tokenizer)
 
     def __missing__(self, piece: str) -> bytes:
@@ -76,9 +87,7 @@ class _Pieces(dict):
             made = self.words[body] + self.words[piece[len(body) :]]  # letters, then marks only
         else:
             made = b"".join(map(self.words.__getitem__, _PRE_TOKEN.findall(piece)))
-        if len(self) < PIECES:
-            self[piece] = made
-        return made
+        return self.keep(piece, made)
 
 
 class PieceEncoder:
