@@ -54,6 +54,19 @@ def test_approximate_summary_is_near(spark):
         assert abs(a.p95 - b.p95) <= 20 and abs(a.n_distinct - b.n_distinct) <= 0.1 * a.n_distinct and a.total == b.total
 
 
+@pytest.mark.parametrize("width", [None, 3, 1000])
+def test_ranked_summary_is_the_exact_one(spark, width):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randint(-50, 50), rng.randint(-5000, 5000)])) for _ in range(400)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = {r.g: tuple(r)[1:] for r in tables.summarize_ranked(df, ["g"], "v", width).collect()}
+    expected = {r.g: tuple(r)[1:] for r in tables.summarize(df, ["g"], "v").where("n > 0").collect()}
+    assert got.keys() == expected.keys()
+    for g, values in expected.items():
+        assert got[g] == pytest.approx(values)
+    assert tables.summarize_ranked(df.where("g = 'none'"), ["g"], "v", 1).count() == 0
+
+
 def test_timeline_totals(spark):
     e, t0, day = fx.events(spark, SF), 1_704_067_200 * 10**9, 86_400 * 10**9
     counts = timeline.timeline_counts(e, t0, t0 + 10 * day, 333, ["kind"])

@@ -131,6 +131,13 @@ def test_contexts_are_the_paths_tree(spark):
     assert {r.id: r.total for r in flame.context_tree(folded).collect()} == {i: r.total for i, r in by_id.items()}
 
 
+def test_contexts_of_two_profiles(spark):
+    rng = random.Random(16)
+    a, b = (spark.createDataFrame([([rng.choice("abc") for _ in range(rng.randrange(0, 5))], rng.randrange(1, 5)) for _ in range(60)], "stack array<string>, weight long") for _ in range(2))
+    known = sorted((len(r.path), r.path[-1], r.total_a, r.total_b, r.diff) for r in flame.flame_diff(flame.fold_stacks(a), flame.fold_stacks(b)).collect())
+    assert sorted((r.depth, r.name, r.total_a, r.total_b, r.diff) for r in flame.context_diff(a, b).collect()) == known
+
+
 def test_contexts_of_deep_stacks(spark):
     """500 frames deep: the intervals of a tree by hand, in rows of a fixed size."""
     deep = [f"f{k % 40}" for k in range(500)]

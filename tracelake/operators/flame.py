@@ -114,3 +114,15 @@ def flame_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     left, right = (flame_tree(x).select("path", F.col("total").alias(n)) for x, n in ((a, "total_a"), (b, "total_b")))
     both = left.join(right, "path", "full").select("path", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total_a", "total_b")))
     return both.withColumn("diff", F.col("total_b") - F.col("total_a"))
+
+
+def flame_contexts(samples: DataFrame, sel: Selection, stack: str = "stack") -> DataFrame:
+    """``flame`` with ids of contexts for paths."""
+    return context_layout(fold_stacks(samples.where(sel.predicate(samples)), stack))
+
+
+def context_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``flame_diff`` with ids of contexts for paths, in one pass over both folded profiles."""
+    sides = a.select("stack", F.col("weight").alias("weight"), F.lit(0).cast("bigint").alias("other")).unionByName(b.select("stack", F.lit(0).cast("bigint").alias("weight"), F.col("weight").alias("other")))
+    nodes = _nodes(_contexts(sides, "other"), F.sum("other").alias("total_b"))
+    return nodes.select("id", "parent", "depth", "name", F.col("total").alias("total_a"), "total_b", (F.col("total_b") - F.col("total")).alias("diff"))

@@ -213,6 +213,14 @@ def summary_exact(spark, sf_dir):
     return tables.summarize(fx.events(spark, sf_dir), ["kind"], "arg_k")
 
 
+@query("SELECT kind, count(v) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, CAST(round(100 * quantile_cont(v, 0.5)) AS BIGINT) AS p50, CAST(round(100 * quantile_cont(v, 0.95)) AS BIGINT) AS p95, CAST(round(100 * quantile_cont(v, 0.99)) AS BIGINT) AS p99, count(DISTINCT v) AS n_distinct FROM (SELECT kind, CAST(round(value * 100) AS BIGINT) * 3 AS v FROM fx_events) GROUP BY kind", "fx_events")
+def summary_ranked(spark, sf_dir):
+    """Percentiles by rank, of multiples of three, whose hundredths lie on no half."""
+    events = fx.events(spark, sf_dir).withColumn("v", F.round(F.col("value") * 100).cast("bigint") * 3)
+    out = tables.summarize_ranked(events, ["kind"], "v")
+    return out.withColumns({c: F.round(100 * F.col(c)).cast("bigint") for c in ("p50", "p95", "p99")})
+
+
 # -------------------------------------------------------------------- selection
 
 _WEEK = Selection().time(T0 + 2 * DAY, T0 + 9 * DAY)
@@ -515,6 +523,29 @@ def context_layout(spark, sf_dir):
 ORACLE_SQL["context_layout"] = duck("", "fx_samples") + f", {_NAMED}, {_CONTEXTS.format(source='named')}, {_BEGINS} SELECT id, parent, CAST(depth AS INT) AS depth, name, total, self, x FROM nodes JOIN begins USING (id)"
 
 
+@query()
+def linked_contexts(spark, sf_dir):
+    """``linked_flame`` with ids of contexts for paths."""
+    sel = Selection().time(S0, S1).process(*range(20))
+    return flame.flame_contexts(_as_names(fx.samples(spark, sf_dir)), sel)
+
+
+ORACLE_SQL["linked_contexts"] = duck("", "fx_samples") + f", {_NAMED}, {_CONTEXTS.format(source=f'(SELECT * FROM named WHERE ts_ns >= {S0} AND ts_ns < {S1} AND pid < 20)')}, {_BEGINS} SELECT id, parent, CAST(depth AS INT) AS depth, name, total, self, x FROM nodes JOIN begins USING (id)"
+
+
+@query()
+def context_diff(spark, sf_dir):
+    s = fx.stacks(spark, sf_dir)
+    return flame.context_diff(s.where("stack[2] <> 'BUILDING'"), s.where("stack[0] <> 'ASIA'"))
+
+
+ORACLE_SQL["context_diff"] = duck("", "fx_stacks") + """, frames AS (SELECT stack, weight, unnest(range(1, len(stack) + 1)) AS d FROM fx_stacks),
+ids AS (SELECT *, list_reduce(list_prepend('', stack[1:d]), lambda acc, x: md5(acc || x)) AS id, list_reduce(list_prepend('', stack[1:d - 1]), lambda acc, x: md5(acc || x)) AS parent FROM frames),
+sums AS (SELECT id, parent, CAST(d AS INT) AS depth, stack[d] AS name, coalesce(CAST(sum(weight) FILTER (stack[3] <> 'BUILDING') AS BIGINT), 0) AS total_a, coalesce(CAST(sum(weight) FILTER (stack[1] <> 'ASIA') AS BIGINT), 0) AS total_b
+FROM ids WHERE stack[3] <> 'BUILDING' OR stack[1] <> 'ASIA' GROUP BY ALL)
+SELECT *, total_b - total_a AS diff FROM sums"""
+
+
 @query()
 def flame_layout(spark, sf_dir):
     return flame.flame_layout(flame.flame_tree(fx.stacks(spark, sf_dir))).select(joined(), "depth", "total", "x")
