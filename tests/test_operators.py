@@ -121,7 +121,7 @@ IO = [
 ]
 
 
-@pytest.mark.parametrize("bin_ns", [None, 1, 20])
+@pytest.mark.parametrize("bin_ns", [None, 0, 1, 20])
 def test_io_pairs_survive_lost_rows(spark, bin_ns):
     events = io_of(spark, *(x[0] for x in IO))
     found = sched.pair_io(events, "s", "e", ["key"], bin_ns).collect()
@@ -156,7 +156,7 @@ def lanes_by_hand(rows, gap):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bin_ns", [1, 7, 50, 100_000, None])
+@pytest.mark.parametrize("bin_ns", [1, 7, 50, 100_000, 0, None])
 @pytest.mark.parametrize("gap", [0, 5])
 def test_merged_spans_over_bins(spark, bin_ns, gap):
     """Spans over several bins, empty bins, a null lane, times below zero, one lane that is always busy."""
@@ -176,7 +176,7 @@ def test_one_lane_runs_in_many_tasks(spark):
     rows = [(k * k % 9973, k) for k in range(5000)]
     df = spark.createDataFrame(rows, "t long, id long").withColumn("lane", F.lit(1))
     ordered = sorted(rows)
-    for width in (200, None):
+    for width in (200, 0):
         shifted = lanes.led(lanes.lagged(df, ["lane"], ["t", "id"], "id", "before", width), ["lane"], ["t", "id"], "id", "after", width)
         got = {r.id: (r.before, r.after) for r in shifted.collect()}
         assert got == {r[1]: (ordered[k - 1][1] if k else None, ordered[k + 1][1] if k + 1 < len(ordered) else None) for k, r in enumerate(ordered)}
@@ -190,7 +190,7 @@ def test_one_lane_runs_in_many_tasks(spark):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r.id: r.s for r in tasks} == expected
     assert len({r.task for r in tasks}) > 1
-    assert lanes.bin_width(df, ["lane"], "t", 100) == -(-9973 * 100 // 5000)
+    assert lanes.bin_width(df, ["lane"], "t", 100) == -(-9973 * 100 // 5000) and lanes.bin_width(df, ["lane"], "t", 5000) == 0
 
 
 def test_concurrency_of_null_keys(spark):

@@ -39,7 +39,7 @@ def _levelled(events: DataFrame, start: str, end: str, key: list[str], bin_ns: i
     """Starts and ends with the level of nesting that they open or close, and the next row of their level."""
     rows = events.where(F.col("kind").isin(start, end)).select(*key, "ts_ns", "event_id", "value", (F.col("kind") == start).alias("starts"))
     rows = rows.withColumn("step", F.when(F.col("starts"), 1).otherwise(-1))
-    bin_ns = bin_ns or bin_width(rows, key, "ts_ns")
+    bin_ns = bin_width(rows, key, "ts_ns") if bin_ns is None else bin_ns
     level = F.col("balance") + F.when(F.col("starts"), 0).otherwise(1)
     rows = summed(rows, key, ["ts_ns", "event_id"], "step", "balance", bin_ns).withColumn("level", level)
     rows = rows.withColumn("this", F.struct("starts", "ts_ns", "value"))

@@ -43,13 +43,24 @@ def attach_module(frames: DataFrame, modules: DataFrame, shift: int = MODULE_BIT
     return found.select(*[c for c in frames.columns if c != "module"], "module")
 
 
-def symbolize(df: DataFrame, symbols: DataFrame, shift: int = FUNCTION_BITS) -> DataFrame:
-    """``fn`` of each (module, addr): the function whose range holds it, else the address in hexadecimal.
+def functions(addresses: DataFrame, symbols: DataFrame, shift: int = FUNCTION_BITS) -> DataFrame:
+    """``addresses`` (module, addr) with the function ``fn`` whose range holds each, else null.
 
     Functions of a module do not overlap, so rows stay as many as they are.
     """
-    named = point_in_range(df, symbols.select("module", "lo", "hi", "fn"), keys=["module"], point=ordered(F.col("addr")), lo=ordered(F.col("lo")), hi=ordered(F.col("hi") - 1), shift=shift)
-    return named.select(*df.columns, F.coalesce("fn", hexadecimal(F.col("addr"))).alias("fn"), F.col("fn").isNotNull().alias("resolved"))
+    return point_in_range(addresses, symbols.select("module", "lo", "hi", "fn"), keys=["module"], point=ordered(F.col("addr")), lo=ordered(F.col("lo")), hi=ordered(F.col("hi") - 1), shift=shift)
+
+
+def _named(df: DataFrame, symbols: DataFrame, shift: int) -> DataFrame:
+    """``df`` with ``fn``; each address is looked up once, however many rows have it."""
+    addresses = df.select("module", "addr").where("module is not null and addr is not null").distinct()
+    known = functions(addresses, symbols, shift).where("fn is not null").select(F.col("module").alias("__module"), F.col("addr").alias("__addr"), "fn")
+    return df.join(known, (F.col("module") == F.col("__module")) & (F.col("addr") == F.col("__addr")), "left").drop("__module", "__addr")
+
+
+def symbolize(df: DataFrame, symbols: DataFrame, shift: int = FUNCTION_BITS) -> DataFrame:
+    """``fn`` of each (module, addr): the function whose range holds it, else the address in hexadecimal."""
+    return _named(df, symbols, shift).select(*df.columns, F.coalesce("fn", hexadecimal(F.col("addr"))).alias("fn"), F.col("fn").isNotNull().alias("resolved"))
 
 
 def symbolize_stacks(samples: DataFrame, symbols: DataFrame, module: str = "app", modules: DataFrame | None = None) -> DataFrame:
@@ -63,14 +74,8 @@ def symbolize_stacks(samples: DataFrame, symbols: DataFrame, module: str = "app"
     keys = ["trace_id", "pid", "ts_ns", "frames"] if modules is not None else ["frames"]
     stacks = samples.select(*keys).distinct()
     frames = stacks.select(*keys, F.posexplode("frames").alias("place", "addr"))
-    if modules is not None:
-        frames = attach_module(frames, modules)
-        addresses = frames.select("module", "addr").where("addr is not null").distinct()
-    else:
-        frames = frames.withColumn("module", F.lit(module))
-        addresses = frames.select("module", "addr").where("addr is not null").distinct()
-    names = symbolize(addresses, symbols).select(F.col("module").alias("__module"), F.col("addr").alias("__addr"), "fn")
-    named = frames.join(names, F.col("module").eqNullSafe(F.col("__module")) & (F.col("addr") == F.col("__addr")), "left")
+    frames = attach_module(frames, modules) if modules is not None else frames.withColumn("module", F.lit(module))
+    named = symbolize(frames, symbols)
     parts = F.array_sort(F.collect_list(F.struct("place", F.coalesce("fn", F.lit("?")).alias("fn"))))
     resolved = named.groupBy(*keys).agg(F.transform(parts, lambda x: x["fn"]).alias("stack"))
     return samples.join(resolved, keys, "left").select(*samples.columns, F.coalesce("stack", F.array().cast("array<string>")).alias("stack"))

@@ -68,7 +68,7 @@ def merge_spans(spans: DataFrame, keys: list[str], gap_ns: int = 0, bin_ns: int
 
 def span_gaps(spans: DataFrame, keys: list[str], bin_ns: int | None = None) -> DataFrame:
     """Idle time between the merged spans of a lane."""
-    bin_ns = bin_ns or bin_width(spans, keys, "start_ns")
+    bin_ns = bin_width(spans, keys, "start_ns") if bin_ns is None else bin_ns
     merged = led(merge_spans(spans, keys, 0, bin_ns), keys, ["start_ns"], "start_ns", "after", bin_ns)
     gaps = merged.select(*keys, F.col("end_ns").alias("start_ns"), F.col("after").alias("end_ns")).where("end_ns is not null")
     return gaps.withColumn("gap_ns", F.col("end_ns") - F.col("start_ns"))

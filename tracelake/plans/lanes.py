@@ -6,6 +6,9 @@ scanned over the lane, and what a bin needs of its neighbours comes to it as one
 more row, a carrier, that sorts before or after its own.  So a lane's rows are
 shuffled once, to as many tasks as it has bins, and only summaries are ordered
 over the whole lane.  Null keys are keys like any other.
+
+``width`` is that of a bin.  None measures it by one small count; 0 is one bin
+for all time, which is what the count says where no lane is long.
 """
 
 from __future__ import annotations
@@ -20,23 +23,29 @@ ROWS = 100_000
 
 
 def bin_width(df: DataFrame, keys: Sequence[str], time: str, rows: int | None = None) -> int:
-    """A width at which the bins of the busiest lane hold ``rows`` rows on average."""
+    """A width at which the bins of the busiest lane hold ``rows`` rows on average; 0 if that lane has no more rows in all.
+
+    0 stands for no bins: each lane is short enough to be sorted in one task.
+    """
+    rows = rows or ROWS
     lanes = df.groupBy(*keys).agg(F.count(time).alias("n"), F.min(time).alias("least"), F.max(time).alias("most"))
     busiest = lanes.agg(F.max(F.struct("n", "least", "most"))).first()[0]
-    if not busiest or not busiest["n"]:
-        return 1
-    return min(1 << 62, max(1, -(-(busiest["most"] - busiest["least"] + 1) * (rows or ROWS) // busiest["n"])))
+    if not busiest or busiest["n"] <= rows:
+        return 0
+    return min(1 << 62, max(1, -(-(busiest["most"] - busiest["least"] + 1) * rows // busiest["n"])))
 
 
-def binned(df: DataFrame, keys: Sequence[str], time: str, width: int | None) -> DataFrame:
+def binned(df: DataFrame, time: str, width: int) -> DataFrame:
     """``df`` with ``__bin``, whose order is that of time; times below zero are rounded down too."""
-    width = width or bin_width(df, keys, time)
     return df.withColumn("__bin", F.expr(f"{time} div {width}L - if({time} % {width}L < 0, 1, 0)"))
 
 
 def _shifted(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, value: str, name: str, width: int | None, forward: bool) -> DataFrame:
     """``df`` with ``name``: ``value`` of the row before (``forward``) or after in the lane."""
-    dealt = binned(df, keys, time, width)
+    width = bin_width(df, keys, time) if width is None else width
+    if not width:
+        return df.withColumn(name, (F.lag if forward else F.lead)(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    dealt = binned(df, time, width)
     at = F.struct(*order)
     edge = F.max_by(F.struct(value), at) if forward else F.min_by(F.struct(value), at)
     lane = Window.partitionBy(*keys).orderBy("__bin")
@@ -61,7 +70,10 @@ def led(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, na
 
 def summed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, width: int | None = None) -> DataFrame:
     """``df`` with ``name``, the sum of ``value`` over its lane up to the row; ``order`` begins with a time and is total."""
-    dealt = binned(df, keys, order[0], width)
+    width = bin_width(df, keys, order[0]) if width is None else width
+    if not width:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = binned(df, order[0], width)
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carriers = dealt.groupBy(*keys, "__bin").agg(F.sum(value).alias("__sum")).select(*keys, "__bin", F.sum("__sum").over(before).alias(value)).where(F.col(value).isNotNull())
     met = dealt.withColumn("__carrier", F.lit(False)).unionByName(carriers.withColumn("__carrier", F.lit(True)), allowMissingColumns=True)
@@ -78,7 +90,14 @@ def islands(df: DataFrame, keys: Sequence[str], start: str, end: str, joins: Col
     from the bin before and its last one into the next, so these two are put
     together over the lane; the others are complete.
     """
-    dealt = binned(df.select(*keys, start, end), keys, start, width)
+    rows, unbounded = df.select(*keys, start, end), Window.unboundedPreceding
+    width = bin_width(rows, keys, start) if width is None else width
+    if not width:
+        lane = Window.partitionBy(*keys).orderBy(start, end)
+        reached = rows.withColumn("__reach", F.max(end).over(lane.rowsBetween(unbounded, -1))).withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
+        whole = reached.withColumn("__island", F.sum("__new").over(lane.rowsBetween(unbounded, 0))).groupBy(*keys, "__island")
+        return whole.agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
+    dealt = binned(rows, start, width)
     before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     carriers = dealt.groupBy(*keys, "__bin").agg(F.max(end).alias("__reach")).select(*keys, "__bin", F.max("__reach").over(before).alias(end)).where(F.col(end).isNotNull())
     met = dealt.withColumn("__carrier", F.lit(False)).unionByName(carriers.withColumn("__carrier", F.lit(True)), allowMissingColumns=True)

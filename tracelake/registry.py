@@ -11,6 +11,7 @@ from . import acceptance
 from .functions.times import SECOND
 from .operators import clocks, flame, sched, selection, symbols, tables, timeline
 from .operators.selection import Selection
+from .plans import lanes
 from .plans.scratch import folder as scratch_folder
 from .sources import fixtures as fx
 from .sources import rollups, storage
@@ -608,7 +609,8 @@ ORACLE_SQL["cpu_time"] = _runs_sql("SELECT pid, tid, CAST(sum(end_ns - start_ns)
 
 @query()
 def off_cpu(spark, sf_dir):
-    return sched.off_cpu(sched.run_spans(fx.switches(spark, sf_dir)))
+    switches = fx.switches(spark, sf_dir)
+    return sched.off_cpu(sched.run_spans(switches), lanes.bin_width(switches, ["trace_id", "pid", "tid"], "ts_ns"))
 
 
 ORACLE_SQL["off_cpu"] = _runs_sql("SELECT trace_id, pid, tid, b AS start_ns, a AS end_ns, a - b AS off_ns FROM (SELECT trace_id, pid, tid, start_ns AS a, lag(end_ns) OVER (PARTITION BY trace_id, pid, tid ORDER BY start_ns, switch_id) AS b FROM runs) WHERE a > b")
