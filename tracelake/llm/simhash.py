@@ -31,8 +31,8 @@ from .arrays import mix
 from .common import fresh_path, remove_path, written
 
 SEED = 42
-#: Fingerprints that trees are fitted on, by the least hashes; all are indexed.
-SAMPLE = 20_000
+#: Fingerprints that trees are fitted on: all up to SAMPLE, then one of each SHARE by their hashes, about MOST at most; all are indexed.
+SAMPLE, SHARE, MOST = 20_000, 100, 4_000_000
 #: Fingerprints of a shard, about.
 SHARD = 2_000
 
@@ -227,8 +227,12 @@ def _shard_links(fps: np.ndarray, home: np.ndarray, radius: int, shard: int = SH
 def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints of the column ``fp`` at most ``radius`` bits apart, as stars."""
     spark, n = prints.sparkSession, prints.count()
-    part = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column(0).to_numpy() if n > SAMPLE else prints.toArrow().column(0).to_numpy()
-    sample = part.view(np.uint64)[np.argsort(mix(part.view(np.uint64)))]  # a fixed order without structure
+    some = prints.select("fp")
+    if n > SAMPLE:  # so the number of shards grows with the fingerprints, up to billions
+        wanted = min(MOST, max(SAMPLE, n // SHARE))
+        some = some.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < (wanted << 32) // n)
+    part = some.toArrow().column(0).to_numpy().view(np.uint64)
+    sample = part[np.argsort(mix(part))]  # a fixed order without structure
     halves = (0xFFFFFFFF, 0xFFFFFFFF << 32)
     forest = spark.sparkContext.broadcast([VantageTree(sample, n / max(1, len(sample)), m, radius // 2) for m in halves])
 
