@@ -88,6 +88,76 @@ def test_a_host_agrees_on_its_path(spark):
     assert extract.main_text(pages.limit(0)).count() == 0
 
 
+NAMED = {
+    "en": ("story", "advert", "reactions", "comments"),
+    "de": ("beitrag", "werbung", "reaktionen", "kommentare"),
+    "fr": ("billet", "publicité", "réactions", "commentaires"),
+    "es": ("nota", "publicidad", "reacciones", "comentarios"),
+}
+
+
+@pytest.mark.parametrize("lang", NAMED)
+def test_names_of_four_languages(lang):
+    story, ad, reactions, comments = NAMED[lang]
+    html = page(f'<div class="wrap"><div class="{story}"><p>The text of it, at some length.</p><h2 id="{reactions}">Reaction</h2><p>Its end.</p></div><div class="{ad}-box"><p>Buy this now</p></div><section class="{reactions}"><p>A reader says no</p></section><div id="{comments}"><p>A reader says yes, and says so at a length that the text has not</p></div></div>')
+    assert extract.Page(html).text(None) == "The text of it, at some length. Reaction Its end."
+    within = page(f'<article><section class="{reactions}"><p>Acids and bases.</p></section><section class="{comments}"><p>no</p></section></article>')
+    assert extract.Page(within).text(None) == "Acids and bases."
+
+
+def host_page(host, k, story, box, links):
+    name = {"h0": "pz-7", "h1": "kasten", "h2": "encart", "h3": "cuadro"}[host]
+    listed = "".join(f'<li><a href="/{x}">{x}</a></li>' for x in links)
+    return page(f'<div class="w"><div class="b"><p>{story}</p><h2 class="t">Same heading</h2><div class="lead-{k}"><p>{story} again</p></div><div class="{name}"><p>{box}</p></div><ul class="z">{listed}</ul></div></div>')
+
+
+def test_a_host_votes_out_what_it_repeats_and_what_is_links(spark):
+    rows, want = [], {}
+    for h in range(4):
+        host = f"h{h}"
+        for k in range(30):
+            story = f"story {k} of {host} " * (3 + k % 5)
+            box = f"box {k % 2 if h < 2 else k} says buy"  # hosts 0 and 1 repeat two texts, 2 and 3 none
+            rows.append((len(rows), f"http://{host}.org/{k}", host_page(host, k, story, box, [f"link{k * 7 + i} of the host" for i in range(4)])))
+            told = " ".join(story.split())
+            want[len(rows) - 1] = " ".join([told, "Same heading", told + " again"] + ([box] if h >= 2 else []))
+    rows += [(len(rows) + i, f"http://copies.org/{i}", host_page("h0", 1, "one text on all pages", "one box", ["a", "b"])) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.main_text(pages).collect()}
+    assert {k: got[k] for k in want} == want
+    assert {got[k] for k in range(120, 132)} == {"one text on all pages Same heading one text on all pages again one box a b"}  # one page, however often
+
+    by_hand = {}
+    for _, url, html in rows:
+        whole, parts = extract.Page(html).parts()
+        for part, seen in parts.items():
+            by_hand.setdefault((url.split("/")[2], part), {})[whole] = seen
+    voted = {(h, p) for (h, p), seen in by_hand.items() for k in [len(seen)] if 2 * len({d for d, _ in seen.values()}) + k**0.5 <= k or 2 * sum(x for _, x in seen.values()) > k + k**0.5}
+    assert {(r.host, p & (1 << 64) - 1) for r in extract.host_paths(pages).collect() for p in r.furniture or ()} == voted and len(voted) == 2 + 4
+
+
+def test_parts_have_the_digests_of_their_blocks():
+    one = extract.Page('<div class="a"><div class="x">one<p>two</p></div><div class="y"><p>one</p>two</div><div class="x">three</div><div id="e"></div></div>')
+    texts = {}
+    for x, part in enumerate(one.part):
+        inside = [t for e, t, _ in one.blocks for up in [e] if x in _above(one, up)]
+        if part and inside:
+            texts.setdefault(part, []).extend(inside)
+    _, parts = one.parts()
+    other = extract.Page('<div class="a"><p>longer than all that stands in the other part</p><div class="x">one<br>two</div><div class="x"><p>three</p></div></div>')
+    assert set(parts) < set(texts)  # the best container and what holds it are no parts
+    for page_parts in (parts, other.parts()[1]):
+        assert all(texts[p] in (["one", "two", "three"], ["one", "two"]) for p in page_parts)
+    shared = set(parts) & set(other.parts()[1])
+    assert all(parts[p] == other.parts()[1][p] for p in shared) and len(other.parts()[1]) == 1
+
+
+def _above(found, x):
+    while x >= 0:
+        yield x
+        x = found.parent[x]
+
+
 def test_given_pages_by_brute_force(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
