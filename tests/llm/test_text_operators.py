@@ -109,7 +109,10 @@ def test_perplexity_is_that_of_a_model_by_hand(spark, monkeypatch):
     docs = documents(spark).where("lang = 'en'").collect()
     texts = [r.text for r in docs][:60] + ["🙂 x", "aaaa", "漢字 and \0 units that no other text has", ""]
     expected = log_perplexities_by_hand(texts)
-    for limit in (10**6, 15000):  # whole, in slices
+    read, score = [], perplexity._score
+    monkeypatch.setattr(perplexity, "_score", lambda docs, models: read.append(len(models)) or score(docs, models))
+    for limit, at_once in (10**6, 10**6), (15000, 10**6), (15000, 300):  # whole, in slices, in slices for a few texts at a time
+        monkeypatch.setattr(perplexity, "SCORED_AT_ONCE", at_once)
         got = perplexity.quality_rules(table(spark, texts), broadcast_ngrams=limit).orderBy("doc_id").collect()
         assert [r.log_ppl for r in got] == [x if x is None else pytest.approx(x, abs=1e-5) for x in expected]
         inside = sorted(x for x, r in zip(expected, got) if not r.base_failed)
@@ -119,7 +122,7 @@ def test_perplexity_is_that_of_a_model_by_hand(spark, monkeypatch):
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
             assert (r.low, r.high) == pytest.approx((q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)), abs=1e-4)
             assert r.kept == (not r.base_failed and r.low <= r.log_ppl <= r.high)
-    assert len(slices) >= 3
+    assert len(slices) >= 5 and len(read) == 3 and read[0] == 1 < read[1]  # each model goes over the texts once
 
 
 def test_bands_are_those_of_a_language(spark):

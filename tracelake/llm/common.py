@@ -47,9 +47,10 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame, label: str) -> DataFrame:
+    def written(self, df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read again, in a folder for each value of ``by`` if it is given."""
         self.paths.append(fresh_path(self.spark, label))
-        df.write.parquet(self.paths[-1])
+        df.write.parquet(self.paths[-1], partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def remove(self) -> None:

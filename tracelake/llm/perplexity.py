@@ -8,8 +8,9 @@ exactly, so an n-gram is its own key.  Each task counts its texts in sorted
 arrays; Spark adds the counts and computes the smoothed probabilities with
 groupings and joins.  For scoring, the n-grams of all orders and the weights
 that contexts leave to shorter n-grams are held in arrays sorted by a mixed
-key, with a bucket index over them, and go to the texts in slices of bounded
-size.  An n-gram without a count backs off to the shorter one; a unit without
+key, with a bucket index over them, in slices of bounded size.  All slices are
+broadcast, and a task takes one after the other to the n-grams that it holds,
+so the texts are read once whatever the size of the model.  An n-gram without a count backs off to the shorter one; a unit without
 a count has what the model leaves to one further symbol.
 
 A document is rejected if the logarithm of its perplexity leaves the band of
@@ -33,13 +34,15 @@ from .common import Tables, small
 ORDER = 4
 #: Quartile distances below the first and above the third quartile that a document may lie.
 BAND = 3.0
-#: N-grams and contexts that are broadcast at once (12 bytes each); a larger model goes to the texts slice by slice.
+#: N-grams and contexts of a slice of the model (12 bytes each), of which a worker has one in memory at a time.
 #: Those of one and two units, which a language has few of, are in every slice.
 BROADCAST_NGRAMS = 4_000_000
 #: Languages up to which tables with a row for each are broadcast.
 MOST_LANGUAGES = 10_000
 #: N-grams a task holds before it hands its counts on.
 HELD = 2_000_000
+#: N-grams a task holds before the slices of a model of several go over them.
+SCORED_AT_ONCE = 4_000_000
 #: The unit before a text, three times; a text's own is counted like it.
 _BEGIN = np.uint16(0xFFFF)
 
@@ -245,7 +248,7 @@ class BackOff:
 # ----------------------------------------------------------------------- scoring
 
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCORED = "row long, doc_id long, lang string, " + ", ".join(f"{c} long" for c in _BASE) + ", units long, total double"
+_SCORED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in _BASE) + ", units long, total double"
 #: Spreads two units over the slices; a product with them stays below 2 ** 63.
 _SPREAD = 0x5F356495
 
@@ -261,34 +264,60 @@ def _in_slice(grams: np.ndarray, slices: int, k: int) -> np.ndarray:
     return (middle * np.uint64(_SPREAD) >> np.uint64(24)) % np.uint64(slices) == k
 
 
-def _score(docs: DataFrame, model, slices: int, k: int) -> DataFrame:
-    """The sum of negative log probabilities of each row over the n-grams of slice ``k``, with the base counts in the first.
+def _score(docs: DataFrame, models: list) -> DataFrame:
+    """Base counts, n-grams and the sum of their negative log probabilities of each row.
 
-    It is null where there is no model, that is where all texts of a language
-    are in one half.
+    ``models`` are the broadcast slices of the model.  Of several a worker keeps
+    none: it reads one after the other from the executor's copy for every
+    ``SCORED_AT_ONCE`` n-grams.  The sum is null where there is no model, that is
+    where all texts of a language are in one half.
     """
+    slices = len(models)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory.release()
-        models = model.value
+        waiting: list[tuple] = []  # rows without their texts, and what has been added up for them
+        held: list[tuple] = []
+
+        def add_up() -> None:
+            for k, model in enumerate(models):
+                arrays = model.value if slices == 1 or not hasattr(model, "_path") else model.load_from_path(model._path)
+                for key, total, at, grams, bounds in held:
+                    if key in arrays:
+                        logs = np.zeros(len(grams))
+                        here = np.flatnonzero(_in_slice(grams, slices, k)) if slices > 1 else np.arange(len(grams))
+                        logs[here] = arrays[key].logs(grams[here])
+                        total[at] = np.nan_to_num(total[at]) - np.add.reduceat(logs, bounds[:-1])
+                del arrays
+            held.clear()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for batch, counts, units, total in waiting:
+                columns = [*batch, *(pa.array(counts[:, c]) for c in range(len(_BASE))), pa.array(units), pa.array(total, mask=np.isnan(total))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *_BASE, "units", "total"])
+            waiting.clear()
+
+        n = 0
         for batch in batches:
-            keys, texts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            counts = np.array([base_counts(t) for t in texts] if k == 0 else [], dtype=np.int64).reshape(-1, len(_BASE))
+            keys, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            counts = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, len(_BASE))
             units, total = np.zeros(len(texts), dtype=np.int64), np.full(len(texts), np.nan)
             for key in set(keys):
                 at = np.array([i for i, (x, t) in enumerate(zip(keys, texts)) if x == key and t], dtype=np.int64)
                 for first, end, grams, bounds in _ngrams([texts[i] for i in at]):
                     units[at[first:end]] = np.diff(bounds)
-                    if key in models:
-                        logs = np.zeros(len(grams))
-                        here = np.flatnonzero(_in_slice(grams, slices, k)) if slices > 1 else np.arange(len(grams))
-                        logs[here] = models[key].logs(grams[here])
-                        total[at[first:end]] = -np.add.reduceat(logs, bounds[:-1])
-            base = (pa.array(counts[:, c]) if k == 0 else pa.nulls(len(texts), pa.int64()) for c in range(len(_BASE)))
-            columns = [batch.column(0), batch.column(1), batch.column(2), *base, pa.array(units), pa.array(total, mask=np.isnan(total))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "lang", *_BASE, "units", "total"])
+                    held.append((key, total, at[first:end], grams, bounds))
+                    n += len(grams)
+                    if slices == 1 or n > SCORED_AT_ONCE:
+                        add_up()
+                        n = 0
+            waiting.append(((batch.column(0), batch.column(1)), counts, units, total))
+            if not held:
+                yield from done()
+        add_up()
+        yield from done()
 
-    return docs.select("row", "doc_id", "lang", "judge", "text").mapInArrow(score, _SCORED)
+    return docs.select("doc_id", "lang", "judge", "text").mapInArrow(score, _SCORED)
 
 
 def _arrays(model: DataFrame) -> dict[str, BackOff]:
@@ -299,26 +328,24 @@ def _arrays(model: DataFrame) -> dict[str, BackOff]:
     return {x: BackOff(part[code == k], grams[code == k], logp[code == k]) for k, x in enumerate(langs.dictionary.to_pylist())}
 
 
-def scores(rows: DataFrame, model: DataFrame, n: int, at_once: int, tables: Tables) -> DataFrame:
-    """Base counts and log perplexity of each row, by one slice of the model after the other.
+def scores(rows: DataFrame, model: DataFrame, n: int, at_once: int, tables: Tables, lasting: Tables) -> DataFrame:
+    """Base counts and log perplexity of each row, written; one pass over the texts.
 
-    The texts stay where they are: each slice goes over them, and only sums are
-    added up by row.  All that an n-gram may back off to is in its slice.
+    A model of more than ``at_once`` rows is parted into slices, read one at a
+    time on the driver.  All that an n-gram may back off to is in its slice.
     """
     slices = max(1, -(-n // at_once))
     if slices > 1:
-        rows = tables.written(rows, "rows")
-    parts = None
+        every = F.abs("part") < ORDER - 1
+        parted = model.withColumn("slice", F.when(every, -1).otherwise(_slice_of(F.col("part"), F.col("gram"), slices)))
+        model = tables.written(parted.repartition("slice"), "slices", by="slice")
+    context, models = rows.sparkSession.sparkContext, []
     for k in range(slices):
-        some = model if slices == 1 else model.where((F.abs("part") < ORDER - 1) | (_slice_of(F.col("part"), F.col("gram"), slices) == k))
-        arrays = rows.sparkSession.sparkContext.broadcast(_arrays(some))
-        one = tables.written(_score(rows, arrays, slices, k), "scores")
-        arrays.unpersist()
-        parts = one if parts is None else parts.unionByName(one)
-    if slices > 1:
-        one = [F.max(c).alias(c) for c in ("doc_id", "lang", *_BASE, "units")]
-        parts = parts.groupBy("row").agg(*one, F.sum("total").alias("total"))
-    return parts.withColumn("log_ppl", F.try_divide("total", "units"))
+        models.append(context.broadcast(_arrays(model if slices == 1 else model.where(F.col("slice").isin(-1, k)))))
+    scored = lasting.written(_score(rows, models), "scored")
+    for one in models:
+        one.destroy()
+    return scored.withColumn("log_ppl", F.try_divide("total", "units"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_words: int = 50, repeat_share: float = 0.5, band: float = BAND, broadcast_ngrams: int = BROADCAST_NGRAMS) -> DataFrame:
@@ -330,14 +357,14 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     and is judged by the base rules alone, if it has no text or if all texts of
     its language are in its own half (copies of a single text, say).
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"), F.col(text_col).alias("text"))
     half = F.pmod(F.xxhash64("text"), F.lit(2))
     rows = rows.withColumn("counted", F.concat("lang", F.lit("\0"), half)).withColumn("judge", F.concat("lang", F.lit("\0"), 1 - half))
     lasting, tables = Tables(docs.sparkSession), Tables(docs.sparkSession)
     counts = tables.written(ngram_counts(rows.select(F.col("counted").alias("lang"), "text")), "ngrams")
     models = counts.select("lang").distinct().count()
     model = kneser_ney(counts, models, tables)
-    scored = lasting.written(scores(rows, model, model.count(), broadcast_ngrams, tables), "scored")
+    scored = scores(rows, model, model.count(), broadcast_ngrams, tables, lasting)
     tables.remove()
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > F.lit(repeat_share) * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
