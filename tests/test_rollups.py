@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import clocks, flame, sched, symbols, timeline
+from tracelake.plans import ranges
 from tracelake.plans.ranges import disjoint, point_in_range
 from tracelake.sources import rollups, storage
 from tracelake.streaming import live
@@ -206,6 +207,22 @@ def test_modules_that_overlap_and_load_again(spark):
     assert len(got) == len(frames)
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_a_wide_module_takes_few_rows_and_only_counted_rows_are_broadcast(spark, monkeypatch, most):
+    """A module of 10**9 addresses had 954 rows for each process, which Spark broadcast whole."""
+    monkeypatch.setattr(ranges, "BROADCAST_ROWS", most)
+    rows = [("t", p, m, a, b, 0, 100) for p in range(20) for m, a, b in (("app", 0, 1000), ("lib", 1000, 10**9))]
+    modules = spark.createDataFrame(rows, "trace_id string, pid long, module string, base long, limit_addr long, load_ns long, unload_ns long")
+    pieces = symbols.module_pieces(modules)
+    side, widths = ranges._in_bins(pieces, ["trace_id", "pid"], F.col("lo"), F.col("hi"), symbols.MODULE_BITS)
+    assert pieces.count() == 40 and side.count() <= (ranges.MOST_BINS + 1) * 20 and len(widths) == 2
+    frames = spark.createDataFrame([("t", p, 5, a) for p in range(21) for a in (-1, 0, 999, 1000, 10**9 - 1, 10**9)], "trace_id string, pid long, ts_ns long, addr long")
+    found = symbols.attach_module(frames, modules)
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+    names = {0: "app", 999: "app", 1000: "lib", 10**9 - 1: "lib"}
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted((("t", p, 5, a, names.get(a) if p < 20 else None) for p in range(21) for a in (-1, 0, 999, 1000, 10**9 - 1, 10**9)), key=repr)
+
+
 def test_innermost_of_nested_and_crossing_spans(spark):
     spans = [(1, 0, 100), (2, 10, 50), (3, 20, 30), (4, 20, 30), (5, 40, 70), (6, 60, 60), (7, 90, 200), (8, 300, 400)]
     df = spark.createDataFrame([("t", i, a, b, 1, 1, "k") for i, a, b in spans], "trace_id string, span_id long, start_ns long, end_ns long, pid long, tid long, kind string")

@@ -19,12 +19,12 @@ def module_pieces(modules: DataFrame, shift: int = MODULE_BITS) -> DataFrame:
     """Disjoint rectangles of addresses (``lo`` to ``hi``, as ``ordered``) and times (``since`` to ``until``), each with the module that holds it.
 
     Addresses are cut at all limits of a process first, then the times of each
-    piece at all loads there; the few rows are written, as every frame meets them.  Of modules that overlap, the one loaded last holds
+    piece at all loads there; both are written, as more than one step reads them and every frame meets the last.  Of modules that overlap, the one loaded last holds
     the piece, of these that with the greatest base, then name.
     """
     process = ["trace_id", "pid"]
     limits = modules.select(*process, "module", "base", "load_ns", F.col("load_ns").alias("since"), (F.col("unload_ns") - 1).alias("until"), ordered(F.col("base")).alias("lo"), ordered(F.col("limit_addr") - 1).alias("hi"))
-    loaded = covering(limits, keys=process, lo="lo", hi="hi", shift=shift, carry=["module", "base", "load_ns", "since", "until"], long_keys=False)
+    loaded = written(covering(limits, keys=process, lo="lo", hi="hi", shift=shift, carry=["module", "base", "load_ns", "since", "until"], long_keys=False), "loaded")
     pieces = disjoint(loaded, keys=[*process, "lo", "hi"], lo="since", hi="until", shift=LOAD_BITS, best=F.struct("load_ns", "base", "module"), long_keys=False)
     return written(pieces.select(*process, "lo", "hi", "since", "until", F.col("best.module").alias("module")), "pieces")
 

@@ -12,26 +12,55 @@ from pyspark.sql import functions as F
 from .lanes import ROWS, bin_width, led
 
 
-#: A range that touches more bins than this goes to coarser ones.
-MOST_BINS, COARSER = 1024, 24
+#: A range that touches more bins than this goes to bins ``COARSER`` bits wider, and so on.  As 2**COARSER is MOST_BINS,
+#: a range is then nearly as long as its bins at least, so few that do not overlap share one.
+MOST_BINS, COARSER = 16, 4
+#: Rows of ranges in bins that are broadcast; more are shuffled, whatever Spark takes their size for.
+BROADCAST_ROWS = 200_000
 
 
 def _shifts(shift: int) -> list[int]:
     """Widths of bins, as powers of two, of which the last one holds any range in ``MOST_BINS`` bins."""
     out = [shift]
-    while 64 - out[-1] > 10:
+    while 64 - out[-1] > COARSER:
         out.append(min(63, out[-1] + COARSER))
     return out
 
 
+def _in_bins(ranges: DataFrame, keys: list[str], lo: Column, hi: Column, shift: int) -> tuple[DataFrame, list[int]]:
+    """Ranges with a row for each bin, and the widths that occur, in bits; ``__bits`` is that of a row.
+
+    Columns are ``__of_`` a key, ``__lo``, ``__hi`` and ``__with_`` any other.  One
+    small count tells the widths and whether the rows are few enough to broadcast.
+    """
+    numbered = ranges.select(*[F.col(k).alias(f"__of_{k}") for k in keys], lo.alias("__lo"), hi.alias("__hi"), *[F.col(c).alias(f"__with_{c}") for c in ranges.columns if c not in keys]).where("__lo <= __hi")
+    shifts = _shifts(shift)
+    bits = F.lit(shifts[-1])
+    for n in reversed(shifts[:-1]):
+        bits = F.when(F.shiftright("__hi", n) - F.shiftright("__lo", n) < MOST_BINS, n).otherwise(bits)
+    numbered = numbered.withColumn("__bits", bits)
+    first, last = F.expr("shiftright(__lo, __bits)"), F.expr("shiftright(__hi, __bits)")
+    found = {r["__bits"]: r["n"] for r in numbered.groupBy("__bits").agg(F.sum(last - first + 1).alias("n")).collect()}
+    side = numbered.withColumn("__bin", F.explode(F.sequence(first, last)))
+    return F.broadcast(side) if sum(found.values()) <= BROADCAST_ROWS else side.hint("merge"), sorted(found)
+
+
+def _meets(keys: list[str], also: Callable[[Callable[[str], Column]], Column] | None) -> Column:
+    condition = (F.col("__point") >= F.col("__lo")) & (F.col("__point") <= F.col("__hi"))
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"__of_{k}"))
+    return condition if also is None else condition & also(lambda c: F.col(f"__with_{c}"))
+
+
 def point_in_range(points: DataFrame, ranges: DataFrame, *, keys: list[str], point: Column, lo: Column, hi: Column, shift: int, how: str = "left", also: Callable[[Callable[[str], Column]], Column] | None = None) -> DataFrame:
     """Join each point with the ranges ``lo <= point <= hi`` of its keys.
 
     A bare range condition makes Spark compare every point with every range.
     Here both sides get the number of the ``2**shift`` wide bin that they are
     in, a range one row for each bin that it touches, and the bin is a join key.
-    Choose ``2**shift`` near the usual length of a range; a range over very many
-    bins has coarser ones, so neither its rows nor the pairs to compare multiply.
+    Choose ``2**shift`` near the usual length of a range; one over more than
+    ``MOST_BINS`` bins has coarser ones, so neither its rows nor the pairs to
+    compare multiply.  Points look into the widths that occur.
 
     "left" keeps points without a range and takes ranges of a key not to
     overlap; "inner" gives every pair.  ``also`` is a further condition of a
@@ -39,27 +68,18 @@ def point_in_range(points: DataFrame, ranges: DataFrame, *, keys: list[str], poi
     it holds for one of them at most.
     """
     extra = [c for c in ranges.columns if c not in keys]
-    numbered = ranges.select(*[F.col(k).alias(f"__of_{k}") for k in keys], lo.alias("__lo"), hi.alias("__hi"), *[F.col(c).alias(f"__with_{c}") for c in extra])
-    level, shifts = F.lit(None), _shifts(shift)
-    for n, bits in reversed(list(enumerate(shifts))):
-        level = F.when(F.shiftright("__hi", bits) - F.shiftright("__lo", bits) < MOST_BINS, n).otherwise(level) if n + 1 < len(shifts) else F.lit(n)
-    numbered = numbered.withColumn("__level", level)
-    condition = (F.col("__point") >= F.col("__lo")) & (F.col("__point") <= F.col("__hi"))
-    for k in keys:
-        condition = condition & (F.col(k) == F.col(f"__of_{k}"))
-    if also is not None:
-        condition = condition & also(lambda c: F.col(f"__with_{c}"))
-    shifted = lambda c: F.array(*[F.shiftright(c, bits) for bits in shifts])
-    side = numbered.withColumn("__bin", F.explode(F.sequence(F.get(shifted("__lo"), F.col("__level")), F.get(shifted("__hi"), F.col("__level")))))
+    side, widths = _in_bins(ranges, keys, lo, hi, shift)
+    condition = _meets(keys, also)
     left = points.withColumn("__point", point)
     if how == "inner":  # a point has a row for each width, so that one join serves them all
-        left = left.select("*", F.posexplode(shifted("__point")).alias("__width", "__at"))
-        joined = left.join(side, condition & (F.col("__width") == F.col("__level")) & (F.col("__at") == F.col("__bin")))
+        numbers = F.array(*[F.struct(F.lit(n).alias("width"), F.shiftright("__point", n).alias("at")) for n in widths or [shift]])
+        left = left.select("*", F.explode(numbers).alias("__near")).select(*points.columns, "__point", F.col("__near.width").alias("__width"), F.col("__near.at").alias("__at"))
+        joined = left.join(side, condition & (F.col("__width") == F.col("__bits")) & (F.col("__at") == F.col("__bin")))
         return joined.select(*points.columns, *[F.col(f"__with_{c}").alias(c) for c in extra])
-    for n, bits in enumerate(shifts):
-        joined = left.join(side.where(F.col("__level") == n), condition & (F.shiftright("__point", bits) == F.col("__bin")), "left")
+    for k, n in enumerate(widths or [shift]):
+        joined = left.join(side.where(F.col("__bits") == n), condition & (F.shiftright("__point", n) == F.col("__bin")), "left")
         here = F.when(F.col("__lo").isNotNull(), F.struct(*[F.col(f"__with_{c}").alias(c) for c in extra]))
-        left = joined.select(*points.columns, "__point", (F.coalesce("__found", here) if n else here).alias("__found"))
+        left = joined.select(*points.columns, "__point", (F.coalesce("__found", here) if k else here).alias("__found"))
     return left.select(*points.columns, *[F.col(f"__found.{c}").alias(c) for c in extra])
 
 
