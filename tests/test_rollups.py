@@ -234,6 +234,24 @@ def test_innermost_of_nested_and_crossing_spans(spark):
     assert sum(r.weight for r in sched.span_samples(samples, df, ["trace_id"]).collect()) == sum(x is not None for x in got.values())
 
 
+@pytest.mark.parametrize("shift, most", [(None, 0), (None, 10**6), (0, 0), (3, 10**6), (40, 0)])
+def test_innermost_spans_are_taken_where_they_meet(spark, monkeypatch, shift, most):
+    """Samples and spans are shuffled once: the plan had four exchanges, and pieces of spans were shuffled and written before."""
+    monkeypatch.setattr(ranges, "BROADCAST_ROWS", most)
+    rng = random.Random(11)
+    spans = [(i, a, a + rng.choice([-2, 0, 1, 9, 80, 3000]), rng.choice([1, 2, None])) for i in range(150) for a in [rng.randrange(-500, 500)]]
+    points = [(k, rng.randrange(-600, 4000) if k % 9 else None, rng.choice([1, 2, 3, None]), [k, None]) for k in range(300)]
+    points += points[:30]  # repeated rows stay as many
+    df = spark.createDataFrame([("t", i, a, b, 1, lane) for i, a, b, lane in spans], "trace_id string, span_id long, start_ns long, end_ns long, pid long, tid long")
+    samples = spark.createDataFrame([("t", k, t, 1, lane, x) for k, t, lane, x in points], "trace_id string, sample_id long, ts_ns long, pid long, tid long, frames array<long>")
+    found = sched.innermost_span(samples, df, shift)
+    if most == 0 and shift == 40:
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    best = lambda t, lane: max(((a, -b, i) for i, a, b, own in spans if t is not None and own == lane is not None and a <= t < b), default=(0, 0, None))[2]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted((("t", k, t, 1, lane, x, best(t, lane)) for k, t, lane, x in points), key=repr)
+    assert sched.innermost_span(samples, df.limit(0), shift).where("span_id is null").count() == len(points)
+
+
 # ------------------------------------------------------------------------- clocks
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lanes import bin_width, lagged, led, summed
-from ..plans.ranges import disjoint, point_in_range
-from ..plans.scratch import written
+from ..plans.ranges import greatest_in_range, point_in_range, usual_bits
 from .tables import summarize
 
 
@@ -75,26 +74,26 @@ def io_summary(io_spans: DataFrame, by: list[str], approx: bool = False) -> Data
     return summarize(latency, by, "latency_ns", approx, more=[F.sum("size").alias("volume")])
 
 
-def samples_in_spans(samples: DataFrame, spans: DataFrame, shift: int = 34) -> DataFrame:
-    """Each sample with each span of its thread that is open at its time (bins of 2**34 ns, about 17 s)."""
+def samples_in_spans(samples: DataFrame, spans: DataFrame, shift: int | None = None) -> DataFrame:
+    """Each sample with each span of its thread that is open at its time (bins of 2**shift ns, by default about the median span)."""
     ranges = spans.select("trace_id", "pid", "tid", "span_id", "start_ns", "end_ns").where("end_ns > start_ns")
-    return point_in_range(samples, ranges, keys=["trace_id", "pid", "tid"], point=F.col("ts_ns"), lo=F.col("start_ns"), hi=F.col("end_ns") - 1, shift=shift, how="inner")
+    lo, hi = F.col("start_ns"), F.col("end_ns") - 1
+    return point_in_range(samples, ranges, keys=["trace_id", "pid", "tid"], point=F.col("ts_ns"), lo=lo, hi=hi, shift=usual_bits(ranges, lo, hi) if shift is None else shift, how="inner")
 
 
-def innermost_span(samples: DataFrame, spans: DataFrame, shift: int = 34) -> DataFrame:
+def innermost_span(samples: DataFrame, spans: DataFrame, shift: int | None = None) -> DataFrame:
     """Each sample with ``span_id`` of the innermost span of its thread that is open at its time, null if none is.
 
     Innermost is the span that began last, of these the one that ends first,
-    then the greatest id; so spans may cross.  Spans of a thread are cut at each
-    other's ends once, each piece has one innermost span, and a sample lies in
-    one piece at most.
+    then the greatest id; so spans may cross.  Samples meet the spans of their
+    bin (of 2**shift ns, by default about the median span), and the innermost one
+    is taken where they meet: samples and spans are shuffled once, pairs are not.
     """
     thread = ["trace_id", "pid", "tid"]
-    ranges = spans.select(*thread, "span_id", F.col("start_ns").alias("since"), (F.col("end_ns") - 1).alias("until"))
-    pieces = disjoint(ranges, keys=thread, lo="since", hi="until", shift=shift, best=F.struct(F.col("since").alias("a"), (-F.col("until")).alias("b"), F.col("span_id").alias("c")))
-    pieces = written(pieces.select(*thread, "since", "until", F.col("best.c").alias("span_id")), "pieces")
-    found = point_in_range(samples, pieces, keys=thread, point=F.col("ts_ns"), lo=F.col("since"), hi=F.col("until"), shift=shift)
-    return found.select(*samples.columns, "span_id")
+    ranges, lo, hi = spans.select(*thread, "span_id", F.col("start_ns").alias("since"), (F.col("end_ns") - 1).alias("until")), F.col("since"), F.col("until")
+    shift = usual_bits(ranges, lo, hi) if shift is None else shift
+    found = greatest_in_range(samples, ranges, keys=thread, point=F.col("ts_ns"), lo=lo, hi=hi, shift=shift, best=lambda span: F.struct(span("lo").alias("a"), (-span("hi")).alias("b"), span("span_id").alias("c")))
+    return found.select(*samples.columns, F.col("best.c").alias("span_id"))
 
 
 def span_samples(samples: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:

@@ -27,6 +27,12 @@ def _shifts(shift: int) -> list[int]:
     return out
 
 
+def usual_bits(ranges: DataFrame, lo: Column, hi: Column) -> int:
+    """Bits of the width of a bin that holds the median range, by one small count."""
+    median = ranges.agg(F.percentile_approx(F.greatest(hi - lo, F.lit(0)), 0.5)).first()[0]
+    return min(62, (median or 0).bit_length())
+
+
 def _in_bins(ranges: DataFrame, keys: list[str], lo: Column, hi: Column, shift: int) -> tuple[DataFrame, list[int]]:
     """Ranges with a row for each bin, and the widths that occur, in bits; ``__bits`` is that of a row.
 
@@ -83,6 +89,27 @@ def point_in_range(points: DataFrame, ranges: DataFrame, *, keys: list[str], poi
     return left.select(*points.columns, *[F.col(f"__found.{c}").alias(c) for c in extra])
 
 
+def greatest_in_range(points: DataFrame, ranges: DataFrame, *, keys: list[str], point: Column, lo: Column, hi: Column, shift: int, best: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    """Each point with ``best``, the greatest value of ``best`` among the ranges ``lo <= point <= hi`` of its keys, null if there is none.
+
+    Ranges may overlap.  ``best`` is given the range's columns by name, ``lo`` and
+    ``hi`` among them.  A point's pairs are put together where the join by bins
+    has made them, so they are not shuffled.
+    """
+    side, widths = _in_bins(ranges, keys, lo, hi, shift)
+    of = lambda c: F.col(f"__{c}" if c in ("lo", "hi") else f"__with_{c}")
+    others = [c for c in points.columns if c not in keys]
+    left = points.withColumn("__point", point)
+    for k, n in enumerate(widths or [shift]):
+        dealt = left.withColumn("__at", F.shiftright("__point", n)).withColumn("__row", F.monotonically_increasing_id())
+        joined = dealt.join(side.where(F.col("__bits") == n), _meets(keys, None) & (F.col("__at") == F.col("__bin")), "left")
+        here = F.max(F.when(F.col("__lo").isNotNull(), best(of)))
+        rest = [*others, "__point"] + ["best"] * (k > 0)
+        grouped = joined.groupBy(*keys, "__at", "__row").agg(*[F.first(c).alias(c) for c in rest], here.alias("__here"))
+        left = grouped.select(*points.columns, "__point", (F.greatest("best", "__here") if k else F.col("__here")).alias("best"))
+    return left.select(*points.columns, "best")
+
+
 def cut(ranges: DataFrame, *, keys: list[str], lo: str, hi: str, long_keys: bool = True) -> DataFrame:
     """keys, lo and hi of the pieces between all ends of a key's ranges, which include both their ends.
 
