@@ -1,16 +1,20 @@
 """Drop near duplicates: texts whose distinct word shingles have a wanted Jaccard similarity.
 
-At a similarity of 0.8, SimHash fingerprints of 64 bits differ in about ten,
+The vantage-point trees of ``simhash`` link SimHash fingerprints of 64 bits that
+differ in ``RADIUS`` at most.  At a similarity of 0.8 they differ in about ten,
 while those of unrelated texts differ in 32 +- 4: vantage points prune nothing
-there, as every ball meets every bound.  So shards are dealt by least shingle
-hashes instead: a key is made of the least values of ``ROWS`` hash functions,
-and a text has ``KEYS`` keys.  A pair of similarity 0.8 has no common key with
-a probability of 2e-5, and a text sends ``KEYS`` rows whatever the corpus.
-
-1. Candidates.  In each shard all fingerprints are compared with that of one
-   member; those that are near are linked with it.  What is left over is then
-   compared with the whole shard, block by block, so that nothing is lost.
-2. Exact classes.  Only candidates' sets of shingles are shuffled.  A small
+there, as every ball meets every bound.  So that no such pair is lost, further
+shards are dealt by least shingle hashes: a key is made of the least values of
+``ROWS`` hash functions, and a text has ``KEYS`` keys.  A pair of similarity 0.8
+has no common key with a probability of 2e-5, and a text sends ``KEYS`` rows
+whatever the corpus.
+
+1. Vantage-point trees over the fingerprints give links, as stars.
+2. Further candidates.  In each shard of least hashes all fingerprints are
+   compared with that of one member; those that are near are linked with it.
+   What neither this nor the trees have linked with it is then compared with the
+   whole shard, block by block, so that nothing is lost.
+3. Exact classes.  Only candidates' sets of shingles are shuffled.  A small
    component is compared at once.  A large one is dealt to chunks; each chunk
    names the member with most links, and these hubs are vantage points for all
    chunks: texts linked with the same hub need not be compared.  What is left
@@ -30,10 +34,12 @@ from pyspark.sql import functions as F
 from . import memory
 from .arrays import mix, shingle_sets
 from .common import Tables, set_aside, small
-from .simhash import SEED, _linked, _majorities, _near, _unite, components
+from .simhash import SEED, _linked, _majorities, _near, _unite, components, near_links
 
 #: Keys of a text and hash functions behind a key.
 KEYS, ROWS = 16, 3
+#: Bits of 64 that the trees' links differ in at most: one in one of the halves, so three cost what two do.
+RADIUS = 3
 #: Longs of a fingerprint, and bits that candidates differ in at most.  A bit
 #: differs with a probability of 0.1875 at most between texts of similarity 0.8
 #: (reached by four and five shingles), so such a pair is missed with 8e-7.
@@ -120,8 +126,19 @@ def _block_links(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return _linked(found, rows["node"].to_numpy())
 
 
+def tree_links(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """Links (a, b) between nodes whose first 64 bits differ in ``RADIUS`` at most, by vantage-point trees, as stars."""
+    classes = tables.written(nodes.groupBy(F.col("f0").alias("fp")).agg(F.min("node").alias("first"), F.count("*").alias("n")), "classes")
+    near = tables.written(near_links(classes.select("fp"), RADIUS), "near")
+    end = lambda name: classes.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+    apart = near.join(end("a"), "a").join(end("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    same = nodes.join(classes.where("n > 1").select(F.col("fp").alias("f0"), "first"), "f0").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return tables.written(apart.union(same).distinct(), "trees")
+
+
 def candidate_links(nodes: DataFrame, similarity: float, tables: Tables) -> DataFrame:
-    """Links (a, b) whose components hold every pair of nodes with a common key that fingerprints and sizes admit."""
+    """Links (a, b) whose components hold those of the trees and every pair of nodes with a common key that fingerprints and sizes admit."""
+    trees = tree_links(nodes, tables)
     rows = nodes.select("node", *_BITS, "n_shingles", F.explode("keys").alias("key"))
     # the least member: shards of one group mostly share it, so a member has few different links
     pivots = rows.select("key", "node").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n > 1")
@@ -130,7 +147,8 @@ def candidate_links(nodes: DataFrame, similarity: float, tables: Tables) -> Data
     shards = small(pivots, n_shards, BROADCAST_ROWS).join(nodes.select("node", *_BITS, "n_shingles"), "node")
     shards = tables.written(shards.select("key", "n", F.struct("node", *_BITS, "n_shingles").alias("pivot")), "shards")
     met = rows.join(small(shards, n_shards, BROADCAST_ROWS), "key")
-    stars = tables.written(met.where((F.col("node") != F.col("pivot.node")) & _fits(similarity)).select(F.col("node").alias("a"), F.col("pivot.node").alias("b")).distinct(), "stars")
+    stars = met.where((F.col("node") != F.col("pivot.node")) & _fits(similarity)).select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+    stars = tables.written(stars.union(trees).distinct(), "stars")
     labels = tables.written(components(stars), "labels").withColumnRenamed("component", "label")
     met = met.where("n > 2").select("key", "n", "node", *_BITS, "n_shingles", F.col("pivot.node").alias("pivot"))
     named = met.join(labels, "node", "left").join(labels.select(F.col("node").alias("pivot"), F.col("label").alias("main")), "pivot", "left")

@@ -14,7 +14,7 @@ the trees could part or of many that share one half, is parted again where it
 lies, by a tree of its own over all bits.
 
 Equal fingerprints are joined first and count as one.  Stars meet in rounds of
-least labels with pointer jumping over written tables.
+contraction with pointer jumping over written tables.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .arrays import mix
-from .common import fresh_path, remove_path, written
+from .common import remove_path, written
 
 SEED = 42
 #: Fingerprints that trees are fitted on: all up to SAMPLE, then one of each SHARE by their hashes, about MOST at most; all are indexed.
@@ -224,6 +224,19 @@ def _shard_links(fps: np.ndarray, home: np.ndarray, radius: int, shard: int = SH
     return _linked(label, fps.view(np.int64))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 10_000) -> Iterator[np.ndarray]:
+    """The fingerprints of batches, about ``rows`` at a time: a tree's nodes are visited once for each."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        n += len(held[-1])
+        if n >= rows:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints of the column ``fp`` at most ``radius`` bits apart, as stars."""
     spark, n = prints.sparkSession, prints.count()
@@ -237,8 +250,7 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
     forest = spark.sparkContext.broadcast([VantageTree(sample, n / max(1, len(sample)), m, radius // 2) for m in halves])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for fps in _gathered(batches):
             base = 0
             for tree in forest.value:
                 leaf, index, home = tree.deal(fps)
@@ -255,30 +267,51 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
 # ------------------------------------------------------------------- components
 
 
+def _moving(df: DataFrame, moves: Column, label: str) -> tuple[DataFrame, int]:
+    """``df`` written and read again, and the number of its rows for which ``moves`` holds."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.when(moves, 1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its least node) for every node of the links (a, b).
 
-    Each round takes the least label among the neighbours, then the label of
-    the label, and is written to the shared folder, so a lost executor costs
-    one round at most.
+    In a round each node points to the least of itself and its neighbours,
+    pointers are followed to their roots by doubling, and links are drawn between
+    roots; those within a root go.  So links get fewer from round to round (a star
+    is gone after two at most) and nodes with a link halve in two.  The least node
+    of a component always points to itself.  What a round needs is written to the
+    shared folder, so a lost executor costs one round at most.
     """
-    spark = links.sparkSession
-    both = written(links.select("a", "b").where("a <> b").union(links.select("b", "a").where("a <> b")).distinct(), "links")
-    path, moved = fresh_path(spark, "labels"), 1
-    both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")).write.parquet(path)
-    while True:
-        labels = spark.read.schema("node long, label long").parquet(path)
-        if not moved:
-            return labels.select("node", F.col("label").alias("component"))
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("least"))
-        now = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        now = now.join(above, "label", "left").select("node", F.coalesce(F.least("top", "label"), "label").alias("label"), "old")
-        after, seen = fresh_path(spark, "labels"), Observation()
-        now.observe(seen, F.sum(F.when(F.col("label") != F.col("old"), 1).otherwise(0)).alias("moved")).select("node", "label").write.parquet(after)
-        moved = seen.get["moved"]
-        remove_path(spark, path)
-        path = after
+    spark, rounds, used = links.sparkSession, [], []
+
+    def kept(df: DataFrame, moves: Column, label: str) -> tuple[DataFrame, int]:
+        out, n = _moving(df, moves, label)
+        used.extend(out.inputFiles()[:1])
+        return out, n
+
+    edges, n = kept(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), F.lit(True), "links")
+    while n or not rounds:
+        both = edges.union(edges.select("b", "a"))
+        labels, jumps = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), F.col("node") != F.col("label"), "labels")
+        while jumps:
+            above = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+            jumped = labels.join(above, "label").select("node", F.col("top").alias("label"), (F.col("top") != F.col("label")).alias("moved"))
+            labels, jumps = kept(jumped, F.col("moved"), "labels")
+        labels = labels.select("node", "label")
+        rounds.append(labels)
+        at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_root"))
+        drawn = edges.join(at("a"), "a").join(at("b"), "b").where("a_root <> b_root")
+        edges, n = kept(drawn.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), F.lit(True), "links")
+    found = rounds.pop()
+    while rounds:
+        above = found.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        found = rounds.pop().join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = written(found.select("node", F.col("label").alias("component")), "components")
+    for path in used:
+        remove_path(spark, path.rsplit("/", 1)[0])
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
